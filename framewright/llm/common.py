@@ -9,9 +9,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import framewright
+
+#: Functions travel to executors by value, so that these need not have the package installed.
+cloudpickle.register_pickle_by_value(framewright)
+
 #: Odd multiplier of the rolling shingle hash.
 SHINGLE_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of a per-worker cache before it starts anew; bounds a worker's memory, never its results.
