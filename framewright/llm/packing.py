@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from framewright.llm.common import CACHE_ENTRIES, arrow_map, batch
+from framewright.llm.common import arrow_map, batch
 
 #: Context lengths, ascending powers of two.
 TIERS = (256, 512, 1024, 2048)
@@ -41,9 +41,13 @@ class Encoder:
     """Ids of whole texts by a `tokenizers` file whose words never cross white space, through a cache of words.
 
     Special tokens in a text are ordinary text. A text with the separators U+001C to U+001F, which Python counts as white
-    space and the tokenizer doesn't, is encoded in one piece.
+    space and the tokenizer doesn't, is encoded in one piece. The tokenizer lower-cases and splits after letters, so
+    ASCII words share their entry with other cases and with what punctuation follows them.
     """
 
+    #: Words kept, at most; then the cache starts anew.
+    ENTRIES = 1_000_000
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -54,14 +58,26 @@ class Encoder:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         words, known = text.split(), self.known
-        if missing := list(set(words).difference(known)):
-            if len(known) > CACHE_ENTRIES:
+        missing = set(words).difference(known)
+        if missing:
+            if len(known) > self.ENTRIES:
                 known.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+                missing = set(words)
+            parts = {w: self._parts(w) for w in missing}
+            new = [p for p in {p for own in parts.values() for p in own} if p not in known]
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
+            for w, own in parts.items():
+                known[w] = known[own[0]] if len(own) == 1 else known[own[0]] + known[own[1]]
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
+    @staticmethod
+    def _parts(w: str) -> tuple[str, ...]:
+        if not w.isascii():
+            return (w,)
+        w = w.lower()
+        return (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",.;:!?" and w[-2].isalpha() else (w,)
+
 
 class Packer:
     """Packs pieces (length, order, doc_id, start, ids, doc_tokens) into windows; keeps at most a buffer and a remainder."""
