@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,6 +53,12 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
+def worker_state(key: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from task to task: caches of pure functions only."""
+    store = sys.modules.setdefault("framewright_worker_state", types.ModuleType("framewright_worker_state")).__dict__
+    return store[key] if key in store else store.setdefault(key, make())
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts as str, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from framewright.llm.common import arrow_map, batch
+from framewright.llm.common import arrow_map, batch, worker_state
 
 #: Context lengths, ascending powers of two.
 TIERS = (256, 512, 1024, 2048)
@@ -178,7 +178,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, rows = Encoder(tokenizer), Packer(TaskContext.get().partitionId()), []
+        encode, packer, rows = worker_state(f"encoder {tokenizer}", lambda: Encoder(tokenizer)), Packer(TaskContext.get().partitionId()), []
         end = np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
- public_tokenizers
+
 from framewright.llm import ann, packing, sharding, warc
 
 
