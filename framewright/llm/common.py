@@ -105,7 +105,7 @@ def permutations(count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return draw() | np.uint64(1), draw()
 
 
-def minhash(items: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 4096) -> np.ndarray:
+def minhash(items: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 512) -> np.ndarray:
     """The least 32-bit hash of the items under each permutation; the empty set gives the largest value throughout."""
     out = np.full(len(a), 0xFFFFFFFF, np.uint64)
     with np.errstate(over="ignore"):
