@@ -13,6 +13,7 @@ No piece crosses a partition, and a repeated task gives the same pieces and ids.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -37,46 +38,67 @@ PIECES = pa.schema([
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: itself where printable, else from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
+
+
 class Encoder:
-    """Ids of whole texts by a `tokenizers` file whose words never cross white space, through a cache of words.
+    """Ids of whole texts by a word-end BPE `tokenizers` file that lower-cases, through a cache of words.
 
-    Special tokens in a text are ordinary text. A text with the separators U+001C to U+001F, which Python counts as white
-    space and the tokenizer doesn't, is encoded in one piece. The tokenizer lower-cases and splits after letters, so
-    ASCII words share their entry with other cases and with what punctuation follows them.
+    Words never cross white space. A text with the separators U+001C to U+001F, which Python counts as white space and
+    the tokenizer doesn't, is encoded in one piece. Special tokens in a text are ordinary text. A word of Latin-1 letters
+    with nothing or ASCII punctuation after it is one letter word and one run of punctuation to the tokenizer: its parts
+    skip normalisation, share entries, and are encoded together, to be told apart by their word ends.
     """
 
     #: Words kept, at most; then the cache starts anew.
-    ENTRIES = 1_000_000
+    ENTRIES = 1_500_000
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True
+        self.whole, self.bare, self.known, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path), {}, _byte_letters()
+        self.whole.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.bare.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def __call__(self, text: str) -> np.ndarray:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         words, known = text.split(), self.known
         missing = set(words).difference(known)
         if missing:
             if len(known) > self.ENTRIES:
                 known.clear()
                 missing = set(words)
-            parts = {w: self._parts(w) for w in missing}
-            new = [p for p in {p for own in parts.values() for p in own} if p not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            for w, own in parts.items():
-                known[w] = known[own[0]] if len(own) == 1 else known[own[0]] + known[own[1]]
+            self._learn(missing)
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
-    @staticmethod
-    def _parts(w: str) -> tuple[str, ...]:
-        if not w.isascii():
-            return (w,)
-        w = w.lower()
-        return (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",.;:!?" and w[-2].isalpha() else (w,)
+    def _learn(self, words: set[str]) -> None:
+        known, split, other = self.known, [], []
+        for w in words:
+            if m := self.PLAIN.fullmatch(w):
+                split.append((w, m[1].lower(), m[2]))
+            else:
+                other.append(w)
+        new = list({p for _, *own in split for p in own if p and p not in known})
+        if new:
+            line = " ".join(new) if all(map(str.isascii, new)) else " ".join(w.encode().decode("latin-1").translate(self.letters) for w in new)
+            ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            at = 0
+            for w, end in zip(new, (np.flatnonzero(self.ends[ids]) + 1).tolist(), strict=True):
+                known[w] = ids[at:end].tobytes()
+                at = end
+        for w, letters, rest in split:
+            known[w] = known[letters] + known[rest] if letters and rest else known[letters or rest]
+        for w, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 class Packer:
