@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import ann, fingerprints, language_id, packing, sharding, toxicity, warc
+from framewright.llm import ann, fingerprints, language_id, ngram_join, packing, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +44,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op5_ann, op6_language_id, op7_sharding, op8_warc, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_ngram_join, op5_ann, op6_language_id, op7_sharding, op8_warc, op10_fingerprints)}
 #: DuckDB SQL of those that SQL can express.
 ORACLES: dict[str, str] = {}
