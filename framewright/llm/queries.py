@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import ann, fingerprints, language_id, ngram_join, packing, sharding, toxicity, warc
+from framewright.llm import ann, fingerprints, language_id, lm, ngram_join, packing, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_ngram_join, op5_ann, op6_language_id, op7_sharding, op8_warc, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_ngram_join, op5_ann, op6_language_id, op7_sharding, op8_warc, op9_lm_scoring, op10_fingerprints)}
 #: DuckDB SQL of those that SQL can express.
 ORACLES: dict[str, str] = {}
