@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import ann, fingerprints, language_id, lm, ngram_join, packing, sharding, toxicity, warc
+from framewright.llm import ann, byte_bpe, fingerprints, language_id, lm, ngram_join, packing, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, outputs=False)
+    return found.drop("ids", "decoded")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_ngram_join, op5_ann, op6_language_id, op7_sharding, op8_warc, op9_lm_scoring, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_byte_bpe, op4_ngram_join, op5_ann, op6_language_id, op7_sharding, op8_warc, op9_lm_scoring, op10_fingerprints)}
 #: DuckDB SQL of those that SQL can express.
 ORACLES: dict[str, str] = {}
