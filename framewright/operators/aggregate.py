@@ -150,9 +150,9 @@ def covariance(df: DataFrame, a: str, b: str, which: str = "cov") -> DataFrame:
 
 def mode(df: DataFrame, name: str) -> DataFrame:
     """All most frequent values that aren't null, ascending; counted before the comparison, which sees distinct values only."""
-    counts = df.where(column(name).isNotNull()).groupBy(column(name).alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    top = F.broadcast(counts.agg(F.max("n").alias("top")))  # one row
-    return counts.join(top, F.col("n") == F.col("top")).select(column(name)).orderBy(column(name))
+    counts = df.where(column(name).isNotNull()).groupBy(column(name).alias(name)).agg(F.count(F.lit(1)).alias("\0n"))
+    top = F.broadcast(counts.agg(F.max("`\0n`").alias("\0top")))  # one row
+    return counts.join(top, F.col("`\0n`") == F.col("`\0top`")).select(column(name)).orderBy(column(name))
 
 
 def extreme_place(df: DataFrame, name: str, order: list[Column], which: str = "max") -> DataFrame:

@@ -10,7 +10,8 @@ from framewright.types import FLOAT, INT, TEXT, as_list, column, kind
 
 
 def _window(order, partition_by=None):
-    return Window.partitionBy(*[column(c) if isinstance(c, str) else c for c in as_list(partition_by)]).orderBy(*[column(c) if isinstance(c, str) else c for c in as_list(order)])
+    keys = [order] if isinstance(order, Column) else [column(c) if isinstance(c, str) else c for c in as_list(order)]
+    return Window.partitionBy(*[column(c) for c in as_list(partition_by)]).orderBy(*keys)
 
 
 def cumulative(df: DataFrame, func: str, name: str, order, partition_by=None) -> Column:
