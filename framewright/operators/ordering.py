@@ -16,7 +16,7 @@ def sort_keys(df: DataFrame, by: list[str], ascending: list[bool] | bool = True)
     out = []
     for c, up in zip(by, flags, strict=True):
         if not up and len(by) == 1 and kind(df, c) == FLOAT:
-            out.append(F.isnan(column(c)).asc())
+            out += [column(c).isNull().asc(), F.isnan(column(c)).asc()]
         out.append(column(c).asc_nulls_last() if up else column(c).desc_nulls_last())
     return out
 

@@ -615,42 +615,42 @@ def parts(spark, sf_dir):
 
 
 for _name, (_c, _sql) in {
-    "upper": (X.upper(C("t")), "upper(t)"),
-    "lower": (X.lower(C("t")), "lower(t)"),
-    "strip": (X.strip(C("s")), "t"),
-    "lstrip": (X.lstrip(C("s")), "t || chr(9)"),
-    "rstrip": (X.rstrip(C("s")), "'  ' || t"),
-    "len": (X.length(C("s")), "length(s)"),
-    "contains": (X.contains(C("t"), "E", case=False), "coalesce(contains(lower(t), 'e'), false)"),
-    "startswith": (X.startswith(C("t"), "a"), "coalesce(starts_with(t, 'a'), false)"),
-    "endswith": (X.endswith(C("t"), "e"), "coalesce(ends_with(t, 'e'), false)"),
-    "replace": (X.replace(C("t"), "e", "<.>"), "replace(t, 'e', '<.>')"),
-    "split_join": (X.join(X.split(C("s")), "-"), "CASE WHEN s IS NOT NULL THEN array_to_string(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> ''), '-') END"),
-    "slice": (X.slice_(C("t"), 1, -2), "CASE WHEN t IS NOT NULL THEN substring(t, 2, greatest(length(t) - 3, 0)) END"),
-    "slice_step": (X.slice_(C("t"), None, None, -1), "reverse(t)"),
-    "get": (X.get(C("t"), 3), "CASE WHEN length(t) > 3 THEN substring(t, 4, 1) END"),
-    "find": (X.find(C("t"), "e", 2), "CASE WHEN t IS NULL OR strpos(substring(t, 3), 'e') = 0 THEN -1 ELSE strpos(substring(t, 3), 'e') + 1 END"),
-    "zfill": (X.zfill(C("z"), 5), "CASE WHEN starts_with(z, '-') THEN '-' || lpad(substring(z, 2), 4, '0') ELSE lpad(z, 5, '0') END"),
-    "capitalize": (X.capitalize(C("t")), "upper(substring(t, 1, 1)) || lower(substring(t, 2))"),
-    "isnumeric": (X.isnumeric(C("z")), "regexp_full_match(z, '[0-9]+')"),
-    "isalpha": (X.isalpha(C("t")), "coalesce(regexp_full_match(t, '[A-Za-z]+'), false)"),
-    "isdigit": (X.isdigit(C("z")), "regexp_full_match(z, '[0-9]+')"),
-    "isalnum": (X.isalnum(C("z")), "regexp_full_match(z, '[A-Za-z0-9]+')"),
-    "isupper": (X.isupper(F.upper(C("t"))), "t IS NOT NULL"),
-    "islower": (X.islower(C("t")), "coalesce(t = lower(t) AND t <> upper(t), false)"),
-    "count": (X.count(C("t"), "e"), "CASE WHEN t IS NULL THEN 0 ELSE length(t) - length(replace(t, 'e', '')) END"),
-    "match": (X.match(C("t"), "[a-m]+"), "coalesce(regexp_matches(t, '^[a-m]+'), false)"),
-    "fullmatch": (X.fullmatch(C("t"), "[a-z]+ [a-m].*"), "coalesce(regexp_full_match(t, '[a-z]+ [a-m].*'), false)"),
-    "extract": (X.extract(C("t"), "[n-z]+"), "CASE WHEN regexp_matches(t, '[n-z]+') THEN regexp_extract(t, '[n-z]+') END"),
-    "pad": (X.pad(C("z"), 5, "left", "*"), "lpad(z, 5, '*')"),
-    "center": (X.center(C("z"), 8, "*"), "repeat('*', (8 - length(z)) // 2) || z || repeat('*', 8 - length(z) - (8 - length(z)) // 2)"),
-    "ljust": (X.ljust(C("z"), 5, "*"), "rpad(z, 5, '*')"),
-    "rjust": (X.rjust(C("z"), 5, "*"), "lpad(z, 5, '*')"),
-    "repeat": (X.repeat(C("z"), 3), "repeat(z, 3)"),
+    "upper": (lambda: X.upper(C("t")), "upper(t)"),
+    "lower": (lambda: X.lower(C("t")), "lower(t)"),
+    "strip": (lambda: X.strip(C("s")), "t"),
+    "lstrip": (lambda: X.lstrip(C("s")), "t || chr(9)"),
+    "rstrip": (lambda: X.rstrip(C("s")), "'  ' || t"),
+    "len": (lambda: X.length(C("s")), "length(s)"),
+    "contains": (lambda: X.contains(C("t"), "E", case=False), "coalesce(contains(lower(t), 'e'), false)"),
+    "startswith": (lambda: X.startswith(C("t"), "a"), "coalesce(starts_with(t, 'a'), false)"),
+    "endswith": (lambda: X.endswith(C("t"), "e"), "coalesce(ends_with(t, 'e'), false)"),
+    "replace": (lambda: X.replace(C("t"), "e", "<.>"), "replace(t, 'e', '<.>')"),
+    "split_join": (lambda: X.join(X.split(C("s")), "-"), "CASE WHEN s IS NOT NULL THEN array_to_string(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> ''), '-') END"),
+    "slice": (lambda: X.slice_(C("t"), 1, -2), "CASE WHEN t IS NOT NULL THEN substring(t, 2, greatest(length(t) - 3, 0)) END"),
+    "slice_step": (lambda: X.slice_(C("t"), None, None, -1), "reverse(t)"),
+    "get": (lambda: X.get(C("t"), 3), "CASE WHEN length(t) > 3 THEN substring(t, 4, 1) END"),
+    "find": (lambda: X.find(C("t"), "e", 2), "CASE WHEN t IS NULL OR strpos(substring(t, 3), 'e') = 0 THEN -1 ELSE strpos(substring(t, 3), 'e') + 1 END"),
+    "zfill": (lambda: X.zfill(C("z"), 5), "CASE WHEN starts_with(z, '-') THEN '-' || lpad(substring(z, 2), 4, '0') ELSE lpad(z, 5, '0') END"),
+    "capitalize": (lambda: X.capitalize(C("t")), "upper(substring(t, 1, 1)) || lower(substring(t, 2))"),
+    "isnumeric": (lambda: X.isnumeric(C("z")), "regexp_full_match(z, '[0-9]+')"),
+    "isalpha": (lambda: X.isalpha(C("t")), "coalesce(regexp_full_match(t, '[A-Za-z]+'), false)"),
+    "isdigit": (lambda: X.isdigit(C("z")), "regexp_full_match(z, '[0-9]+')"),
+    "isalnum": (lambda: X.isalnum(C("z")), "regexp_full_match(z, '[A-Za-z0-9]+')"),
+    "isupper": (lambda: X.isupper(F.upper(C("t"))), "t IS NOT NULL"),
+    "islower": (lambda: X.islower(C("t")), "coalesce(t = lower(t) AND t <> upper(t), false)"),
+    "count": (lambda: X.count(C("t"), "e"), "CASE WHEN t IS NULL THEN 0 ELSE length(t) - length(replace(t, 'e', '')) END"),
+    "match": (lambda: X.match(C("t"), "[a-m]+"), "coalesce(regexp_matches(t, '^[a-m]+'), false)"),
+    "fullmatch": (lambda: X.fullmatch(C("t"), "[a-z]+ [a-m].*"), "coalesce(regexp_full_match(t, '[a-z]+ [a-m].*'), false)"),
+    "extract": (lambda: X.extract(C("t"), "[n-z]+"), "CASE WHEN regexp_matches(t, '[n-z]+') THEN regexp_extract(t, '[n-z]+') END"),
+    "pad": (lambda: X.pad(C("z"), 5, "left", "*"), "lpad(z, 5, '*')"),
+    "center": (lambda: X.center(C("z"), 8, "*"), "repeat('*', (8 - length(z)) // 2) || z || repeat('*', 8 - length(z) - (8 - length(z)) // 2)"),
+    "ljust": (lambda: X.ljust(C("z"), 5, "*"), "rpad(z, 5, '*')"),
+    "rjust": (lambda: X.rjust(C("z"), 5, "*"), "lpad(z, 5, '*')"),
+    "repeat": (lambda: X.repeat(C("z"), 3), "repeat(z, 3)"),
 }.items():
 
     def _text(spark, sf_dir, c=_c):
-        return parts(spark, sf_dir).select("p_partkey", c.alias("x"))
+        return parts(spark, sf_dir).select("p_partkey", c().alias("x"))
 
     QUERIES[f"str_{_name}"] = _text
     ORACLES[f"str_{_name}"] = f"SELECT p_partkey, {_sql} AS x FROM {_T}"

@@ -19,8 +19,15 @@ from framewright.types import FLOAT, INT, as_list, column, kind_of, kinds, numer
 
 
 class Series:
-    def __init__(self, frame: Frame, expr: Column, name: str = "0") -> None:
-        self.frame, self.expr, self.name = frame, expr, name
+    def __init__(self, frame: Frame, expr: Column, name: str = "0", condition: Column | None = None) -> None:
+        self.frame, self.expr, self.name, self._condition = frame, expr, name, condition
+
+    @property
+    def condition(self) -> Column:
+        """What a filter by this series tests. A filter takes null as false anyway, so comparisons stay bare and reach the scan."""
+        if self._condition is not None:
+            return self._condition
+        return self.expr if self.kind == "bool" else scalar.truthy(self.expr, self.kind)
 
     # -- shape and values
     @property
@@ -167,10 +174,10 @@ class Series:
     eq, ne, lt, le, gt, ge = __eq__, __ne__, __lt__, __le__, __gt__, __ge__
 
     def __and__(self, x: Series) -> Series:
-        return self._with(scalar.truthy(self.expr, self.kind) & scalar.truthy(x.expr, x.kind))
+        return Series(self.frame, scalar.truthy(self.expr, self.kind) & scalar.truthy(x.expr, x.kind), self.name, self.condition & x.condition)
 
     def __or__(self, x: Series) -> Series:
-        return self._with(scalar.truthy(self.expr, self.kind) | scalar.truthy(x.expr, x.kind))
+        return Series(self.frame, scalar.truthy(self.expr, self.kind) | scalar.truthy(x.expr, x.kind), self.name, self.condition | x.condition)
 
     def __invert__(self) -> Series:
         return self._with(~scalar.truthy(self.expr, self.kind))
@@ -545,7 +552,7 @@ class Frame:
             require(self.df, [x])
             return Series(self, column(x), x)
         if isinstance(x, Series):
-            return self._new(self.df.where(scalar.truthy(x.expr, x.kind)))
+            return self._new(self.df.where(x.condition))
         if isinstance(x, slice):
             return self.iloc(x)
         return self._new(select.columns(self.df, list(x)))

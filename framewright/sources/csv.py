@@ -21,7 +21,7 @@ def infer(df: DataFrame, skip: tuple[str, ...] = ()) -> dict[str, str]:
     """The kind of each text column; a column without values is text."""
     tests = {
         BOOL: lambda c: F.lower(c).isin("true", "false"),
-        INT: lambda c: c.rlike(INTEGER) & F.expr("true") & c.try_cast("bigint").isNotNull(),
+        INT: lambda c: F.when(c.isNotNull(), c.rlike(INTEGER) & c.try_cast("bigint").isNotNull()),
         FLOAT: lambda c: F.lower(c).rlike(FRACTION),
     }
     names = [c for c in df.columns if c not in skip]
