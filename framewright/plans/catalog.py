@@ -13,6 +13,8 @@ from framewright.functions import scalar as S
 from framewright.functions import strings as X
 from framewright.operators import aggregate, grouping, joins, ordering, query_expr, reshape, select, udf, windows
 from framewright.plans.frame import Frame
+from framewright.session import scratch
+from framewright.sources import csv
 from framewright.types import FLOAT, INT, column
 
 QUERIES: dict = {}
@@ -718,3 +720,85 @@ def workflow_revenue(spark, sf_dir):
     joined = joins.merge(joins.merge(joins.merge(li, o, left_on="l_orderkey", right_on="o_orderkey"), c, left_on="o_custkey", right_on="c_custkey"), n, left_on="c_nationkey", right_on="n_nationkey")
     g = joined.groupBy("n_name").agg(r(F.sum("revenue"), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
     return ordering.sort(g, "revenue", False, ["n_name"]).limit(10)
+
+
+# -- whole frames ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(DISTINCT user_id) AS user_id, count(DISTINCT event_type) AS event_type, count(DISTINCT n) AS n FROM " + EVENTS)
+def nunique_all(spark, sf_dir):
+    return aggregate.aggregate(events(spark, sf_dir).select("user_id", "event_type", "n"), "nunique")
+
+
+@query("SELECT sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END)::BIGINT AS value, sum(CASE WHEN n IS NULL THEN 1 ELSE 0 END)::BIGINT AS n FROM " + EVENTS)
+def isna_cells(spark, sf_dir):
+    return aggregate.aggregate(Frame(events(spark, sf_dir).select("value", "n")).isna().astype("int64").df, "sum")
+
+
+@query("SELECT event_id, n * 2 + 1 AS n, round(value * 2 + 1, 6) AS value FROM " + EVENTS)
+def frame_arithmetic(spark, sf_dir):
+    f = Frame(events(spark, sf_dir).select("event_id", "n", "value"), "event_id")
+    return rounded((f * 2 + 1).df, ["value"], 6)
+
+
+@query(f"SELECT event_id, a.n + b.n AS n, round(a.value + b.value, 6) AS value FROM {EVENTS} a JOIN {EVENTS} b USING (event_id)")
+def frame_plus_frame(spark, sf_dir):
+    f = Frame(events(spark, sf_dir).select("event_id", "n", "value"), "event_id")
+    return rounded((f + f).df, ["value"], 6)
+
+
+@query("SELECT event_id, n >= 4 AS n, value >= 4 AS value FROM " + EVENTS)
+def frame_compare(spark, sf_dir):
+    return Frame(events(spark, sf_dir).select("event_id", "n", "value"), "event_id").ge(4).df
+
+
+@query("SELECT event_id, coalesce(n, 7) AS n, coalesce(value, 0.5) AS value FROM " + EVENTS)
+def fillna_dict(spark, sf_dir):
+    return Frame(events(spark, sf_dir)).fillna({"n": 7, "value": 0.5, "unknown": 1})[["event_id", "n", "value"]].df
+
+
+@query("SELECT event_id, CAST(n AS VARCHAR) AS n, CAST(user_id AS DOUBLE) AS user_id FROM " + EVENTS)
+def astype_dict(spark, sf_dir):
+    return Frame(events(spark, sf_dir)).astype({"n": "str", "user_id": float})[["event_id", "n", "user_id"]].df
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS stat, CAST({f}(n) AS DOUBLE) AS n, CAST({f}(user_id) AS DOUBLE) AS user_id FROM {EVENTS}" for f in ("sum", "min", "max")))
+def agg_list(spark, sf_dir):
+    return Frame(events(spark, sf_dir).select("n", "user_id")).agg(["sum", "min", "max"]).df
+
+
+@query(f"SELECT round(corr(a.value, b.value + a.n), 6) AS corr FROM {EVENTS} a JOIN {EVENTS} b USING (event_id)")
+def corr_columns(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("other", C("value") + C("n"))
+    return rounded(aggregate.covariance(e, "value", "other", "corr"), ["corr"], 6)
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (1, 5)")
+def drop_places(spark, sf_dir):
+    return select.drop_places(table(spark, sf_dir, "nation"), ["n_nationkey"], [1, 5]).select("n_nationkey", "n_name")
+
+
+@query("SELECT event_id, coalesce(n IN (1, 2), false) AS n, event_type IN ('click') AS event_type FROM (SELECT event_id, n, event_type FROM " + EVENTS + ")")
+def isin_dict(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_id", "n", "event_type")
+    return e.select("event_id", S.is_in(C("n"), INT, [1, 2]).alias("n"), S.is_in(C("event_type"), "object", ["click"]).alias("event_type"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS count FROM lineitem GROUP BY 1, 2")
+def value_counts_frame(spark, sf_dir):
+    return ordering.value_counts(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(spark, sf_dir):
+    path = scratch(spark, "customer-csv")
+    csv.write_csv(table(spark, sf_dir, "customer"), path)
+    return select.assign(csv.read_csv(spark, path), c_nationkey=C("c_nationkey").cast("int"))
+
+
+@query("SELECT p_partkey, NULL::DOUBLE AS a, CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_size > 25")
+def csv_missing_values(spark, sf_dir):
+    path = scratch(spark, "part-csv")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lit(None).cast("double").alias("a"), "p_size")
+    csv.write_csv(p, path, delimiter=";", na_rep="NA")
+    return select.keep_rows(csv.read_csv(spark, path, delimiter=";", dtypes={"a": "float64"}), C("p_size") > 25)

@@ -266,3 +266,20 @@ def test_the_entry_imports_without_the_training_data_operators(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.oracle_sql()) > 100"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True)
+
+
+def test_front_door(spark):
+    import framewright.api as api
+
+    f = api.DataFrame([{"k": "a", "v": 1}, {"k": "b", "v": 2}], order="k")
+    api.assert_frame_equal(f, api.from_dict({"k": ["a", "b"], "v": [1, 2]}, order="k"))
+    api.assert_series_equal(api.series([1, 2, 3]) * 2, api.series([2, 4, 6]))
+    assert api.series([3, 1, 2]).sort_values().to_frame().columns == ["0"]
+    assert api.isna(None)
+    assert api.isna(float("nan"))
+    assert api.notna(0)
+    assert len(api.melt(f, id_vars=["k"])) == 2
+    with pytest.raises(AssertionError):
+        api.assert_frame_equal(f, f.assign(v=F.lit(5).cast("long")))
+    with pytest.raises(ValueError, match="order"):
+        api.DataFrame({"a": [1]}).head()
