@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import framewright
+from framewright.session import scratch as shared_dir
 
 #: Functions travel to executors by value, so that these need not have the package installed.
 cloudpickle.register_pickle_by_value(framewright)
@@ -26,15 +25,6 @@ SHINGLE_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CACHE_ENTRIES = 400_000
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="framewright-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage with a Parquet table in shared storage, so that a lost executor costs no earlier stage."""
     path = shared_dir(df.sparkSession, tag)
@@ -59,9 +49,16 @@ def worker_state(key: str, make: Callable[[], object]) -> object:
     return store[key] if key in store else store.setdefault(key, make())
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """Texts as str, null as empty."""
-    return [x or "" for x in column.to_pylist()]
+def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """fit(rows) of a bounded sample, in one task: the rows don't pass the driver, which gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(fit(pa.Table.from_batches(rows)))], pa.binary())], ["model"])
+
+    found = arrow_map(sample.repartition(1), run, "model binary").collect()
+    return cloudpickle.loads(bytes(found[0][0])) if found else fit(pa.Table.from_batches([], schema=pa.schema([(c, pa.string()) for c in sample.columns])))
 
 
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:

@@ -4,7 +4,7 @@ A word that training knows is scored by its log frequency in each language. A wo
 character 5-grams, then 4-, 3-, 2- and 1-grams: each character position is scored by the longest n-gram known there,
 averaged over the word. A document's language has the largest sum over its words.
 
-The model is fitted on at most FIT_DOCS documents of each language; predictions cover every whole text. Training texts
+The model is fitted on about FIT_DOCS documents of each language, in one task; predictions cover every whole text. Training texts
 that are null, or whose language is null, are left out. Texts that are null or have no letter are `und`, as all texts are
 where nothing was learnt. Ties go to the language that sorts first.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import arrow_map, batch, held_out
+from framewright.llm.common import arrow_map, batch, fit_in_task, held_out
 
 #: Training documents of a language, at most, and characters of each that count at most on average.
 FIT_DOCS = 1_500
@@ -127,8 +127,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     for x, n in sizes.items():
         part = min(1.0, per_language / (0.75 * n))  # a quarter of the documents is held out
         share = share | ((F.col("x") == F.lit(x)) & (F.lit(True) if part >= 1 else draw < F.lit(-(1 << 63) + int((1 << 64) * part))))
-    sample = rows.where(share).limit(2 * per_language * len(sizes)).toArrow().sort_by([("doc_id", "ascending"), ("t", "ascending")])
-    return Model(sample.column("t").to_pylist(), sample.column("x").to_pylist())
+    def fit(table: pa.Table) -> Model:
+        table = table.sort_by([("doc_id", "ascending"), ("t", "ascending")])
+        return Model(table.column("t").to_pylist(), table.column("x").to_pylist())
+
+    return fit_in_task(rows.where(share).limit(2 * per_language * len(sizes)), fit)
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

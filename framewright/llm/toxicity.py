@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import WordHash, arrow_map, batch, held_out, minhash, permutations, shingles
+from framewright.llm.common import WordHash, arrow_map, batch, fit_in_task, held_out, minhash, permutations, shingles
 from framewright.llm.trees import BoostedTrees, Isotonic
 
 #: Labelled rows that the model is fitted on, at most.
@@ -213,8 +213,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if total > rows:
         known = known.where(F.xxhash64("doc_id") >= F.lit((1 << 63) - 1 - int((1 << 64) * rows / total)))
     drawn = F.broadcast(known.limit(rows))
-    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).join(drawn, "doc_id").select("doc_id", "t", "y").limit(rows).toArrow().sort_by("doc_id")
-    return Model([t or "" for t in sample.column("t").to_pylist()], np.array(sample.column("y").to_pylist(), np.float64))
+    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).join(drawn, "doc_id").select("doc_id", "t", "y").limit(rows)
+
+    def fit(table: pa.Table) -> Model:
+        table = table.sort_by([("doc_id", "ascending"), ("t", "ascending")])
+        return Model([t or "" for t in table.column("t").to_pylist()], np.array(table.column("y").to_pylist(), np.float64))
+
+    return fit_in_task(sample, fit)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Gradient-boosted trees on binned features and isotonic calibration, for bounded samples on the driver; numpy only."""
+"""Gradient-boosted trees on binned features and isotonic calibration, for bounded samples; numpy only."""
 
 from __future__ import annotations
 
