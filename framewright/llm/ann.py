@@ -158,7 +158,7 @@ def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     entries = arrow_map(rows, collapse, "id long, vector binary, cell int", rows=10_000)
     distinct = materialise(entries.groupBy("vector", "cell").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids")), "ann-index")
     sizes = {r[0]: r[1] for r in distinct.groupBy("cell").count().collect()}  # at most 256 * 256 cells
-    least, blocks = index.share * sum(sizes.values()), {c: -(-n // CELL_BLOCK) for c, n in sizes.items()}
+    least, blocks = max(index.share * sum(sizes.values()), k + 1), {c: -(-n // CELL_BLOCK) for c, n in sizes.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -215,7 +215,8 @@ def build(texts: DataFrame, order: int = ORDER, head_rate: float = HEAD_RATE, gr
         kept = table.where(F.col("c") >= F.lit(gram_rate * total)).toArrow()  # at most 1 / gram_rate of each n
         for n, g, c in zip(*(kept.column(x).to_pylist() for x in ("n", "gram", "c")), strict=True):
             grams[n][g] = c
-    docs = int(counts[head[END]]) if END in head else 1
+    ends = words.where(F.col("token") == F.lit(bytearray(END))).first()
+    docs = ends["c"] if ends else 1
     return Automaton(head, counts, int(total), int(vocabulary), docs, grams, discounts), words
 
 

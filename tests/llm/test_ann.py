@@ -50,3 +50,9 @@ def test_odd_vectors(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in rows) == [(0, 1, 7), (0, 2, 8)]
     assert ann.search(spark.createDataFrame([], SCHEMA)).count() == 0
     assert ann.search(spark.createDataFrame([(0, [1.0, 2.0], 0, 0)], SCHEMA)).count() == 0
+
+
+def test_few_candidates_are_all_returned(spark):
+    x = np.random.RandomState(2).randn(9, 8)
+    rows = ann.search(spark.createDataFrame([(i * 10, v.tolist(), 0, 0) for i, v in enumerate(x)], SCHEMA), every=100).collect()
+    assert sorted(r.vec_id for r in rows) == [10, 20, 30, 40, 50, 60, 70, 80]
