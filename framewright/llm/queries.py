@@ -73,6 +73,25 @@ leads AS (SELECT node, min(other) AS low FROM reached GROUP BY node),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, coalesce(n, 0) AS n_links
 FROM documents LEFT JOIN leads ON node = doc_id LEFT JOIN counts ON a = doc_id""",
+    "op7_sharding": r"""
+WITH RECURSIVE remainders AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) b(i)),
+sized AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, remainders),
+walk AS (
+  SELECT doc_id, coalesce(doc_id, 0)::HUGEINT AS state, -1::BIGINT AS place, 0::BIGINT AS next FROM (SELECT DISTINCT doc_id FROM documents)
+  UNION ALL
+  SELECT doc_id, s, next, least(floor((next + 1) * (2147483648.0::DOUBLE / ((s >> 33) + 1)::DOUBLE)), 1099511627776)::BIGINT
+  FROM (SELECT doc_id, next, (((state + 18446744073709551616) % 18446744073709551616) * 2862933555777941757 + 1) % 18446744073709551616 AS s FROM walk WHERE next <= 40)),
+placed AS (SELECT doc_id, max(place) FILTER (WHERE place < 40) AS shard, max(place) AS grown FROM walk GROUP BY doc_id),
+sliced AS (
+  SELECT s.*, p.shard, p.grown, (s.text_crc32 + ((coalesce(s.doc_id, 0) % 1000003) + 1000003) % 1000003) % 256 AS slice
+  FROM sized s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY slice, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown::INTEGER AS grown_shard FROM sliced""",
     "op8_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
 f AS (SELECT *, CASE WHEN bytes >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Multiplier of the generator, published with the algorithm.
 MULTIPLIER = 2862933555777941757
@@ -60,7 +61,8 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     """One row per input row: key, size, text_crc32, law, shard, slot, grown_shard.
 
     `size` is the text's UTF-8 bytes (null: none) plus 16. `slot` numbers a shard's rows from 0 without gaps.
-    Law `key`: the key and the shard count alone decide, so equal keys (and null keys) share a shard.
+    Law `key`: the key and the shard count alone decide, so equal keys (and null keys) share a shard. An integer key walks
+    by itself (null as 0), any other by its 64-bit hash. Slots go by slice, key, size and checksum.
     Equal rows are counted before the shuffle and expanded after numbering, so that no repeated row makes a hot task;
     each shard is numbered in SLICES slices whose offsets come from a count of at most shards * SLICES rows.
     Other columns, whatever their names, are not read; an empty table gives an empty result.
@@ -68,8 +70,10 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = df.select(F.col(key).alias("k"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     groups = rows.groupBy("k", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    walk = jump_walk(F.xxhash64("k"), shards)
-    groups = groups.withColumn("w", walk).select("*", F.col("w.shard").alias("shard"), F.col("w.grown").alias("grown_shard"), F.pmod(F.xxhash64("text_crc32", "k", "size"), F.lit(SLICES)).cast("int").alias("slice")).drop("w")
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    stable = F.coalesce(F.col("k").cast("long"), F.lit(0).cast("long")) if whole else F.xxhash64("k")
+    walk = jump_walk(stable, shards)
+    groups = groups.withColumn("w", walk).select("*", F.col("w.shard").alias("shard"), F.col("w.grown").alias("grown_shard"), F.pmod(F.col("text_crc32") + F.pmod(stable, F.lit(1_000_003)), F.lit(SLICES)).cast("int").alias("slice")).drop("w")
     per_slice = groups.groupBy("shard", "slice").agg(F.sum("n").alias("n"))
     offsets = F.broadcast(per_slice.selectExpr("shard", "slice", "sum(n) OVER (PARTITION BY shard ORDER BY slice) - n AS first"))  # at most shards * SLICES rows
     numbered = groups.join(offsets, ["shard", "slice"]).selectExpr("*", "first + sum(n) OVER (PARTITION BY shard, slice ORDER BY k, size, text_crc32 ROWS UNBOUNDED PRECEDING) - n AS start")
