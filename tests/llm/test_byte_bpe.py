@@ -26,9 +26,10 @@ def check(rows, docs, library):
     assert got == sorted(wanted, key=str)
 
 
-def test_odd_documents(odd, nothing, library):
-    check(byte_bpe.encode(odd, PATH, P.PATTERN).collect(), [(r.doc_id, r.text) for r in odd.collect()], library)
-    assert byte_bpe.encode(nothing, PATH, P.PATTERN).count() == 0
+@pytest.mark.parametrize("native", [False, True])
+def test_odd_documents(odd, nothing, library, native):
+    check(byte_bpe.encode(odd, PATH, P.PATTERN, native=native).collect(), [(r.doc_id, r.text) for r in odd.collect()], library)
+    assert byte_bpe.encode(nothing, PATH, P.PATTERN, native=native).count() == 0
 
 
 def test_stretches_of_space(spark, library):
@@ -39,12 +40,21 @@ def test_stretches_of_space(spark, library):
     check(rows, list(enumerate(texts)), library)
 
 
-def test_documents(spark, small, library):
+@pytest.mark.parametrize("native", [False, True])
+def test_documents(spark, small, library, native):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
-    check(byte_bpe.encode(docs, PATH, P.PATTERN).collect(), [(r.doc_id, r.text) for r in docs.collect()], library)
+    check(byte_bpe.encode(docs, PATH, P.PATTERN, native=native).collect(), [(r.doc_id, r.text) for r in docs.collect()], library)
 
 
 def test_long_words_by_heap(library):
     ranks = library._mergeable_ranks
     for w in (b"a" * 1000, b"abcabd" * 60, "ünïcödé".encode() * 30, bytes(range(256)), b"=-" * 99):
         assert byte_bpe.merge_long(w, ranks) == library._encode_single_piece(w)
+
+
+def test_the_known_pattern_and_another(spark, library):
+    assert byte_bpe.SPACED == P.PATTERN
+    text = "It's  a-b 12 ünï, x!! \n\n y"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = byte_bpe.encode(df, PATH, r"\w+|\W").collect()[0]
+    assert row.decoded.decode() == text
