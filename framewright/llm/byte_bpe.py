@@ -1,13 +1,16 @@
-"""Byte-level BPE: ranked merges folded over byte arrays of distinct words by Spark's higher-order functions.
-
-One narrow pass over each partition, without a shuffle:
-1. Python splits texts by the vocabulary's pattern and numbers the distinct words of the partition. A batch of documents
-   becomes one row: the documents as word numbers, and the byte arrays of the words that are new.
-2. Spark encodes the new words. `aggregate` folds merges over a word's byte ids: each step merges the adjacent pair of
-   least rank, until no pair has one. Ranks come from a constant map from pairs of ids, in arrays that a perfect hash indexes.
-3. Python replaces word numbers by the words' ids, digests them, and decodes the ids by concatenating their binary pieces.
-The fold is quadratic in a word's length, so words of more than LONG bytes are merged in step 3, by the same ranks, with a
-heap. A partition's numbering starts anew at WORDS words, which bounds its memory.
+"""Byte-level BPE: ranked merges folded over byte arrays of distinct words, and decoding by concatenating binary pieces.
+
+One narrow pass over each partition, without a shuffle. Texts are split by the vocabulary's pattern and the distinct words
+numbered; a word is an array of byte ids, and each step of the fold merges the adjacent pair of least rank, until no pair
+has one. Ranks come from a constant map from pairs of ids, kept in arrays that a perfect hash indexes. Documents are then
+word numbers, replaced by the words' ids, and decoded by concatenating the ids' binary pieces.
+
+The fold has two forms with equal results:
+* `merge_words` folds all new words of a batch at once, as rows of a matrix (the default);
+* `encode_word` folds one word by Spark's higher-order functions (`native=True`): Python splits, Spark encodes the new
+  words, Python joins. These functions are interpreted, at about 100 microseconds a word; see the README for figures.
+Both are quadratic in a word's length, so words of more than LONG bytes are merged by the same ranks with a heap. The
+numbering starts anew at WORDS words, which bounds a worker's memory.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +28,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import arrow_map, batch
+from framewright.llm.common import arrow_map, batch, worker_state
 
 LONG, WORDS = 64, 600_000
+# Fixed value: the pattern of words that take the space before them, as published with the vocabulary.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 2**31 - 1
 # Sizes and multipliers of the perfect hash: two primes, and primes that spread pairs over them.
 SLOTS, GROUPS = 262_139, 32_749
@@ -133,48 +140,128 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+def merge_words(words: list[bytes], keys: np.ndarray, ranks: np.ndarray, shifts: np.ndarray, singles: np.ndarray, block: int = 8192) -> list[bytes]:
+    """Ids of each word (little-endian unsigned 32-bit): the fold over many words at once, the longest block first."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    out: list[bytes] = [b""] * len(words)
+
+    def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        slot = (a * SLOT_L + b * SLOT_R + shifts[(a * GROUP_L + b * GROUP_R) % GROUPS]) % SLOTS
+        return np.where((keys[slot] == (a << 32 | b)) & (a >= 0) & (b >= 0), ranks[slot], NONE)
+
+    for at in range(0, len(order), block):
+        own = order[at : at + block]
+        sizes = np.array([len(words[i]) for i in own])
+        width = int(sizes.max())
+        parts = np.full((len(own), width + 1), -1, np.int64)
+        flat = np.frombuffer(b"".join(words[i] for i in own), np.uint8)
+        parts[np.repeat(np.arange(len(own)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = singles[flat]
+        pairs = rank(parts[:, :-1], parts[:, 1:])
+        columns, rows = np.arange(width + 1)[None], np.arange(len(own))
+        while True:
+            best = pairs.min(1)
+            live = best < NONE
+            for i in np.flatnonzero(~live).tolist():
+                ids = parts[i]
+                out[own[rows[i]]] = ids[ids >= 0].astype("<u4").tobytes()
+            if not live.any():
+                break
+            parts, pairs, rows, best = parts[live], pairs[live], rows[live], best[live]
+            place, line = pairs.argmin(1), np.arange(len(rows))
+            parts[line, place] = best
+            move = np.minimum(columns + (columns > place[:, None]), width)
+            parts = np.take_along_axis(parts, move, 1)
+            parts[:, -1] = -1
+            pairs = np.take_along_axis(pairs, np.minimum(move[:, :-1], width - 1), 1)
+            pairs[:, -1] = NONE
+            before = np.maximum(place - 1, 0)
+            left = rank(parts[line, before], best)
+            pairs[line[place > 0], before[place > 0]] = left[place > 0]
+            pairs[line, place] = rank(best, parts[line, place + 1])
+    return out
+
+
 class Splitter:
     """Numbers the words of texts; `new` collects those not seen since the last restart.
 
-    A stretch between single spaces is split once and kept, since a space before a letter, number or mark starts a word.
+    With SPACED, a stretch between single spaces is split once and kept, since a space before a letter, number or mark
+    starts a word; a stretch of letters with or without marks after them is one word, or two. Other patterns split whole texts.
     """
 
+    LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
     def __init__(self, pattern: str) -> None:
-        self.pattern, self.stretches, self.words, self.new = regex.compile(pattern), {}, {}, []
+        self.pattern, self.spaced, self.stretches, self.words, self.new = regex.compile(pattern), pattern == SPACED, {}, {}, []
 
     def restart(self) -> None:
         self.stretches.clear()
         self.words.clear()
 
-    def _numbers(self, text: str) -> bytes:
+    def _numbers(self, found: list[str]) -> bytes:
         words, out = self.words, []
-        for w in self.pattern.findall(text):
+        for w in found:
             i = words.get(w)
             if i is None:
                 i = words[w] = len(words)
                 self.new.append(w)
             out.append(i)
-        return np.array(out, "<i4").tobytes()
+        return struct.pack(f"<{len(out)}i", *out)
+
+    def _stretch(self, s: str) -> bytes | None:
+        """The numbers of a stretch after a space; None if it can't be split by itself."""
+        if m := self.LETTERS.fullmatch(s):
+            return self._numbers([" " + m[1], m[2]] if m[2] else [" " + m[1]])
+        return None if not s or s[0].isspace() or s[-1].isspace() else self._numbers(self.pattern.findall(" " + s))
 
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
+        if not self.spaced or first[-1:].isspace():
+            return self._numbers(self.pattern.findall(text))
         known = self.stretches
-        if first[-1:].isspace():
-            return self._numbers(text)
         for s in set(rest).difference(known):
-            known[s] = None if not s or s[0].isspace() or s[-1].isspace() else self._numbers(" " + s)
+            known[s] = self._stretch(s)
         found = list(map(known.__getitem__, rest))
-        return self._numbers(text) if None in found else self._numbers(first) + b"".join(found)
+        return self._numbers(self.pattern.findall(text)) if None in found else self._numbers(self.pattern.findall(first)) + b"".join(found)
+
 
+def _digest(doc_id: int | None, ids: bytes, pieces: list[bytes], outputs: bool) -> tuple:
+    decoded = b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if outputs else None, decoded if outputs else None
 
-def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", outputs: bool = True) -> DataFrame:
+
+def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", outputs: bool = True, native: bool = False) -> DataFrame:
     """DIGEST's columns for every row: the ids as little-endian unsigned 32-bit integers, and the bytes they decode to.
 
     Without `outputs`, ids and decoded are null. Null texts count as empty (no ids). Repeated rows give repeated results,
     other columns are not read; an empty table gives an empty result. Special tokens in a text are ordinary text.
     """
-    spark = docs.sparkSession
-    vocabulary = Ranks(spark, path)
+    vocabulary = Ranks(docs.sparkSession, path)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    if native:
+        return _encode_native(rows, vocabulary, pattern, outputs)
+    ranks, pieces, arrays = vocabulary.ranks, vocabulary.pieces, (vocabulary.keys, vocabulary.values, vocabulary.shifts, np.array([vocabulary.ranks[bytes([i])] for i in range(256)]))
+
+    state = f"byte BPE {path} {pattern}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, known = worker_state(state, lambda: (Splitter(pattern), []))
+        for b in batches:
+            if len(splitter.words) > WORDS:
+                splitter.restart()
+                known.clear()
+            splitter.new = []
+            numbers = [splitter(t) for t in b.column(1).to_pylist()]
+            raw = [w.encode() for w in splitter.new]
+            short = iter(merge_words([w for w in raw if len(w) <= LONG], *arrays))
+            known += [next(short) if len(w) <= LONG else np.array(merge_long(w, ranks), "<u4").tobytes() for w in raw]
+            out = [_digest(i, b"".join(map(known.__getitem__, np.frombuffer(n, "<i4").tolist())), pieces, outputs) for i, n in zip(b.column(0).to_pylist(), numbers, strict=True)]
+            if out:
+                yield batch(DIGEST, *zip(*out, strict=True))
+
+    return arrow_map(rows, run, DIGEST_SCHEMA, keeps=state)
+
+
+def _encode_native(rows: DataFrame, vocabulary: Ranks, pattern: str, outputs: bool) -> DataFrame:
     tables, ranks, pieces = vocabulary.tables(), vocabulary.ranks, vocabulary.pieces
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +292,10 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
                     known.append(flat[4 * (starts[i] - shift) : 4 * (starts[i + 1] - shift)] if long is None else np.array(merge_long(long, ranks), "<u4").tobytes())
                 out = []
                 for i, numbers in zip(b.column("docs")[k].values.to_pylist(), b.column("numbers")[k].values.to_pylist(), strict=True):
-                    ids = b"".join(map(known.__getitem__, np.frombuffer(numbers, "<i4").tolist()))
-                    decoded = b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                    out.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if outputs else None, decoded if outputs else None))
+                    out.append(_digest(i, b"".join(map(known.__getitem__, np.frombuffer(numbers, "<i4").tolist())), pieces, outputs))
                 if out:
                     yield batch(DIGEST, *zip(*out, strict=True))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     worded = arrow_map(rows, split, f"restart boolean, docs array<long>, numbers array<binary>, words array<array<smallint>>, long array<binary>, {TABLES}")
     coded = worded.select("restart", "docs", "numbers", "long", F.transform("words", encode_word).alias("coded"))
     return arrow_map(coded, join, DIGEST_SCHEMA)
