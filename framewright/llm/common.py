@@ -32,11 +32,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
-    """mapInArrow with batches of few rows, since one text can hold megabytes."""
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000, keeps: str = "") -> DataFrame:
+    """mapInArrow with batches of few rows, since one text can hold megabytes. keeps: the worker state that f uses; other states are dropped first."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _states()
+        for key in [k for k in held if k != keeps]:
+            del held[key]
+        return f(batches)
+
+    return df.mapInArrow(run, schema)
+
+
+def _states() -> dict[str, object]:
+    """What this Python worker keeps from task to task."""
+    return sys.modules.setdefault("framewright_worker_state", types.ModuleType("framewright_worker_state")).__dict__.setdefault("held", {})
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -44,9 +56,11 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def worker_state(key: str, make: Callable[[], object]) -> object:
-    """An object that a Python worker keeps from task to task: caches of pure functions only."""
-    store = sys.modules.setdefault("framewright_worker_state", types.ModuleType("framewright_worker_state")).__dict__
-    return store[key] if key in store else store.setdefault(key, make())
+    """An object that a Python worker keeps from task to task, for caches of pure functions only; see arrow_map's `keeps`."""
+    held = _states()
+    if key not in held:
+        held[key] = make()
+    return held[key]
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:

@@ -311,7 +311,7 @@ def score(docs: DataFrame, training: DataFrame | None = None, doc_id: str = "doc
             if out:
                 yield batch(SCORED, *zip(*out, strict=True))
 
-    scored = arrow_map(own, run, SCORED_SCHEMA)
+    scored = arrow_map(own, run, SCORED_SCHEMA, keeps="language model")
     if not inline:
         # a rare word is below head_rate of all tokens, so no key is hot
         rows = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "lm-rows")

@@ -55,7 +55,7 @@ class Encoder:
     """
 
     #: Words kept, at most; then the cache starts anew.
-    ENTRIES = 1_500_000
+    ENTRIES = 1_000_000
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
@@ -199,8 +199,10 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id",
     Other columns are not read; an empty table gives an empty result.
     """
 
+    state = f"encoder {tokenizer}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, rows = worker_state(f"encoder {tokenizer}", lambda: Encoder(tokenizer)), Packer(TaskContext.get().partitionId()), []
+        encode, packer, rows = worker_state(state, lambda: Encoder(tokenizer)), Packer(TaskContext.get().partitionId()), []
         end = np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
@@ -219,4 +221,4 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id",
         if rows:
             yield flush()
 
-    return arrow_map(df.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text"), run, PIECES_SCHEMA)
+    return arrow_map(df.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text"), run, PIECES_SCHEMA, keeps=state)
