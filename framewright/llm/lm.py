@@ -1,16 +1,20 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Tokens are ASCII-lower-cased runs of anything but ASCII white space, then one end token. Training counts every token of
-every training document. An n-gram model with absolute discounting is built over them:
+Tokens are ASCII-lower-cased runs of anything but ASCII white space, then one end token. Training counts every token and
+every n-gram of every training document; none is cut off, at any size. A backoff model with absolute discounting is built
+over them:
 * the unigram is (c + 0.5) / (N + 0.5 (V + 1)), which leaves one share to all unseen words;
-* words of at least HEAD_RATE of all tokens can stand in longer n-grams, and n-grams of at least GRAM_RATE of all tokens
-  are kept. These are shares of the corpus, so there are at most 1 / rate of them at any size;
-* contexts are states, kept n-grams are arcs, and every state has a failure arc to its shorter context, whose weight is
-  the backoff mass that makes the state's distribution sum to one.
-A text is scored by one left-to-right traversal that carries the state and adds log10 probabilities.
-
-Counts of rare words grow with the corpus. Up to SHIPPED_WORDS of them are sent to the executors as hashes and counts;
-beyond that their logarithms are joined to the documents' rare words in Spark. Both ways give the same sums.
+* an n-gram in the model has (c - D) / c(context), any other the backoff weight of its context times what the shorter
+  context gives, so that every context's distribution sums to one.
+Backoff weights are pushed from the failure arcs to the n-grams: log10 p of a text is then a plain sum, over all its
+n-grams of 1 to `order` words, of a weight that depends on the n-gram alone (an n-gram's weight cancels what its shorter
+ones gave, and bears its own backoff; n-grams outside the model have none). So the weights are a table, as large as the
+corpus makes it, and scoring is a join and a sum. N-grams are known by 64-bit hashes.
+
+Weights of frequent n-grams (HEAD_RATE and GRAM_RATE of all tokens) are sent to the executors, where they spare the join
+its hot keys; so is the whole table while it has at most SHIPPED rows. Where a weight is looked up doesn't change a sum.
+
+`build` gives the same model as an automaton with failure arcs in memory, for small corpora.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +35,16 @@ from framewright.llm.common import arrow_map, batch, held_out, materialise, work
 
 ORDER = 3
 HEAD_RATE, GRAM_RATE = 1e-5, 2e-6
-#: Words whose counts are sent to the executors, at most (12 bytes each).
-SHIPPED_WORDS = 8_000_000
+#: Weights that are sent to the executors without regard to their n-gram's frequency, at most.
+SHIPPED = 400_000
 #: The end token: no word has a space.
 END = b" "
+#: Stands before the first word; no word has spaces.
+START = b"  "
 COUNTED = 250_000
-SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))])
-SCORED_SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
+WORDS = 400_000
+GRAMS = pa.schema([("n", pa.int32()), ("gram", pa.int64()), ("context", pa.int64()), ("lower", pa.int64()), ("c", pa.int64())])
+LOOKED_UP = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def tokens(text: str) -> list[bytes]:
@@ -220,83 +227,135 @@ def build(texts: DataFrame, order: int = ORDER, head_rate: float = HEAD_RATE, gr
     return Automaton(head, counts, int(total), int(vocabulary), docs, grams, discounts), words
 
 
-class Scorer:
-    """Scores texts; `lookup` gives the counts of rare words, or None where they are joined later."""
-
-    WORDS = 400_000
-
-    def __init__(self, automaton: Automaton, lookup) -> None:
-        self.automaton, self.lookup = automaton, lookup
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.logs, self.seen = (np.zeros(1024, t) for t in (np.int64, np.float64, np.int64))
-
-    def _learn(self, words: list[bytes]) -> None:
-        head, a, n = self.automaton.head, self.automaton, len(self.known)
-        ids = np.fromiter((head.get(w, -1) for w in words), np.int64, len(words))
-        logs, seen = np.zeros(len(words)), np.ones(len(words), np.int64)
-        logs[ids >= 0] = a.unigram[ids[ids >= 0]]
-        rare = np.flatnonzero(ids < 0)
-        if self.lookup:
-            c = self.lookup([words[i] for i in rare])
-            logs[rare], seen[rare] = np.log10((c + 0.5) / a.denominator), c > 0
-        else:
-            seen[rare] = 0
-        while n + len(words) > len(self.ids):
-            self.ids, self.logs, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.logs, self.seen))
-        for x, own in ((self.ids, ids), (self.logs, logs), (self.seen, seen)):
-            x[n : n + len(words)] = own
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def __call__(self, text: str) -> tuple:
-        """n_tokens, n_known, base_score, score, rare words (where they are joined later)."""
-        words = [*tokens(text), END]
-        if len(self.known) > self.WORDS:
-            self._clear()
-        if missing := list(set(words).difference(self.known)):
-            self._learn(missing)
-        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        ids, logs = self.ids[codes], self.logs[codes]
-        score = self.automaton.traverse(ids.tolist(), logs.tolist())
-        return len(words), int(self.seen[codes].sum()), float(logs.sum()), score, None if self.lookup else [w for w, i in zip(words, ids.tolist(), strict=True) if i < 0]
-
-
-def _counts_of(keys: np.ndarray, counts: np.ndarray):
-    def lookup(words: list[bytes]) -> np.ndarray:
-        h = hashes(words)
-        at = np.searchsorted(keys, h)
-        at[at == len(keys)] = 0
-        return np.where(keys[at] == h, counts[at], 0).astype(np.float64) if len(keys) else np.zeros(len(words))
-
-    return lookup
-
-
-def _ship(words: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the words below the head."""
+class Keys:
+    """Hashes of the n-grams of texts; words' hashes are kept, up to WORDS of them."""
+
+    def __init__(self, order: int) -> None:
+        self.order, self.known = order, {}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of each token, the start symbol of each text among them: its text, its place there, and the keys of the n-grams that end in it, n from 1; a key holds where the place is n - 1 or more."""
+        lists = [[START, *tokens(t or ""), END] for t in texts]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = [w for own in lists for w in own]
+        if len(self.known) > WORDS:
+            self.known.clear()
+        missing = list(set(flat).difference(self.known))
+        self.known.update(zip(missing, hashes(missing).tolist(), strict=True))
+        keys = [np.fromiter(map(self.known.__getitem__, flat), np.uint64, len(flat))]
+        for n in range(2, self.order + 1):
+            keys.append(_joined(np.concatenate([keys[-1][:1], keys[-1][:-1]]), keys[0], n))
+        return np.repeat(np.arange(len(lists)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), keys
+
+
+def _joined(context: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    m = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        x = (context ^ (context >> np.uint64(31))) * m + word * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)
+        x = (x ^ (x >> np.uint64(29))) * m
+        return x ^ (x >> np.uint64(32))
+
+
+def count_all_grams(texts: DataFrame, order: int) -> DataFrame:
+    """n, gram, context, lower, c: counts of all n-grams from 2 words to `order`, with the keys of their first and last n - 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys_of = Keys(order)
+        held: dict[int, list] = {n: [] for n in range(2, order + 1)}
+        room = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for n, parts in held.items():
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * 3
+                held[n] = []
+                own, first, counts = np.unique(columns[0], return_index=True, return_counts=True)
+                columns = [x.view(np.int64) for x in (own, columns[1][first], columns[2][first])] + [counts]
+                for at in range(0, len(own), 100_000):
+                    part = [x[at : at + 100_000] for x in columns]
+                    yield batch(GRAMS, np.full(len(part[0]), n, np.int32), *part)
+
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(hashes(b.column(0).to_pylist()).view(np.int64)), b.column(1).cast(pa.int32())], ["h", "c"])
+            _, place, keys = keys_of(b.column(0).to_pylist())
+            for n in held:
+                at = np.flatnonzero(place >= n - 1)
+                held[n].append((keys[n - 1][at], keys[n - 2][at - 1], keys[n - 2][at]))
+            room += len(place)
+            if room > 3_000_000:
+                yield from out()
+                room = 0
+        yield from out()
 
-    found = arrow_map(words.where(F.col("c") < F.lit(least)).select("token", "c"), run, "h long, c int", rows=100_000).toArrow()
-    keys, counts = found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+    found = arrow_map(texts, run, "n int, gram long, context long, lower long, c long")
+    return found.groupBy("n", "gram").agg(F.min("context").alias("context"), F.min("lower").alias("lower"), F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, training: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", shipped: int = SHIPPED_WORDS, order: int = ORDER, head_rate: float = HEAD_RATE, gram_rate: float = GRAM_RATE) -> DataFrame:
+def weights(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, int, int]:
+    """The model of the texts: n, key, c, word (log10 of a word's unigram over that of unseen words), v (the rest); all tokens; distinct tokens.
+
+    A key has up to two rows, as an n-gram and as a context; weights add up.
+    """
+    words = materialise(count_words(texts), "lm-words")
+    total, vocabulary = words.agg(F.sum("c"), F.count(F.lit(1))).first()
+    total = total or 0
+    denominator = total + 0.5 * (vocabulary + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(b.column(0).to_pylist()).view(np.int64)), b.column(1)], ["gram", "c"])
+
+    words = arrow_map(words.select("token", "c"), run, "gram long, c long", rows=100_000)
+    unigrams = materialise(words.withColumn("p", (F.col("c") + 0.5) / F.lit(denominator)), "lm-unigrams")
+    grams = materialise(count_all_grams(texts, order), "lm-grams")
+    few = {(r[0], r[1]): r[2] for r in grams.where("c <= 2").groupBy("n", "c").count().collect()}
+    none = F.lit(None).cast("double")
+    parts = [unigrams.select(F.lit(1).alias("n"), F.col("gram").alias("key"), "c", F.log10(F.col("p") / F.lit(0.5 / denominator)).alias("word"), F.lit(0.0).alias("v"))]
+    lower = unigrams
+    for n in range(2, order + 1):
+        a, b = few.get((n, 1), 0), few.get((n, 2), 0)
+        discount = a / (a + 2 * b) if a and b else 0.5
+        own = grams.where(F.col("n") == n).select("gram", "context", "lower", "c").join(lower.select(F.col("gram").alias("lower"), F.col("p").alias("q")), "lower").drop("lower")
+        own = materialise(own, "lm-lower")
+        # every token but the last of a text is followed by one, so a context's n-grams add up to its own count
+        contexts = own.groupBy("context").agg(F.sum("c").alias("size"), (F.lit(discount) * F.count(F.lit(1)) / F.sum("c")).alias("left"), F.sum("q").alias("taken"))
+        least = F.lit(1e-12)
+        contexts = materialise(contexts.select("context", "size", F.log10(F.greatest("left", least) / F.greatest(1 - F.col("taken"), least)).alias("backoff")), "lm-contexts")
+        p = (F.col("c") - F.lit(discount)) / F.col("size")
+        lower = materialise(own.join(contexts, "context").select("gram", "c", p.alias("p"), (F.log10(p / F.col("q")) - F.col("backoff")).alias("v")), "lm-weights")
+        parts += [lower.select(F.lit(n).alias("n"), F.col("gram").alias("key"), "c", none.alias("word"), "v"), contexts.select(F.lit(n - 1).alias("n"), F.col("context").alias("key"), F.col("size").alias("c"), none.alias("word"), F.col("backoff").alias("v"))]
+    table = parts[0]
+    for x in parts[1:]:
+        table = table.unionAll(x)
+    return table, int(total), int(vocabulary)
+
+
+def _sent(table: DataFrame, order: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """By n: sorted keys, their words' weights, whether they are words, their other weights."""
+    found = table.select("n", "key", "word", "v").toArrow()
+    ns, key, word, v = (found.column(c).to_numpy() for c in ("n", "key", "word", "v"))
+    out = {}
+    for n in range(1, order + 1):
+        own = ns == n
+        keys, at = np.unique(key[own].view(np.uint64), return_inverse=True)
+        is_word = ~np.isnan(word[own])
+        out[n] = (keys, np.bincount(at, np.where(is_word, word[own], 0.0), len(keys)), np.bincount(at, is_word, len(keys)).astype(np.int64), np.bincount(at, v[own], len(keys)))
+    return out
+
+
+def score(docs: DataFrame, training: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", shipped: int = SHIPPED, order: int = ORDER, head_rate: float = HEAD_RATE, gram_rate: float = GRAM_RATE) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`.
 
     training: the documents to learn from, by default `docs`. Null texts count as empty (the end token alone); without
     training documents all tokens are unseen and both scores are 0-count unigrams. Other columns are not read; an empty
-    table gives an empty result.
+    table gives an empty result. shipped, head_rate, gram_rate: which weights are sent to the executors rather than
+    joined (all, where there are at most `shipped`; else words and n-grams of at least these shares of all tokens);
+    scores don't depend on them.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    automaton, words = build((docs if training is None else training).select(F.col(text).cast("string").alias("text")), order, head_rate, gram_rate)
-    inline = automaton.vocabulary <= shipped
-    sent = own.sparkSession.sparkContext.broadcast(cloudpickle.dumps((automaton, _ship(words, head_rate * automaton.total) if inline else None)))
+    table, total, vocabulary = weights((docs if training is None else training).select(F.col(text).cast("string").alias("text")), order)
+    whole = table.count() <= shipped
+    frequent = F.col("c") >= F.when(F.col("n") == 1, F.lit(head_rate * total)).otherwise(F.lit(gram_rate * total))
+    sent = own.sparkSession.sparkContext.broadcast(cloudpickle.dumps(_sent(table if whole else table.where(frequent), order)))
+    unseen = math.log10(0.5 / (total + 0.5 * (vocabulary + 1)))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,23 +363,40 @@ def score(docs: DataFrame, training: DataFrame | None = None, doc_id: str = "doc
         if name not in held:
             held.clear()
             held[name] = cloudpickle.loads(sent.value)
-        model, rare = held[name]
-        scorer = Scorer(model, _counts_of(*rare) if rare is not None else None)
+        model, keys_of, row = held[name], Keys(order), TaskContext.get().partitionId() << 33
         for b in batches:
-            out = [(i, *scorer(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            if out:
-                yield batch(SCORED, *zip(*out, strict=True))
-
-    scored = arrow_map(own, run, SCORED_SCHEMA, keeps="language model")
-    if not inline:
-        # a rare word is below head_rate of all tokens, so no key is hot
-        rows = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-        wanted = rows.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("n"))
-        log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(automaton.denominator))
-        sums = wanted.join(words, "token", "left").groupBy("row").agg(F.sum(F.col("n") * log).alias("s"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("k"))
-        add = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0))).alias(c)
-        scored = rows.join(sums, "row", "left").select("doc_id", "n_tokens", add("n_known", F.col("k")), add("base_score", F.col("s")), add("score", F.col("s")))
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(automaton.total).cast("long").alias("train_tokens"), "base_score", "score")
+            size = b.num_rows
+            of, place, keys = keys_of(b.column(1).to_pylist())
+            n_tokens = np.bincount(of, place > 0, size).astype(np.int64)
+            known, base, more = np.zeros(size, np.int64), n_tokens * unseen, np.zeros(size)
+            for n, key in enumerate(keys, 1):
+                here = np.flatnonzero(place >= n - 1)
+                k, d = key[here], of[here]
+                sorted_keys, word, is_word, v = model[n]
+                at = np.searchsorted(sorted_keys, k)
+                at[at == len(sorted_keys)] = 0
+                fine = sorted_keys[at] == k if len(sorted_keys) else np.zeros(len(k), bool)
+                at, found = at[fine], d[fine]
+                more += np.bincount(found, v[at], size)
+                if n == 1:
+                    base += np.bincount(found, word[at], size)
+                    known += np.bincount(found, is_word[at], size).astype(np.int64)
+                k, d = (k[~fine].view(np.int64), d[~fine]) if not whole else (k[:0], d[:0])
+                for i in range(0, len(k), 100_000):
+                    part = k[i : i + 100_000]
+                    yield batch(LOOKED_UP, row + d[i : i + 100_000], np.full(len(part), n, np.int32), part, *[pa.nulls(len(part), t) for t in LOOKED_UP.types[3:]])
+            rows = np.arange(row, row + size)
+            yield batch(LOOKED_UP, rows, np.zeros(size, np.int32), rows, b.column(0), n_tokens, known, base, base + more)
+            row += size
+
+    scored = arrow_map(own, run, "row long, n int, key long, doc_id long, n_tokens long, n_known long, base_score double, score double", keeps="language model")
+    if not whole:
+        # n is 0 in the documents' own rows, which match nothing; the table's frequent keys are not among the others
+        scored = scored.join(table.where(~frequent).select("n", "key", "word", "v"), ["n", "key"], "left")
+        plus = lambda c, x: (F.max(c) + F.coalesce(F.sum(x), F.lit(0))).alias(c)
+        one = F.when(F.col("word").isNotNull(), F.lit(1))
+        scored = scored.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), plus("n_known", one), plus("base_score", F.col("word")), plus("score", F.coalesce("word", F.lit(0.0)) + F.col("v")))
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:

@@ -64,3 +64,46 @@ def test_failure_arcs_lead_to_the_longest_suffix(spark, small):
     for h, i in a.states.items():
         if h:
             assert h[1:][-len(names[a.fail[i]]) or len(h) :] == names[a.fail[i]]
+
+
+def backoff_model(docs, order):
+    """log10 p of a word after others, by counts of all n-grams of the documents."""
+    counts = [Counter() for _ in range(order + 1)]
+    for d in docs:
+        w = [None, *words(d)]
+        counts[1].update(w[1:])
+        for n in range(2, order + 1):
+            counts[n].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    total, vocabulary = sum(counts[1].values()), len(counts[1])
+    discounts = {}
+    after = {}
+    for n in range(2, order + 1):
+        a, b = (sum(c == x for c in counts[n].values()) for x in (1, 2))
+        discounts[n] = a / (a + 2 * b) if a and b else 0.5
+        for (*h, w), c in counts[n].items():
+            after.setdefault(tuple(h), {})[w] = c
+
+    def p(w, h):
+        if not h:
+            return (counts[1][w] + 0.5) / (total + 0.5 * (vocabulary + 1))
+        if not (own := after.get(h)):
+            return p(w, h[1:])
+        size, d = sum(own.values()), discounts[len(h) + 1]
+        if w in own:
+            return (own[w] - d) / size
+        return d * len(own) / size / (1 - sum(p(x, h[1:]) for x in own)) * p(w, h[1:])
+
+    return p
+
+
+@pytest.mark.parametrize(("order", "shipped"), [(3, 0), (3, 10**6), (4, 0), (2, 10**6)])
+def test_scores_are_those_of_the_backoff_model_over_all_n_grams(spark, order, shipped):
+    # n-grams far below any share of the corpus: every one counts, those of rare words too
+    texts = ["a b c d a b c e", "a b d c a b", "d c b a rare words here", "rare words here a b", "c c c c", "new a b c unknown rare words", "", *["x y z"] * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    p = backoff_model([t for i, t in enumerate(texts) if i != 5], order)
+    got = lm.score(docs, docs.where("doc_id <> 5"), shipped=shipped, order=order, head_rate=0.2, gram_rate=0.1).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = [None, *words(texts[r.doc_id])]
+        assert r.score == pytest.approx(sum(math.log10(p(w[i], tuple(w[max(0, i - order + 1) : i]))) for i in range(1, len(w))), rel=1e-9)
