@@ -458,6 +458,14 @@ def merge_null_keys(spark, sf_dir):
     return joins.merge(e.where("event_id < 200"), e.where("event_id < 20"), on="n", how="outer")
 
 
+@query("""SELECT coalesce(l.k, r.k) AS k, o_orderkey, c_custkey FROM (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS k, o_orderkey FROM orders) l
+FULL JOIN (SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS k, c_custkey FROM customer) r ON l.k = r.k""")
+def merge_null_keys_whole(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.when(C("o_orderkey") % 7 != 0, C("o_custkey")).alias("k"), "o_orderkey")
+    c = table(spark, sf_dir, "customer").select(F.when(C("c_custkey") % 5 != 0, C("c_custkey")).alias("k"), "c_custkey")
+    return joins.merge(o, c, on="k", how="outer")
+
+
 @query("SELECT a.n_nationkey AS n_nationkey_0, a.n_name, b.n_nationkey AS n_nationkey_1, b.big FROM nation a JOIN (SELECT n_nationkey, n_nationkey * 10 AS big FROM nation) b USING (n_nationkey)")
 def concat_columns(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
