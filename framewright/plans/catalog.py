@@ -438,6 +438,31 @@ def merge_indicator(spark, sf_dir):
     return joins.merge(*_sides(spark, sf_dir), on="k", how="outer", suffixes=("_l", "_r"), indicator=True)
 
 
+#: Whole orders and customers; every tenth key of each side is moved away, so that both have unmatched rows.
+_ALL_L = "(SELECT CASE WHEN o_orderkey % 10 = 0 THEN -o_custkey ELSE o_custkey END AS k, o_orderkey, o_totalprice AS v FROM orders)"
+_ALL_R = "(SELECT CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1000000000000 ELSE c_custkey END AS k, c_acctbal AS v FROM customer)"
+
+
+def _whole_sides(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.when(C("o_orderkey") % 10 == 0, -C("o_custkey")).otherwise(C("o_custkey")).alias("k"), "o_orderkey", C("o_totalprice").alias("v"))
+    c = table(spark, sf_dir, "customer").select(F.when(C("c_custkey") % 10 == 0, C("c_custkey") + 10**12).otherwise(C("c_custkey")).alias("k"), C("c_acctbal").alias("v"))
+    return o, c
+
+
+for _how, _sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}.items():
+
+    def _merged_whole(spark, sf_dir, how=_how):
+        return joins.merge(*_whole_sides(spark, sf_dir), on="k", how=how)
+
+    QUERIES[f"merge_{_how}_whole"] = _merged_whole
+    ORACLES[f"merge_{_how}_whole"] = f"SELECT k, o_orderkey, l.v AS v_x, r.v AS v_y FROM {_ALL_L} l {_sql} {_ALL_R} r USING (k)"
+
+
+@query(f"SELECT k, o_orderkey, l.v AS v_l, r.v AS v_r, CASE WHEN l.o_orderkey IS NULL THEN 'right_only' WHEN r.v IS NULL THEN 'left_only' ELSE 'both' END AS _merge FROM {_ALL_L} l FULL JOIN {_ALL_R} r USING (k)")
+def merge_indicator_whole(spark, sf_dir):
+    return joins.merge(*_whole_sides(spark, sf_dir), on="k", how="outer", suffixes=("_l", "_r"), indicator=True)
+
+
 @query("SELECT c_custkey, c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def merge_left_on_right_on(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")

@@ -14,3 +14,14 @@ def test_merge_null_keys_keeps_every_row_of_both_tables(spark):
     assert sorted(r.o_orderkey for r in rows if r.o_orderkey is not None) == ids(spark, "orders", "o_orderkey")
     assert sorted({r.c_custkey for r in rows if r.c_custkey is not None}) == ids(spark, "customer", "c_custkey")
     assert {(r.o_orderkey is None, r.c_custkey is None) for r in rows if r.k is None} == {(True, False), (False, True)}
+
+
+def test_merges_take_whole_tables(spark):
+    orders, customers = ids(spark, "orders", "o_orderkey"), ids(spark, "customer", "c_custkey")
+    got = {how: catalog.QUERIES[f"merge_{how}_whole"](spark, DATA).collect() for how in ("inner", "left", "right", "outer", "indicator")}
+    for how in ("left", "outer", "indicator"):
+        assert sorted(r.o_orderkey for r in got[how] if r.o_orderkey is not None) == orders
+    for how in ("right", "outer", "indicator"):
+        assert len({r.k for r in got[how] if r[3] is not None}) == len(customers)  # the right side's value
+    assert {r._merge for r in got["indicator"]} == {"both", "left_only", "right_only"}
+    assert sorted(r.o_orderkey for r in got["inner"]) == sorted(r.o_orderkey for r in got["indicator"] if r._merge == "both")
