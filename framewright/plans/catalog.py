@@ -637,6 +637,12 @@ def cumprod(spark, sf_dir):
     return e.select("event_id", windows.cumulative(e, "prod", "two", "event_id", ["user_id", "event_type"]).alias("x"))
 
 
+@query("SELECT event_id, CAST(product(CASE WHEN event_id % 9 = 0 THEN -1 ELSE 1 END) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS x FROM events")
+def cumprod_whole(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("sign", F.when(C("event_id") % 9 == 0, F.lit(-1)).otherwise(F.lit(1)).cast("long"))
+    return e.select("event_id", windows.cumulative(e, "prod", "sign", "event_id", ["user_id", "event_type"]).alias("x"))
+
+
 # -- texts ----------------------------------------------------------------------------------------------------------------
 
 _T = "(SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN '  ' || p_name || chr(9) END AS s, CASE WHEN p_partkey % 9 <> 0 THEN p_name END AS t, CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '' END || CAST(p_size AS VARCHAR) AS z FROM part)"

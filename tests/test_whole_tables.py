@@ -25,3 +25,9 @@ def test_merges_take_whole_tables(spark):
         assert len({r.k for r in got[how] if r[3] is not None}) == len(customers)  # the right side's value
     assert {r._merge for r in got["indicator"]} == {"both", "left_only", "right_only"}
     assert sorted(r.o_orderkey for r in got["inner"]) == sorted(r.o_orderkey for r in got["indicator"] if r._merge == "both")
+
+
+def test_cumprod_takes_every_event(spark):
+    rows = catalog.QUERIES["cumprod_whole"](spark, DATA).collect()
+    assert sorted(r.event_id for r in rows) == ids(spark, "events", "event_id")
+    assert {r.x for r in rows} == {1, -1}
