@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.session import scratch
 from framewright.types import FLOAT, as_list, column, kind, require
 
 
@@ -31,6 +32,18 @@ def sort(df: DataFrame, by: str | list[str], ascending: list[bool] | bool = True
     return df.orderBy(*sort_keys(df, by, ascending), *ties)
 
 
+def positions(df: DataFrame, by: str | list[str], ascending: list[bool] | bool = True, order: list[str] | None = None, name: str = "position") -> DataFrame:
+    """All rows with their places in the sort, from 1. The sorted rows are written once; only rows a partition are summed in one place."""
+    path = scratch(df.sparkSession, "positions")
+    sort(df, by, ascending, order).withColumn("\0id", F.monotonically_increasing_id()).write.parquet(path)
+    # the id is the number of the partition and, in the lower 33 bits, that of the row in it
+    rows = df.sparkSession.read.parquet(path).withColumn("\0p", F.shiftright("\0id", 33))
+    before = Window.orderBy("\0p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("\0p").agg(F.count(F.lit(1)).alias("\0n")).select("\0p", F.coalesce(F.sum("\0n").over(before), F.lit(0)).alias("\0before"))
+    within = F.col("\0id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(counts, "\0p").withColumn(name, F.col("\0before") + within + 1).drop("\0id", "\0p", "\0before")
+
+
 def largest(df: DataFrame, n: int, by: str, order: list[str]) -> DataFrame:
     """The n greatest; of equal values the last by `order` first."""
     return sort(df, by, False, order).limit(n)

@@ -510,6 +510,11 @@ def sort_nulls_last(spark, sf_dir):
     return ordering.sort(events(spark, sf_dir), "n", False, ["event_id"]).limit(40).select("event_id", "n")
 
 
+@query(f"SELECT event_id, n, row_number() OVER (ORDER BY n DESC NULLS LAST, event_id DESC) AS position FROM {EVENTS}")
+def sort_nulls_last_whole(spark, sf_dir):
+    return ordering.positions(events(spark, sf_dir).select("event_id", "n"), "n", False, ["event_id"])
+
+
 @query(f"SELECT event_id, n FROM {EVENTS} ORDER BY n DESC NULLS LAST, event_id DESC LIMIT 25")
 def nlargest(spark, sf_dir):
     return ordering.largest(events(spark, sf_dir), 25, "n", ["event_id"]).select("event_id", "n")
@@ -841,3 +846,10 @@ def csv_missing_values(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.lit(None).cast("double").alias("a"), "p_size")
     csv.write_csv(p, path, delimiter=";", na_rep="NA")
     return select.keep_rows(csv.read_csv(spark, path, delimiter=";", dtypes={"a": "float64"}), C("p_size") > 25)
+
+
+@query("SELECT p_partkey, NULL::DOUBLE AS a, CAST(p_size AS BIGINT) AS p_size FROM part")
+def csv_missing_values_whole(spark, sf_dir):
+    path = scratch(spark, "part-csv")
+    csv.write_csv(table(spark, sf_dir, "part").select("p_partkey", F.lit(None).cast("double").alias("a"), "p_size"), path, delimiter=";", na_rep="NA")
+    return csv.read_csv(spark, path, delimiter=";", dtypes={"a": "float64"})

@@ -31,3 +31,15 @@ def test_cumprod_takes_every_event(spark):
     rows = catalog.QUERIES["cumprod_whole"](spark, DATA).collect()
     assert sorted(r.event_id for r in rows) == ids(spark, "events", "event_id")
     assert {r.x for r in rows} == {1, -1}
+
+
+def test_sort_nulls_last_shows_the_nulls(spark):
+    rows = sorted(catalog.QUERIES["sort_nulls_last_whole"](spark, DATA).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(1, len(ids(spark, "events", "event_id")) + 1))
+    assert [(r.n, r.event_id) for r in rows] == sorted(((r.n, r.event_id) for r in rows), key=lambda x: (x[0] is None, -(x[0] or 0), -x[1]))
+    assert rows[-1].n is None
+
+
+def test_csv_missing_values_takes_every_part(spark):
+    rows = catalog.QUERIES["csv_missing_values_whole"](spark, DATA).collect()
+    assert sorted(r.p_partkey for r in rows) == ids(spark, "part", "p_partkey")
