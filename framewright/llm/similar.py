@@ -120,6 +120,11 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     no links. Ids should be unique; a repeated id makes rows of its own. Other columns are not read; an empty table
     gives an empty result. prune: the tolerance of Bayesian pruning, None to verify every pair of similar sizes.
     """
+    return _classes(df, doc_id, text, threshold, prune).drop("root")
+
+
+def _classes(df: DataFrame, doc_id: str, text: str, threshold: float, prune: float | None) -> DataFrame:
+    """As near_classes, and root: the class's own key, as classes of repeated ids can share their smallest id."""
     own = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = own.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("digest"))
 
@@ -178,9 +183,9 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     joined = texts.drop("bands").join(counts, "node", "left").join(classes, "node", "left").select("digest", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     joined = materialise(joined, "classes")
     ids = joined.groupBy("root").agg(F.min("rep").alias("class_id"))
-    per_text = joined.join(ids, "root").select("digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    known = signed.select("doc_id", "digest").join(per_text, "digest").select("doc_id", "class_id", "n_links", F.col("digest").alias("text_digest"))
-    return known.union(rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long"), "digest"))
+    per_text = joined.join(ids, "root").select("digest", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    known = signed.select("doc_id", "digest").join(per_text, "digest").select("doc_id", "class_id", "n_links", F.col("digest").alias("text_digest"), "root")
+    return known.union(rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long"), "digest", F.lit(None).cast("long")))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -189,8 +194,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Where rows repeat the kept id and text, one of them stays.
     """
     names = docs.columns
-    classes = near_classes(docs, threshold=threshold)
-    kept = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.min("text_digest").alias("text_digest"))
+    classes = _classes(docs, "doc_id", "text", threshold, TOLERANCE)
+    kept = classes.where("doc_id = class_id").groupBy("root", "doc_id").agg(F.min("text_digest").alias("text_digest"))
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("key"), digest.alias("own"))
     one = marked.join(kept.select(F.col("doc_id").alias("key"), F.col("text_digest").alias("own")), ["key", "own"]).dropDuplicates(["key", "own"])

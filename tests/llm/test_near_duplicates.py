@@ -93,3 +93,10 @@ def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(60)] + [(7, 7), (300, 301), (301, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, **{200 + i: 100 for i in range(60)}, 300: 300, 301: 300}
+
+
+def test_unlike_texts_of_a_repeated_id_both_stay(spark):
+    x, y = ("%s " % " ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    docs = [(2, x), (2, y), (2, y), (3, x), (4, y + "more"), (5, "alone")]
+    kept = ngram_join.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(2, x), (2, y), (5, "alone")]
