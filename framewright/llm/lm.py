@@ -128,7 +128,7 @@ def count_grams(texts: DataFrame, head: dict[bytes, int], order: int) -> DataFra
 class Automaton:
     """States 0 (no context) and up; arcs keyed by state * width + word; failure arcs with their weights. All logarithms to base 10."""
 
-    def __init__(self, head: dict[bytes, int], counts: np.ndarray, total: int, vocabulary: int, docs: int, grams: dict[int, dict[int, int]], discounts: dict[int, float]) -> None:
+    def __init__(self, head: dict[bytes, int], counts: np.ndarray, total: int, vocabulary: int, docs: int, grams: dict[int, dict[int, int]], discounts: dict[int, float], order: int = ORDER) -> None:
         self.head, self.total, self.vocabulary = head, total, vocabulary
         self.start = len(head)
         self.width = width = len(head) + 1
@@ -172,7 +172,7 @@ class Automaton:
             self.fail[i], self.backoff[i] = self.states[shorter], math.log10(backoff[h])
             for w, p in own.items():
                 if p > 0:
-                    self.arcs[i * width + w] = (self.states[longest((*h, w)[-(ORDER - 1) :])], math.log10(p))
+                    self.arcs[i * width + w] = (self.states[longest((*h, w)[-(order - 1) :])], math.log10(p))
         self.after = [self.states.get((w,), 0) for w in range(width)]  # where the root goes with each word
         self.first = self.states.get((self.start,), 0)
         self.unigram = np.log10(unigram) if len(unigram) else np.zeros(0)
@@ -224,7 +224,7 @@ def build(texts: DataFrame, order: int = ORDER, head_rate: float = HEAD_RATE, gr
             grams[n][g] = c
     ends = words.where(F.col("token") == F.lit(bytearray(END))).first()
     docs = ends["c"] if ends else 1
-    return Automaton(head, counts, int(total), int(vocabulary), docs, grams, discounts), words
+    return Automaton(head, counts, int(total), int(vocabulary), docs, grams, discounts, order), words
 
 
 class Keys:

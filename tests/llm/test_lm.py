@@ -107,3 +107,15 @@ def test_scores_are_those_of_the_backoff_model_over_all_n_grams(spark, order, sh
     for r in got:
         w = [None, *words(texts[r.doc_id])]
         assert r.score == pytest.approx(sum(math.log10(p(w[i], tuple(w[max(0, i - order + 1) : i]))) for i in range(1, len(w))), rel=1e-9)
+
+
+def test_arcs_enter_the_states_of_a_longer_order(spark):
+    texts = ["a b c d a b c d", "a b c e", "b c d a", "a b c d a"]
+    a, _ = lm.build(spark.createDataFrame([(t,) for t in texts], "text string"), 4, 0.0, 0.0)
+    p = backoff_model(texts, 4)
+    for t in [*texts, "a b c d e a b c d"]:
+        w = [None, *words(t)]
+        ids = [a.head[x.encode()] for x in w[1:]]
+        wanted = sum(math.log10(p(w[i], tuple(w[max(0, i - 3) : i]))) for i in range(1, len(w)))
+        assert a.traverse(ids, [float(a.unigram[i]) for i in ids]) == pytest.approx(wanted, rel=1e-9)
+    assert max(map(len, a.states)) == 3
