@@ -7,7 +7,8 @@
    in steps, pairs that can hardly reach the threshold are dropped (see `least_matches`), and the rest is verified by exact
    Jaccard similarity. A group returns a row for each of its texts: the number of its links and its class so far.
 4. Classes are the components of those links.
-With BANDS bands of ROWS values a pair of similarity 0.8 shares none with a probability of 6e-7.
+A pair at the threshold shares no band with a probability of at most 7e-7 (MISSED): with BANDS bands of ROWS values from a
+threshold of 0.8 up, with shorter bands below it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from framewright.llm.common import WordHash, arrow_map, materialise, minhash, pe
 from framewright.llm.graph import components
 
 WIDTH, BANDS, ROWS = 5, 36, 5
+#: Probability with which a pair at the threshold may share no band; bands, at most, unless they have one value each.
+MISSED, MOST_BANDS = 7e-7, 64
 #: MinHash values compared for a pair, and how many at a time.
 COMPARED, STEP = 128, 32
 #: Probability of reaching the threshold below which a pair is dropped unverified.
@@ -33,6 +36,16 @@ TOLERANCE = 1e-9
 BLOCK_TEXTS, BLOCK_CHARS = 384, 2_000_000
 
 
+def banding_for(threshold: float) -> tuple[int, int]:
+    """Bands and their values: the longest bands, of ROWS values at most, that lose a pair at the threshold with MISSED at most."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"threshold: {threshold!r}")
+    if (1 - threshold**ROWS) ** BANDS <= MISSED:
+        return BANDS, ROWS
+    needed = {rows: math.ceil(math.log(MISSED) / math.log1p(-(threshold**rows))) for rows in range(ROWS, 0, -1)}
+    return next(((n, rows) for rows, n in needed.items() if n <= MOST_BANDS), (needed[1], 1))
+
+
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
     """For each step, the fewest equal values with which a pair stays.
 
@@ -119,6 +132,7 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     Null texts count as empty; texts without words are alike to each other. Rows with a null id take no part: class_id null,
     no links. Ids should be unique; a repeated id makes rows of its own. Other columns are not read; an empty table
     gives an empty result. prune: the tolerance of Bayesian pruning, None to verify every pair of similar sizes.
+    A threshold outside ]0, 1] raises ValueError.
     """
     return _classes(df, doc_id, text, threshold, prune).drop("root")
 
@@ -126,14 +140,15 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
 def _classes(df: DataFrame, doc_id: str, text: str, threshold: float, prune: float | None) -> DataFrame:
     """As near_classes, and root: the class's own key, as classes of repeated ids can share their smallest id."""
     own = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    n_bands, band_rows = banding_for(threshold)
     rows = own.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("digest"))
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, permuted = WordHash(), permutations(BANDS * ROWS)
+        hashed, permuted = WordHash(), permutations(n_bands * band_rows)
         for b in batches:
             keys = []
             for t in b.column("text").to_pylist():
-                sign = minhash(shingles(hashed(t.split()), WIDTH), *permuted).reshape(BANDS, ROWS)
+                sign = minhash(shingles(hashed(t.split()), WIDTH), *permuted).reshape(n_bands, band_rows)
                 keys.append([xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(sign)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(list(map(len, b.column("text").to_pylist())), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "chars", "bands"])
 

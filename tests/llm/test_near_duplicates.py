@@ -100,3 +100,21 @@ def test_unlike_texts_of_a_repeated_id_both_stay(spark):
     docs = [(2, x), (2, y), (2, y), (3, x), (4, y + "more"), (5, "alone")]
     kept = ngram_join.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(2, x), (2, y), (5, "alone")]
+
+
+@pytest.mark.parametrize("how", [ngram_join.join, fingerprints.near_duplicates])
+def test_links_at_a_low_threshold_are_not_lost(spark, how):
+    # 60 pairs of similarity 0.5: 64 common shingles of 128
+    docs = [(2 * k + side, " ".join([f"w{k}x{i}" for i in range(68)] + [f"w{k}y{side}z{i}" for i in range(32)])) for k in range(60) for side in (0, 1)]
+    rows = how(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), threshold=0.5).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in rows} == {i: (i - i % 2, 1) for i, _ in docs}
+
+
+def test_bands_follow_the_threshold(spark):
+    assert similar.banding_for(0.8) == similar.banding_for(0.95) == (similar.BANDS, similar.ROWS)
+    for t in (0.05, 0.2, 0.5, 0.6, 0.7, 0.79, 0.8, 1.0):
+        bands, rows = similar.banding_for(t)
+        assert (1 - t**rows) ** bands <= similar.MISSED
+    for t in (0, -1, 1.1):
+        with pytest.raises(ValueError, match="threshold"):
+            similar.banding_for(t)
