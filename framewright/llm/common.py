@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(framewright)
 SHINGLE_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of a per-worker cache before it starts anew; bounds a worker's memory, never its results.
 CACHE_ENTRIES = 400_000
+#: Bytes that a function of arrow_map gets at once, on average.
+BATCH_BYTES = 16 << 20
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -33,19 +35,27 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000, keeps: str = "") -> DataFrame:
-    """mapInArrow with batches of few rows, since one text can hold megabytes. keeps: the worker state that f uses; other states are dropped first."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """mapInArrow where f gets batches of at most `rows` rows and about BATCH_BYTES, since one text can hold megabytes.
+
+    Spark's batches are sliced here, so that no session setting matters. keeps: the worker state that f uses; other states are dropped first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _states()
         for key in [k for k in held if k != keeps]:
             del held[key]
-        return f(batches)
+        return f(sliced(batches, rows))
 
     return df.mapInArrow(run, schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def _states() -> dict[str, object]:
     """What this Python worker keeps from task to task."""
     return sys.modules.setdefault("framewright_worker_state", types.ModuleType("framewright_worker_state")).__dict__.setdefault("held", {})

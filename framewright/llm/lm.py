@@ -1,50 +1,52 @@
 """Language-model scoring by a weighted backoff automaton.
 
 Tokens are ASCII-lower-cased runs of anything but ASCII white space, then one end token. Training counts every token and
-every n-gram of every training document; none is cut off, at any size. A backoff model with absolute discounting is built
-over them:
+every n-gram of every training document; none is cut off, at any size. The model interpolates by context counts:
 * the unigram is (c + 0.5) / (N + 0.5 (V + 1)), which leaves one share to all unseen words;
-* an n-gram in the model has (c - D) / c(context), any other the backoff weight of its context times what the shorter
-  context gives, so that every context's distribution sums to one.
-Backoff weights are pushed from the failure arcs to the n-grams: log10 p of a text is then a plain sum, over all its
-n-grams of 1 to `order` words, of a weight that depends on the n-gram alone (an n-gram's weight cancels what its shorter
-ones gave, and bears its own backoff; n-grams outside the model have none). So the weights are a table, as large as the
-corpus makes it, and scoring is a join and a sum. N-grams are known by 64-bit hashes.
-
-Weights of frequent n-grams (HEAD_RATE and GRAM_RATE of all tokens) are sent to the executors, where they spare the join
-its hot keys; so is the whole table while it has at most SHIPPED rows. Where a weight is looked up doesn't change a sum.
-
-`build` gives the same model as an automaton with failure arcs in memory, for small corpora.
+* a word after a context that was seen C times has (1 - w(C)) c / C, and w(C) times what the shorter context gives it;
+  w(C) = share * C ** -power (NEW) is the part of a context's followers that are new to it. Every context's distribution
+  sums to one, whatever the counts.
+As an automaton: seen contexts are states; a seen n-gram is an arc with its log probability; a state's failure arc leads
+to the shorter context and bears log w(C). One left-to-right traversal carries each text's state and adds up weights.
+
+Counting and scoring are one exchange, in two shuffles of packed binary pieces:
+1. Texts are dealt to chunks of about CHUNK_TOKENS tokens. A chunk asks for the counts of its distinct n-grams, known by
+   64-bit hashes, in one sorted piece for each bucket (a range of hashes), with its own training counts.
+2. A bucket adds up the counts of all chunks and answers each chunk in the order of its question.
+3. A chunk builds the part of the automaton that its texts can reach and traverses it.
+A frequent n-gram is in each chunk's question once, so no key is hot. Nothing that grows with the corpus is sent to the
+driver or broadcast; a task holds a bucket (about BUCKET_KEYS keys), a chunk, or one text if that is longer.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import arrow_map, batch, held_out, materialise, worker_state
+from framewright.llm.common import arrow_map, batch, held_out
 
 ORDER = 3
-HEAD_RATE, GRAM_RATE = 1e-5, 2e-6
-#: Weights that are sent to the executors without regard to their n-gram's frequency, at most.
-SHIPPED = 400_000
+#: Share and power of w(C): for two words, and for longer n-grams.
+NEW = ((0.9, 0.1), (0.8, 0.2))
 #: The end token: no word has a space.
 END = b" "
 #: Stands before the first word; no word has spaces.
 START = b"  "
-COUNTED = 250_000
-WORDS = 400_000
-GRAMS = pa.schema([("n", pa.int32()), ("gram", pa.int64()), ("context", pa.int64()), ("lower", pa.int64()), ("c", pa.int64())])
-LOOKED_UP = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+CHUNK_TOKENS, BUCKET_KEYS = 1 << 20, 3_000_000
+#: Distinct words that a task counts before it passes them on, and whose hashes it keeps.
+COUNTED, WORDS = 250_000, 400_000
+PIECE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
+PIECE_SCHEMA = "bucket int, chunk long, keys binary, counts binary, texts binary"
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("texts", pa.binary())])
+SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def tokens(text: str) -> list[bytes]:
@@ -56,350 +58,270 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """token (binary), c: counts of all tokens in the text column of `texts`, the end token among them; summed in partitions first."""
+def packed(x: np.ndarray) -> bytes:
+    """Non-negative integers, in the planes of their bytes that aren't all zero, compressed."""
+    planes = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, : max(1, -(-int(x.max(initial=0)).bit_length() // 8))]
+    return bytes([planes.shape[1]]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "c"])
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(tokens(t or ""))
-                seen[END] += 1
-            if len(seen) > COUNTED:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
 
-    return arrow_map(texts, run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8")[:, 0]
 
 
-def count_grams(texts: DataFrame, head: dict[bytes, int], order: int) -> DataFrame:
-    """n, gram, c: counts of n-grams of head words, from 2 words to `order`; the first word of a document follows the start symbol len(head)."""
-    base = len(head) + 1
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, by their gaps."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {n: [] for n in range(2, order + 1)}
-        get, room = head.get, 0
-        ids: list[int] = []
 
-        def sums(n: int) -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held[n]]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([c for _, c in held[n]])).astype(np.int64)
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)
 
-        def take() -> None:
-            x = np.array(ids, np.int64)
-            ids.clear()
-            for n in held:
-                parts = [x[k : len(x) - n + 1 + k] for k in range(n)]
-                fine = np.logical_and.reduce([p >= 0 for p in parts]) if len(x) >= n else np.zeros(0, bool)
-                key = np.zeros(int(fine.sum()), np.int64)
-                for p in parts if len(key) else ():
-                    key = key * base + p[fine]
-                held[n].append(np.unique(key, return_counts=True))
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for n in held:
-                keys, counts = sums(n)
-                held[n] = []
-                for at in range(0, len(keys), 100_000):
-                    k = keys[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(k), pa.array(counts[at : at + 100_000])], ["n", "gram", "c"])
+def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket starts among ascending keys; the last bucket's end as well."""
+    firsts = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(keys, firsts), len(keys))
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                ids.append(base - 1)
-                ids += [get(w, -1) for w in tokens(t or "")]
-                ids += (get(END, -1), -1)
-            if len(ids) > 500_000:
-                take()
-                room = sum(len(k) for own in held.values() for k, _ in own)
-                if room > 3_000_000:
-                    yield from out()
-        if ids:
-            take()
-        if any(held.values()):
-            yield from out()
 
-    return arrow_map(texts, run, "n int, gram long, c long").groupBy("n", "gram").agg(F.sum("c").alias("c"))
+def _joined(context: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    m = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        x = (context ^ (context >> np.uint64(31))) * m + word * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)
+        x = (x ^ (x >> np.uint64(29))) * m
+        return x ^ (x >> np.uint64(32))
+
+
+class Grams:
+    """The n-grams of some texts, given as word hashes with a start symbol before each text.
+
+    keys: the distinct ones, ascending. at[n]: the places where an n-gram of n words ends. own[n]: its index in keys at each such place, -1 elsewhere.
+    """
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, order: int) -> None:
+        self.order, self.text = order, np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        keys = {1: words}
+        for n in range(2, order + 1):
+            keys[n] = _joined(np.concatenate([keys[n - 1][:1], keys[n - 1][:-1]]), words, n)
+        self.at = {n: np.flatnonzero(place >= n - 1) for n in keys}
+        self.keys, index = np.unique(np.concatenate([keys[n][self.at[n]] for n in keys]), return_inverse=True)
+        self.own, begin = {}, 0
+        for n, at in self.at.items():
+            self.own[n] = np.full(len(words), -1)
+            self.own[n][at] = index[begin : begin + len(at)]
+            begin += len(at)
+        self.spoken = np.flatnonzero(place > 0)
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """Of each key, in texts of weight 1."""
+        out = np.zeros(len(self.keys), np.int64)
+        for n, at in self.at.items():
+            out += np.bincount(self.own[n][at], weight[self.text[at]], len(out)).astype(np.int64)
+        return out
 
 
 class Automaton:
-    """States 0 (no context) and up; arcs keyed by state * width + word; failure arcs with their weights. All logarithms to base 10."""
-
-    def __init__(self, head: dict[bytes, int], counts: np.ndarray, total: int, vocabulary: int, docs: int, grams: dict[int, dict[int, int]], discounts: dict[int, float], order: int = ORDER) -> None:
-        self.head, self.total, self.vocabulary = head, total, vocabulary
-        self.start = len(head)
-        self.width = width = len(head) + 1
-        self.denominator = total + 0.5 * (vocabulary + 1)
-        unigram = (counts + 0.5) / self.denominator
-        sizes: dict[tuple, int] = {(w,): int(counts[w]) for w in head.values()} | {(self.start,): docs}
-        probability: dict[tuple, dict[int, float]] = {}
-        for n in sorted(grams):
-            for key, c in grams[n].items():
-                *context, w = self._words(key, n)
-                probability.setdefault(tuple(context), {})[w] = max(c - discounts[n], 0.0) / sizes[tuple(context)]
-                sizes[(*context, w)] = c
-        self.states = {(): 0} | {h: i for i, h in enumerate(sorted(probability, key=lambda h: (len(h), h)), 1)}
-        self.fail, self.backoff = [0] * len(self.states), [0.0] * len(self.states)
-        self.arcs: dict[int, tuple[int, float]] = {}
-
-        def longest(context: tuple) -> tuple:
-            while context not in self.states:
-                context = context[1:]
-            return context
-
-        backoff: dict[tuple, float] = {}
-
-        def lower(w: int, context: tuple) -> float:
-            weight = 1.0
-            while context:
-                own = probability[context]
-                if w in own:
-                    return weight * own[w]
-                weight *= backoff[context]
-                context = longest(context[1:])
-            return weight * float(unigram[w])
-
-        for h, i in self.states.items():
-            if not h:
-                continue
-            own, shorter = probability[h], longest(h[1:])
-            left = 1 - sum(own.values())
-            rest = 1 - sum(lower(w, shorter) for w in own)
-            backoff[h] = max(left, 1e-12) / max(rest, 1e-12)
-            self.fail[i], self.backoff[i] = self.states[shorter], math.log10(backoff[h])
-            for w, p in own.items():
-                if p > 0:
-                    self.arcs[i * width + w] = (self.states[longest((*h, w)[-(order - 1) :])], math.log10(p))
-        self.after = [self.states.get((w,), 0) for w in range(width)]  # where the root goes with each word
-        self.first = self.states.get((self.start,), 0)
-        self.unigram = np.log10(unigram) if len(unigram) else np.zeros(0)
-        self.unseen = math.log10(0.5 / self.denominator)
-
-    def _words(self, key: int, n: int) -> list[int]:
-        out = []
-        for _ in range(n):
-            key, w = divmod(key, self.width)
-            out.append(w)
-        return out[::-1]
-
-    def traverse(self, ids: list[int], logs: list[float]) -> float:
-        """Sum of log probabilities; ids: head words, -1 for others; logs: the unigrams' logarithms."""
-        arcs, backoff, fail, after, width, state, total = self.arcs.get, self.backoff, self.fail, self.after, self.width, self.first, 0.0
-        for w, log in zip(ids, logs, strict=True):
-            while state:
-                if w >= 0 and (arc := arcs(state * width + w)):
-                    state, p = arc
-                    total += p
-                    break
-                total += backoff[state]
-                state = fail[state]
-            else:
-                total += log
-                if w >= 0:
-                    state = after[w]
-        return total
-
-
-def build(texts: DataFrame, order: int = ORDER, head_rate: float = HEAD_RATE, gram_rate: float = GRAM_RATE) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the written table of all counts: hash (of the token), token, c."""
-    words = materialise(count_words(texts), "lm-words")
-    total, vocabulary = words.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total = total or 0
-    top = words.where(F.col("c") >= F.lit(head_rate * total)).orderBy("token").collect() if total else []  # at most 1 / head_rate
-    head = {bytes(r[0]): i for i, r in enumerate(top)}
-    counts = np.array([r[1] for r in top], np.float64)
-    grams: dict[int, dict[int, int]] = {n: {} for n in range(2, order + 1)}
-    discounts = dict.fromkeys(grams, 0.5)
-    if total:
-        table = materialise(count_grams(texts, head, order), "lm-grams")
-        ones = {(r[0], r[1]): r[2] for r in table.where("c <= 2").groupBy("n", "c").count().collect()}
-        for n in grams:
-            a, b = ones.get((n, 1), 0), ones.get((n, 2), 0)
-            discounts[n] = a / (a + 2 * b) if a and b else 0.5
-        kept = table.where(F.col("c") >= F.lit(gram_rate * total)).toArrow()  # at most 1 / gram_rate of each n
-        for n, g, c in zip(*(kept.column(x).to_pylist() for x in ("n", "gram", "c")), strict=True):
-            grams[n][g] = c
-    ends = words.where(F.col("token") == F.lit(bytearray(END))).first()
-    docs = ends["c"] if ends else 1
-    return Automaton(head, counts, int(total), int(vocabulary), docs, grams, discounts, order), words
-
-
-class Keys:
-    """Hashes of the n-grams of texts; words' hashes are kept, up to WORDS of them."""
-
-    def __init__(self, order: int) -> None:
-        self.order, self.known = order, {}
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Of each token, the start symbol of each text among them: its text, its place there, and the keys of the n-grams that end in it, n from 1; a key holds where the place is n - 1 or more."""
+    """The part of the model that the texts of `grams` can reach; states, arcs and failure arcs go by the keys' indices.
+
+    arc[g]: log10 p of the n-gram's last word in the state of the others, nan where the model has no such arc.
+    failure[g]: log10 w(C) of the state that the n-gram is, nan where it is none.
+    """
+
+    def __init__(self, grams: Grams, counts: np.ndarray, total: int, vocabulary: int) -> None:
+        self.grams = grams
+        counts = counts.astype(np.float64)
+        self.unigram = np.log10((counts + 0.5) / (total + 0.5 * (vocabulary + 1)))
+        self.arc, self.failure = np.full(len(counts), np.nan), np.full(len(counts), np.nan)
+        lower = np.zeros(len(grams.text))  # p of the word at each place, after the context of n - 2 words
+        lower[grams.spoken] = 10 ** self.unigram[grams.own[1][grams.spoken]]
+        for n in range(2, grams.order + 1):
+            share, power = NEW[min(n, len(NEW) + 1) - 2]
+            at, g, h = grams.at[n], grams.own[n][grams.at[n]], grams.own[n - 1][grams.at[n] - 1]
+            seen = counts[h] > 0
+            at, g, h = at[seen], g[seen], h[seen]
+            new = share * counts[h] ** -power
+            lower[at] = (1 - new) * counts[g] / counts[h] + new * lower[at]
+            self.failure[h] = np.log10(new)
+            fine = counts[g] > 0
+            self.arc[g[fine]] = np.log10(lower[at[fine]])
+
+    def traverse(self) -> np.ndarray:
+        """log10 p of every place's word, all texts going left to right at once.
+
+        The state before a word is the longest seen context that ends there; a text's words take it from there by arcs
+        and failure arcs, down to the unigram where no arc is left.
+        """
+        grams, out = self.grams, np.zeros(len(self.grams.text))
+        open_ = np.zeros(len(out), bool)
+        open_[grams.spoken] = True
+        for n in range(grams.order, 1, -1):
+            at = grams.at[n][open_[grams.at[n]]]
+            state = grams.own[n - 1][at - 1]
+            at, state = at[~np.isnan(self.failure[state])], state[~np.isnan(self.failure[state])]
+            arc = self.arc[grams.own[n][at]]
+            taken = ~np.isnan(arc)
+            out[at] += np.where(taken, arc, self.failure[state])
+            open_[at[taken]] = False
+        rest = np.flatnonzero(open_)
+        out[rest] += self.unigram[grams.own[1][rest]]
+        return out
+
+
+class Words:
+    """Hashes of texts' words, kept for up to WORDS of them."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [[START, *tokens(t or ""), END] for t in texts]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = [w for own in lists for w in own]
         if len(self.known) > WORDS:
             self.known.clear()
         missing = list(set(flat).difference(self.known))
         self.known.update(zip(missing, hashes(missing).tolist(), strict=True))
-        keys = [np.fromiter(map(self.known.__getitem__, flat), np.uint64, len(flat))]
-        for n in range(2, self.order + 1):
-            keys.append(_joined(np.concatenate([keys[-1][:1], keys[-1][:-1]]), keys[0], n))
-        return np.repeat(np.arange(len(lists)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), keys
-
-
-def _joined(context: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    m = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        x = (context ^ (context >> np.uint64(31))) * m + word * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)
-        x = (x ^ (x >> np.uint64(29))) * m
-        return x ^ (x >> np.uint64(32))
+        return np.fromiter(map(self.known.__getitem__, flat), np.uint64, len(flat)), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
-def count_all_grams(texts: DataFrame, order: int) -> DataFrame:
-    """n, gram, context, lower, c: counts of all n-grams from 2 words to `order`, with the keys of their first and last n - 1 words."""
+def count_words(texts: DataFrame, buckets: int) -> tuple[int, int]:
+    """All tokens and distinct tokens in the text column of `texts`, the end token among them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_of = Keys(order)
-        held: dict[int, list] = {n: [] for n in range(2, order + 1)}
-        room = 0
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            for n, parts in held.items():
-                columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * 3
-                held[n] = []
-                own, first, counts = np.unique(columns[0], return_index=True, return_counts=True)
-                columns = [x.view(np.int64) for x in (own, columns[1][first], columns[2][first])] + [counts]
-                for at in range(0, len(own), 100_000):
-                    part = [x[at : at + 100_000] for x in columns]
-                    yield batch(GRAMS, np.full(len(part[0]), n, np.int32), *part)
+            keys, counts = hashes(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+            order = np.argsort(keys)
+            yield from _pieces(None, keys[order], counts[order], buckets)
+            seen.clear()
 
         for b in batches:
-            _, place, keys = keys_of(b.column(0).to_pylist())
-            for n in held:
-                at = np.flatnonzero(place >= n - 1)
-                held[n].append((keys[n - 1][at], keys[n - 2][at - 1], keys[n - 2][at]))
-            room += len(place)
-            if room > 3_000_000:
+            for t in b.column(0).to_pylist():
+                seen.update(tokens(t or ""))
+                seen[END] += 1
+            if len(seen) > COUNTED:
                 yield from out()
-                room = 0
-        yield from out()
-
-    found = arrow_map(texts, run, "n int, gram long, context long, lower long, c long")
-    return found.groupBy("n", "gram").agg(F.min("context").alias("context"), F.min("lower").alias("lower"), F.sum("c").alias("c"))
-
-
-def weights(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, int, int]:
-    """The model of the texts: n, key, c, word (log10 of a word's unigram over that of unseen words), v (the rest); all tokens; distinct tokens.
-
-    A key has up to two rows, as an n-gram and as a context; weights add up.
-    """
-    words = materialise(count_words(texts), "lm-words")
-    total, vocabulary = words.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total = total or 0
-    denominator = total + 0.5 * (vocabulary + 1)
+        if seen:
+            yield from out()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(hashes(b.column(0).to_pylist()).view(np.int64)), b.column(1)], ["gram", "c"])
-
-    words = arrow_map(words.select("token", "c"), run, "gram long, c long", rows=100_000)
-    unigrams = materialise(words.withColumn("p", (F.col("c") + 0.5) / F.lit(denominator)), "lm-unigrams")
-    grams = materialise(count_all_grams(texts, order), "lm-grams")
-    few = {(r[0], r[1]): r[2] for r in grams.where("c <= 2").groupBy("n", "c").count().collect()}
-    none = F.lit(None).cast("double")
-    parts = [unigrams.select(F.lit(1).alias("n"), F.col("gram").alias("key"), "c", F.log10(F.col("p") / F.lit(0.5 / denominator)).alias("word"), F.lit(0.0).alias("v"))]
-    lower = unigrams
-    for n in range(2, order + 1):
-        a, b = few.get((n, 1), 0), few.get((n, 2), 0)
-        discount = a / (a + 2 * b) if a and b else 0.5
-        own = grams.where(F.col("n") == n).select("gram", "context", "lower", "c").join(lower.select(F.col("gram").alias("lower"), F.col("p").alias("q")), "lower").drop("lower")
-        own = materialise(own, "lm-lower")
-        # every token but the last of a text is followed by one, so a context's n-grams add up to its own count
-        contexts = own.groupBy("context").agg(F.sum("c").alias("size"), (F.lit(discount) * F.count(F.lit(1)) / F.sum("c")).alias("left"), F.sum("q").alias("taken"))
-        least = F.lit(1e-12)
-        contexts = materialise(contexts.select("context", "size", F.log10(F.greatest("left", least) / F.greatest(1 - F.col("taken"), least)).alias("backoff")), "lm-contexts")
-        p = (F.col("c") - F.lit(discount)) / F.col("size")
-        lower = materialise(own.join(contexts, "context").select("gram", "c", p.alias("p"), (F.log10(p / F.col("q")) - F.col("backoff")).alias("v")), "lm-weights")
-        parts += [lower.select(F.lit(n).alias("n"), F.col("gram").alias("key"), "c", none.alias("word"), "v"), contexts.select(F.lit(n - 1).alias("n"), F.col("context").alias("key"), F.col("size").alias("c"), none.alias("word"), F.col("backoff").alias("v"))]
-    table = parts[0]
-    for x in parts[1:]:
-        table = table.unionAll(x)
-    return table, int(total), int(vocabulary)
-
-
-def _sent(table: DataFrame, order: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """By n: sorted keys, their words' weights, whether they are words, their other weights."""
-    found = table.select("n", "key", "word", "v").toArrow()
-    ns, key, word, v = (found.column(c).to_numpy() for c in ("n", "key", "word", "v"))
-    out = {}
-    for n in range(1, order + 1):
-        own = ns == n
-        keys, at = np.unique(key[own].view(np.uint64), return_inverse=True)
-        is_word = ~np.isnan(word[own])
-        out[n] = (keys, np.bincount(at, np.where(is_word, word[own], 0.0), len(keys)), np.bincount(at, is_word, len(keys)).astype(np.int64), np.bincount(at, v[own], len(keys)))
-    return out
-
-
-def score(docs: DataFrame, training: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", shipped: int = SHIPPED, order: int = ORDER, head_rate: float = HEAD_RATE, gram_rate: float = GRAM_RATE) -> DataFrame:
+    def add(table: pa.Table) -> pa.Table:
+        keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
+        counts = sum(int(unpacked(x).sum()) for x in table.column("counts").to_pylist())
+        return pa.table([pa.array([counts], pa.int64()), pa.array([len(np.unique(np.concatenate(keys)))], pa.int64())], names=["total", "words"])
+
+    found = arrow_map(texts, ask, PIECE_SCHEMA).groupBy("bucket").applyInArrow(add, "total long, words long").agg(F.sum("total"), F.sum("words")).first()
+    return found[0] or 0, found[1] or 0
+
+
+def _pieces(chunk: int | None, keys: np.ndarray, counts: np.ndarray, buckets: int, texts: bytes | None = None) -> Iterator[pa.RecordBatch]:
+    """A chunk's question: a piece for each bucket that it has keys of; the texts travel with the first."""
+    at = bounds(keys, buckets)
+    own = np.flatnonzero(np.diff(at)).tolist()
+    for i in range(0, len(own), 500):
+        some = own[i : i + 500]
+        spans = [slice(at[k], at[k + 1]) for k in some]
+        yield batch(PIECE, some, [chunk] * len(some), [packed_keys(keys[s]) for s in spans], [packed(counts[s]) for s in spans], [texts if i + k == 0 else None for k in range(len(some))])
+
+
+def _ask(order: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Questions of the chunks of a partition; rows that are not wanted (to be scored) only count."""
+    words, chunk = Words(), TaskContext.get().partitionId() << 33  # a repeated task asks under the same numbers
+    held: dict[bool, list] = {True: [], False: []}
+
+    def out(wanted: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal chunk
+        ids, learn, keys, lengths = zip(*held[wanted], strict=True)
+        held[wanted].clear()
+        keys, lengths, learn = np.concatenate(keys), np.concatenate(lengths), np.concatenate(learn)
+        grams, texts = Grams(keys, lengths, order), None
+        if wanted:
+            vocabulary, own = np.unique(keys, return_inverse=True)
+            ids = pa.concat_arrays(ids)
+            parts = [packed_keys(vocabulary), packed(own), packed(lengths), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), packed(ids.is_valid().to_numpy(zero_copy_only=False))]
+            texts = b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+        chunk += 1
+        yield from _pieces(chunk if wanted else None, grams.keys, grams.counts(learn.astype(np.float64)), buckets, texts)
+
+    room = {True: 0, False: 0}
+    for b in batches:
+        flags = b.column("wanted").to_numpy(zero_copy_only=False)
+        for wanted in (True, False):
+            own = b.filter(pa.array(flags == wanted))
+            if own.num_rows:
+                keys, lengths = words(own.column("text").to_pylist())
+                held[wanted].append((own.column("doc_id"), own.column("learn").to_numpy(zero_copy_only=False), keys, lengths))
+                room[wanted] += len(keys)
+                if room[wanted] >= CHUNK_TOKENS:
+                    yield from out(wanted)
+                    room[wanted] = 0
+    for wanted in held:
+        if held[wanted]:
+            yield from out(wanted)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """A bucket's counts over all chunks, for each chunk in the order of its keys."""
+    keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
+    index = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    counts = np.bincount(index, np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])).astype(np.int64)
+    ends = np.cumsum([len(k) for k in keys])
+    out, chunks = [], table.column("chunk").to_pylist()
+    for chunk, end, k, bucket, texts in zip(chunks, ends.tolist(), keys, table.column("bucket").to_pylist(), table.column("texts").to_pylist(), strict=True):
+        if chunk is not None:
+            out.append((chunk, bucket, packed(counts[index[end - len(k) : end]]), texts))
+    return pa.Table.from_batches([batch(ANSWER, *zip(*out, strict=True))] if out else [], schema=ANSWER)
+
+
+def _texts(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """doc_ids, word hashes and lengths of a chunk."""
+    parts, at = [], 0
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 8], "little")
+        parts.append(raw[at + 8 : at + 8 + size])
+        at += 8 + size
+    vocabulary, own, lengths = unpacked_keys(parts[0]), unpacked(parts[1]), unpacked(parts[2]).astype(np.int64)
+    return pa.array(np.frombuffer(parts[3], "<i8"), mask=unpacked(parts[4]) == 0), vocabulary[own.astype(np.int64)], lengths
+
+
+def score(docs: DataFrame, learn: Column | None = None, training: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`.
 
-    training: the documents to learn from, by default `docs`. Null texts count as empty (the end token alone); without
-    training documents all tokens are unseen and both scores are 0-count unigrams. Other columns are not read; an empty
-    table gives an empty result. shipped, head_rate, gram_rate: which weights are sent to the executors rather than
-    joined (all, where there are at most `shipped`; else words and n-grams of at least these shares of all tokens);
-    scores don't depend on them.
+    learn: which rows of `docs` to learn from, by default all; or training: a table of other rows to learn from instead.
+    Null texts count as empty (the end token alone); without training documents all tokens are unseen and both scores
+    are 0-count unigrams. Null ids stay null, repeated rows count and are scored each; other columns are not read; an
+    empty table gives an empty result.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    table, total, vocabulary = weights((docs if training is None else training).select(F.col(text).cast("string").alias("text")), order)
-    whole = table.count() <= shipped
-    frequent = F.col("c") >= F.when(F.col("n") == 1, F.lit(head_rate * total)).otherwise(F.lit(gram_rate * total))
-    sent = own.sparkSession.sparkContext.broadcast(cloudpickle.dumps(_sent(table if whole else table.where(frequent), order)))
-    unseen = math.log10(0.5 / (total + 0.5 * (vocabulary + 1)))
-    name = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = worker_state("language model", dict)
-        if name not in held:
-            held.clear()
-            held[name] = cloudpickle.loads(sent.value)
-        model, keys_of, row = held[name], Keys(order), TaskContext.get().partitionId() << 33
-        for b in batches:
-            size = b.num_rows
-            of, place, keys = keys_of(b.column(1).to_pylist())
-            n_tokens = np.bincount(of, place > 0, size).astype(np.int64)
-            known, base, more = np.zeros(size, np.int64), n_tokens * unseen, np.zeros(size)
-            for n, key in enumerate(keys, 1):
-                here = np.flatnonzero(place >= n - 1)
-                k, d = key[here], of[here]
-                sorted_keys, word, is_word, v = model[n]
-                at = np.searchsorted(sorted_keys, k)
-                at[at == len(sorted_keys)] = 0
-                fine = sorted_keys[at] == k if len(sorted_keys) else np.zeros(len(k), bool)
-                at, found = at[fine], d[fine]
-                more += np.bincount(found, v[at], size)
-                if n == 1:
-                    base += np.bincount(found, word[at], size)
-                    known += np.bincount(found, is_word[at], size).astype(np.int64)
-                k, d = (k[~fine].view(np.int64), d[~fine]) if not whole else (k[:0], d[:0])
-                for i in range(0, len(k), 100_000):
-                    part = k[i : i + 100_000]
-                    yield batch(LOOKED_UP, row + d[i : i + 100_000], np.full(len(part), n, np.int32), part, *[pa.nulls(len(part), t) for t in LOOKED_UP.types[3:]])
-            rows = np.arange(row, row + size)
-            yield batch(LOOKED_UP, rows, np.zeros(size, np.int32), rows, b.column(0), n_tokens, known, base, base + more)
-            row += size
-
-    scored = arrow_map(own, run, "row long, n int, key long, doc_id long, n_tokens long, n_known long, base_score double, score double", keeps="language model")
-    if not whole:
-        # n is 0 in the documents' own rows, which match nothing; the table's frequent keys are not among the others
-        scored = scored.join(table.where(~frequent).select("n", "key", "word", "v"), ["n", "key"], "left")
-        plus = lambda c, x: (F.max(c) + F.coalesce(F.sum(x), F.lit(0))).alias(c)
-        one = F.when(F.col("word").isNotNull(), F.lit(1))
-        scored = scored.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), plus("n_known", one), plus("base_score", F.col("word")), plus("score", F.coalesce("word", F.lit(0.0)) + F.col("v")))
+    as_rows = lambda df, learns, wanted: df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), learns.alias("learn"), F.lit(wanted).alias("wanted"))
+    if training is not None:
+        rows = as_rows(docs, F.lit(False), True).unionAll(as_rows(training.withColumn(doc_id, F.lit(None)) if doc_id not in training.columns else training, F.lit(True), False))
+    else:
+        rows = as_rows(docs, F.coalesce(F.lit(True) if learn is None else learn, F.lit(False)), True)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keys = size // 5 * order  # words have about five bytes
+    total, vocabulary = count_words(rows.where("learn").select("text"), max(8, -(-size // 5 // BUCKET_KEYS)))
+    buckets = max(16, -(-keys // BUCKET_KEYS))
+
+    def close(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        counts = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])
+        ids, words, lengths = _texts(next(x for x in table.column("texts").to_pylist() if x is not None))
+        grams = Grams(words, lengths, order)
+        if len(counts) != len(grams.keys):
+            raise ValueError("a chunk's answers don't fit its question")
+        automaton, size = Automaton(grams, counts, total, vocabulary), len(lengths)
+        at, of = grams.own[1][grams.spoken], grams.text[grams.spoken]
+        sums = lambda x: np.bincount(of, x, size)
+        return pa.Table.from_batches([batch(SCORED, ids, lengths - 1, sums(counts[at] > 0).astype(np.int64), sums(automaton.unigram[at]), np.bincount(grams.text, automaton.traverse(), size))])
+
+    asked = arrow_map(rows, lambda batches: _ask(order, buckets, batches), PIECE_SCHEMA)
+    answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, counts binary, texts binary")
+    scored = answered.groupBy("chunk").applyInArrow(close, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:
     """Scores of all documents by a model of those outside the held-out fold (crc32 of the id modulo 5 is 1), with held_out."""
-    scored = score(docs, docs.where(~held_out("doc_id", 5, 1)))
-    return scored.withColumn("held_out", held_out("doc_id", 5, 1))
+    return score(docs, ~held_out("doc_id", 5, 1)).withColumn("held_out", held_out("doc_id", 5, 1))

@@ -3,7 +3,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from framewright.llm import lm
 
@@ -35,87 +38,99 @@ def test_documents(spark, small):
 def test_odd_documents(odd, nothing):
     check(lm.score_held_out(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()])
     assert lm.score_held_out(nothing).count() == 0
-    assert lm.score(odd, nothing).count() == odd.count()
+    got = lm.score(odd, training=nothing).collect()
+    assert len(got) == odd.count()
+    assert all(r.train_tokens == r.n_known == r.score == r.base_score == 0 for r in got)
 
 
-def test_both_ways_of_counting_rare_words_agree(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    sent, joined = ({r.doc_id: r for r in lm.score(docs, shipped=n, head_rate=1e-3).collect()} for n in (10**6, 0))
-    for i, a in sent.items():
-        b = joined[i]
-        assert (a.n_tokens, a.n_known) == (b.n_tokens, b.n_known)
-        assert a.score == pytest.approx(b.score, rel=1e-9)
-        assert a.base_score == pytest.approx(b.base_score, rel=1e-9)
-
-
-def test_every_state_is_a_distribution(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").limit(30).select("text")
-    a, table = lm.build(docs, head_rate=1e-3, gram_rate=1e-3)
-    ids = [(a.head.get(bytes(r.token), -1), math.log10((r.c + 0.5) / a.denominator)) for r in table.collect()] + [(-1, a.unseen)]
-    for h, state in list(a.states.items())[:40]:
-        a.first = state
-        assert sum(10 ** a.traverse([w], [p]) for w, p in ids) == pytest.approx(1, abs=1e-8), h
-    assert max(map(len, a.states)) == 2
-
-
-def test_failure_arcs_lead_to_the_longest_suffix(spark, small):
-    a, _ = lm.build(spark.read.parquet(f"{small}/documents.parquet").limit(30).select("text"), head_rate=1e-3, gram_rate=1e-3)
-    names = {i: h for h, i in a.states.items()}
-    for h, i in a.states.items():
-        if h:
-            assert h[1:][-len(names[a.fail[i]]) or len(h) :] == names[a.fail[i]]
-
-
-def backoff_model(docs, order):
-    """log10 p of a word after others, by counts of all n-grams of the documents."""
-    counts = [Counter() for _ in range(order + 1)]
-    for d in docs:
-        w = [None, *words(d)]
-        counts[1].update(w[1:])
-        for n in range(2, order + 1):
-            counts[n].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    total, vocabulary = sum(counts[1].values()), len(counts[1])
-    discounts = {}
-    after = {}
-    for n in range(2, order + 1):
-        a, b = (sum(c == x for c in counts[n].values()) for x in (1, 2))
-        discounts[n] = a / (a + 2 * b) if a and b else 0.5
-        for (*h, w), c in counts[n].items():
-            after.setdefault(tuple(h), {})[w] = c
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
+@settings(max_examples=50, deadline=None)
+def test_packing_of_integers(values):
+    x = np.array(values, np.uint64)
+    assert (lm.unpacked(lm.packed(x)) == x).all()
+    assert (lm.unpacked_keys(lm.packed_keys(np.sort(x))) == np.sort(x)).all()
+    at = lm.bounds(np.sort(x), 7)
+    assert at[0] == 0 and at[-1] == len(x) and (np.diff(at) >= 0).all()
+
+
+def interpolated(docs, order):
+    """p of a word after others, by counts of all n-grams of the documents."""
+    counts = Counter(tuple(w[i : i + n]) for d in docs for w in ([None, *words(d)],) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total, vocabulary = sum(c for g, c in counts.items() if len(g) == 1 and g != (None,)), sum(len(g) == 1 and g != (None,) for g in counts)
 
     def p(w, h):
         if not h:
-            return (counts[1][w] + 0.5) / (total + 0.5 * (vocabulary + 1))
-        if not (own := after.get(h)):
+            return (counts[w,] + 0.5) / (total + 0.5 * (vocabulary + 1))
+        if not counts[h]:
             return p(w, h[1:])
-        size, d = sum(own.values()), discounts[len(h) + 1]
-        if w in own:
-            return (own[w] - d) / size
-        return d * len(own) / size / (1 - sum(p(x, h[1:]) for x in own)) * p(w, h[1:])
-
-    return p
-
-
-@pytest.mark.parametrize(("order", "shipped"), [(3, 0), (3, 10**6), (4, 0), (2, 10**6)])
-def test_scores_are_those_of_the_backoff_model_over_all_n_grams(spark, order, shipped):
-    # n-grams far below any share of the corpus: every one counts, those of rare words too
-    texts = ["a b c d a b c e", "a b d c a b", "d c b a rare words here", "rare words here a b", "c c c c", "new a b c unknown rare words", "", *["x y z"] * 40]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    p = backoff_model([t for i, t in enumerate(texts) if i != 5], order)
-    got = lm.score(docs, docs.where("doc_id <> 5"), shipped=shipped, order=order, head_rate=0.2, gram_rate=0.1).collect()
-    assert len(got) == len(texts)
-    for r in got:
-        w = [None, *words(texts[r.doc_id])]
-        assert r.score == pytest.approx(sum(math.log10(p(w[i], tuple(w[max(0, i - order + 1) : i]))) for i in range(1, len(w))), rel=1e-9)
-
-
-def test_arcs_enter_the_states_of_a_longer_order(spark):
-    texts = ["a b c d a b c d", "a b c e", "b c d a", "a b c d a"]
-    a, _ = lm.build(spark.createDataFrame([(t,) for t in texts], "text string"), 4, 0.0, 0.0)
-    p = backoff_model(texts, 4)
-    for t in [*texts, "a b c d e a b c d"]:
-        w = [None, *words(t)]
-        ids = [a.head[x.encode()] for x in w[1:]]
-        wanted = sum(math.log10(p(w[i], tuple(w[max(0, i - 3) : i]))) for i in range(1, len(w)))
-        assert a.traverse(ids, [float(a.unigram[i]) for i in ids]) == pytest.approx(wanted, rel=1e-9)
-    assert max(map(len, a.states)) == 3
+        share, power = lm.NEW[0 if len(h) == 1 else 1]
+        new = share * counts[h] ** -power
+        return (1 - new) * counts[(*h, w)] / counts[h] + new * p(w, h[1:])
+
+    return p, counts
+
+
+def brute(p, text, order):
+    w = [None, *words(text)]
+    return sum(math.log10(p(w[i], tuple(w[max(0, i - order + 1) : i]))) for i in range(1, len(w)))
+
+
+TEXTS = ["a b c d a b c e", "a b d c a b", "d c b a rare words here", "rare words here a b", "c c c c", "new a b c unknown rare words", "", *["x y z"] * 40]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_are_those_of_the_model_over_all_n_grams(spark, order, monkeypatch):
+    # n-grams far below any share of the corpus: every one counts, those of rare words too; several chunks and buckets
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 20)
+    monkeypatch.setattr(lm, "BUCKET_KEYS", 5)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
+    p, _ = interpolated([t for i, t in enumerate(TEXTS) if i != 5], order)
+    for got in (lm.score(docs, docs.doc_id != 5, order=order).collect(), lm.score(docs, training=docs.where("doc_id <> 5"), order=order).collect()):
+        assert len(got) == len(TEXTS)
+        for r in got:
+            assert r.score == pytest.approx(brute(p, TEXTS[r.doc_id], order), rel=1e-9)
+
+
+def test_documents_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    p, _ = interpolated([t for i, t in rows.items() if zlib.crc32(str(i).encode()) % 5 != 1], lm.ORDER)
+    for r in lm.score_held_out(docs).collect():
+        assert r.score == pytest.approx(brute(p, rows[r.doc_id], lm.ORDER), rel=1e-9)
+
+
+def test_every_state_is_a_distribution():
+    docs = TEXTS[:6]
+    p, counts = interpolated(docs, 3)
+    vocabulary = {g[0] for g in counts if len(g) == 1} - {None}
+    for h in {g[:-1] for g in counts}:
+        assert sum(p(w, h) for w in vocabulary) + p("unseen", h) == pytest.approx(1, abs=1e-9), h
+
+
+def test_states_arcs_and_failure_arcs():
+    hashed = lm.Words()
+    keys, lengths = hashed(TEXTS)
+    grams = lm.Grams(keys, lengths, 3)
+    learn = np.array([i != 5 for i in range(len(TEXTS))], float)
+    counts = grams.counts(learn)
+    a = lm.Automaton(grams, counts, 100, 20)
+    for n in (2, 3):
+        g, h = grams.own[n][grams.at[n]], grams.own[n - 1][grams.at[n] - 1]
+        assert (np.isnan(a.arc[g]) == (counts[g] == 0)).all()  # an arc for each seen n-gram
+        assert (np.isnan(a.failure[h]) == (counts[h] == 0)).all()  # a state for each seen context
+    for n in (2,):  # a state's failure arc leads to a state
+        at = grams.at[3]
+        long, short = grams.own[2][at - 1], grams.own[1][at - 1]
+        assert (counts[short][counts[long] > 0] > 0).all()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_gain_over_the_base_tells_copies_of_training_texts(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    trained = {t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1}
+    rows = [r for r in lm.score_held_out(docs).collect() if r.held_out and r.n_tokens > 20]
+    gain = np.array([(r.score - r.base_score) / r.n_tokens for r in rows])
+    copy = np.array([texts[r.doc_id] in trained for r in rows])
+    rank = np.argsort(np.argsort(gain)) + 1
+    assert (rank[copy].sum() - copy.sum() * (copy.sum() + 1) / 2) / (copy.sum() * (~copy).sum()) >= 0.95
