@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -34,8 +35,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000, keeps: str = "") -> DataFrame:
-    """mapInArrow where f gets batches of at most `rows` rows and about BATCH_BYTES, since one text can hold megabytes.
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000, keeps: str = "", size: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow where f gets batches of at most `rows` rows and about `size` bytes, since one text can hold megabytes.
 
     Spark's batches are sliced here, so that no session setting matters. keeps: the worker state that f uses; other states are dropped first.
     """
@@ -44,18 +45,26 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         held = _states()
         for key in [k for k in held if k != keeps]:
             del held[key]
-        return f(sliced(batches, rows))
+        yield from f(sliced(batches, rows, size))
+        release()
 
     return df.mapInArrow(run, schema)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        step = max(1, min(rows, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
 
 
+def release() -> None:
+    """Give a worker's freed memory back to the system, which it would hold beside the JVM while it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _states() -> dict[str, object]:
     """What this Python worker keeps from task to task."""
     return sys.modules.setdefault("framewright_worker_state", types.ModuleType("framewright_worker_state")).__dict__.setdefault("held", {})

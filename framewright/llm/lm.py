@@ -10,8 +10,9 @@ As an automaton: seen contexts are states; a seen n-gram is an arc with its log
 to the shorter context and bears log w(C). One left-to-right traversal carries each text's state and adds up weights.
 
 Counting and scoring are one exchange, in two shuffles of packed binary pieces:
-1. Texts are dealt to chunks of about CHUNK_TOKENS tokens. A chunk asks for the counts of its distinct n-grams, known by
-   64-bit hashes, in one sorted piece for each bucket (a range of hashes), with its own training counts.
+1. Texts are dealt to chunks of about CHUNK_TOKENS tokens. A chunk asks for the counts of its distinct n-grams, in sorted
+   pieces of hashes (64 bits for words, see `gram_bits` for longer ones), one for each bucket (a range of hashes), with its
+   own training counts. Its texts, as ranks of its words by frequency, travel along.
 2. A bucket adds up the counts of all chunks and answers each chunk in the order of its question.
 3. A chunk builds the part of the automaton that its texts can reach and traverses it.
 A frequent n-gram is in each chunk's question once, so no key is hot. Nothing that grows with the corpus is sent to the
@@ -20,7 +21,6 @@ driver or broadcast; a task holds a bucket (about BUCKET_KEYS keys), a chunk, or
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import arrow_map, batch, held_out
+from framewright.llm.common import arrow_map, batch, held_out, release
 
 ORDER = 3
 #: Share and power of w(C): for two words, and for longer n-grams.
@@ -40,13 +40,17 @@ NEW = ((0.9, 0.1), (0.8, 0.2))
 END = b" "
 #: Stands before the first word; no word has spaces.
 START = b"  "
-CHUNK_TOKENS, BUCKET_KEYS = 1 << 20, 3_000_000
-#: Distinct words that a task counts before it passes them on, and whose hashes it keeps.
-COUNTED, WORDS = 250_000, 400_000
-PIECE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
-PIECE_SCHEMA = "bucket int, chunk long, keys binary, counts binary, texts binary"
-ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("texts", pa.binary())])
-SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+CHUNK_TOKENS, BUCKET_KEYS = 1 << 20, 1_500_000
+#: An unseen n-gram is taken for another one with a probability of 2 ** -CHANCE_BITS at most.
+CHANCE_BITS = 20
+#: Bytes of texts that are split into words at once, and words whose hashes a task keeps.
+SPLIT_BYTES, WORDS = 1 << 20, 100_000
+PIECE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
+PIECE_SCHEMA = "bucket int, chunk long, words binary, grams binary, counts binary, texts binary"
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("known", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
+ANSWER_SCHEMA = "chunk long, bucket int, words binary, known binary, counts binary, texts binary"
+TOTAL = pa.schema([("train_tokens", pa.int64()), ("vocabulary", pa.int64())])
+SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def tokens(text: str) -> list[bytes]:
@@ -80,9 +84,14 @@ def unpacked_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unpacked(raw), dtype=np.uint64)
 
 
-def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts among ascending keys; the last bucket's end as well."""
-    firsts = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+def gram_bits(keys: int) -> int:
+    """Bits of the hashes of n-grams of two words or more, of which there are at most `keys`."""
+    return min(64, keys.bit_length() + CHANCE_BITS)
+
+
+def bounds(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Where each bucket starts among ascending keys of so many bits; the last bucket's end as well."""
+    firsts = np.array([-(-(k << bits) // buckets) for k in range(buckets)], np.uint64)
     return np.append(np.searchsorted(keys, firsts), len(keys))
 
 
@@ -94,30 +103,43 @@ def _joined(context: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, in less memory."""
+    order = np.argsort(x).astype(np.int32)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    index = np.empty(len(x), np.int32)
+    index[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return x[new], index
+
+
 class Grams:
-    """The n-grams of some texts, given as word hashes with a start symbol before each text.
+    """The n-grams of some texts, given as indices of ascending word hashes, with a start symbol before each text.
 
-    keys: the distinct ones, ascending. at[n]: the places where an n-gram of n words ends. own[n]: its index in keys at each such place, -1 elsewhere.
+    words and keys: the distinct ones' hashes, ascending, of single words and of longer n-grams (shorter ones first, as
+    the leading bits are n). at[n]: the places where an n-gram of n words ends. own[n]: its index at each such place, -1
+    elsewhere; longer ones count on after the words.
     """
 
-    def __init__(self, words: np.ndarray, lengths: np.ndarray, order: int) -> None:
-        self.order, self.text = order, np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        keys = {1: words}
+    def __init__(self, words: np.ndarray, index: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> None:
+        self.order, self.words, self.text = order, words, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        place = np.arange(len(index), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+        self.at, self.own = {n: np.flatnonzero(place >= n - 1).astype(np.int32) for n in range(1, order + 1)}, {1: index.astype(np.int32)}
+        word = last = words[index]
+        tag, keys, begin = (order - 2).bit_length(), [], len(words)
         for n in range(2, order + 1):
-            keys[n] = _joined(np.concatenate([keys[n - 1][:1], keys[n - 1][:-1]]), words, n)
-        self.at = {n: np.flatnonzero(place >= n - 1) for n in keys}
-        self.keys, index = np.unique(np.concatenate([keys[n][self.at[n]] for n in keys]), return_inverse=True)
-        self.own, begin = {}, 0
-        for n, at in self.at.items():
-            self.own[n] = np.full(len(words), -1)
-            self.own[n][at] = index[begin : begin + len(at)]
-            begin += len(at)
-        self.spoken = np.flatnonzero(place > 0)
+            last = _joined(np.concatenate([last[:1], last[:-1]]), word, n)
+            own, of = _distinct(last[self.at[n]] >> np.uint64(64 - bits + tag))
+            self.own[n] = np.full(len(index), -1, np.int32)
+            self.own[n][self.at[n]] = of + np.int32(begin)
+            keys.append(own | np.uint64(n - 2) << np.uint64(bits - tag) if tag else own)
+            begin += len(own)
+        self.keys, self.spoken = np.concatenate(keys), self.at[2]
 
     def counts(self, weight: np.ndarray) -> np.ndarray:
-        """Of each key, in texts of weight 1."""
-        out = np.zeros(len(self.keys), np.int64)
+        """Of words and keys, in texts of weight 1."""
+        out = np.zeros(len(self.words) + len(self.keys), np.int64)
         for n, at in self.at.items():
             out += np.bincount(self.own[n][at], weight[self.text[at]], len(out)).astype(np.int64)
         return out
@@ -186,47 +208,20 @@ class Words:
         return np.fromiter(map(self.known.__getitem__, flat), np.uint64, len(flat)), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
-def count_words(texts: DataFrame, buckets: int) -> tuple[int, int]:
-    """All tokens and distinct tokens in the text column of `texts`, the end token among them."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            keys, counts = hashes(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
-            order = np.argsort(keys)
-            yield from _pieces(None, keys[order], counts[order], buckets)
-            seen.clear()
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(tokens(t or ""))
-                seen[END] += 1
-            if len(seen) > COUNTED:
-                yield from out()
-        if seen:
-            yield from out()
-
-    def add(table: pa.Table) -> pa.Table:
-        keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
-        counts = sum(int(unpacked(x).sum()) for x in table.column("counts").to_pylist())
-        return pa.table([pa.array([counts], pa.int64()), pa.array([len(np.unique(np.concatenate(keys)))], pa.int64())], names=["total", "words"])
-
-    found = arrow_map(texts, ask, PIECE_SCHEMA).groupBy("bucket").applyInArrow(add, "total long, words long").agg(F.sum("total"), F.sum("words")).first()
-    return found[0] or 0, found[1] or 0
-
-
-def _pieces(chunk: int | None, keys: np.ndarray, counts: np.ndarray, buckets: int, texts: bytes | None = None) -> Iterator[pa.RecordBatch]:
-    """A chunk's question: a piece for each bucket that it has keys of; the texts travel with the first."""
-    at = bounds(keys, buckets)
-    own = np.flatnonzero(np.diff(at)).tolist()
+def _pieces(chunk: int | None, words: np.ndarray, grams: np.ndarray, counts: np.ndarray, buckets: int, bits: int, texts: bytes | None) -> Iterator[pa.RecordBatch]:
+    """A chunk's question: a piece for each bucket that it has keys of; the texts travel with one of them, another for each chunk."""
+    at, to = bounds(words, buckets), bounds(grams, buckets, bits)
+    own = np.flatnonzero(np.diff(at) + np.diff(to)).tolist()
+    bearer = own[xxhash.xxh64_intdigest(str(chunk)) % len(own)]
     for i in range(0, len(own), 500):
-        some = own[i : i + 500]
-        spans = [slice(at[k], at[k + 1]) for k in some]
-        yield batch(PIECE, some, [chunk] * len(some), [packed_keys(keys[s]) for s in spans], [packed(counts[s]) for s in spans], [texts if i + k == 0 else None for k in range(len(some))])
+        rows = []
+        for k in own[i : i + 500]:
+            w, g = slice(at[k], at[k + 1]), slice(to[k], to[k + 1])
+            rows.append((k, chunk, packed_keys(words[w]), packed_keys(grams[g]), packed(np.concatenate([counts[w], counts[len(words) :][g]])), texts if k == bearer else None))
+        yield batch(PIECE, *zip(*rows, strict=True))
 
 
-def _ask(order: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask(order: int, buckets: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Questions of the chunks of a partition; rows that are not wanted (to be scored) only count."""
     words, chunk = Words(), TaskContext.get().partitionId() << 33  # a repeated task asks under the same numbers
     held: dict[bool, list] = {True: [], False: []}
@@ -235,15 +230,17 @@ def _ask(order: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterato
         nonlocal chunk
         ids, learn, keys, lengths = zip(*held[wanted], strict=True)
         held[wanted].clear()
-        keys, lengths, learn = np.concatenate(keys), np.concatenate(lengths), np.concatenate(learn)
-        grams, texts = Grams(keys, lengths, order), None
+        vocabulary, index = _distinct(np.concatenate(keys))
+        del keys
+        lengths, texts = np.concatenate(lengths), None
+        grams = Grams(vocabulary, index, lengths, order, bits)
         if wanted:
-            vocabulary, own = np.unique(keys, return_inverse=True)
+            frequency = np.bincount(index, minlength=len(vocabulary))
             ids = pa.concat_arrays(ids)
-            parts = [packed_keys(vocabulary), packed(own), packed(lengths), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), packed(ids.is_valid().to_numpy(zero_copy_only=False))]
+            parts = [packed(frequency), packed(np.argsort(_by_frequency(frequency))[index]), packed(lengths), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), packed(ids.is_valid().to_numpy(zero_copy_only=False))]
             texts = b"".join(len(x).to_bytes(8, "little") + x for x in parts)
-        chunk += 1
-        yield from _pieces(chunk if wanted else None, grams.keys, grams.counts(learn.astype(np.float64)), buckets, texts)
+            chunk += 1
+        yield from _pieces(chunk if wanted else None, vocabulary, grams.keys, grams.counts(np.concatenate(learn).astype(np.float64)), buckets, bits, texts)
 
     room = {True: 0, False: 0}
     for b in batches:
@@ -262,32 +259,53 @@ def _ask(order: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterato
             yield from out(wanted)
 
 
+def _by_frequency(frequency: np.ndarray) -> np.ndarray:
+    """A chunk's words, the most frequent first: their ranks take fewer bytes than their indices."""
+    return np.argsort(-frequency, kind="stable")
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """A bucket's counts over all chunks, for each chunk in the order of its keys."""
-    keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
-    index = np.unique(np.concatenate(keys), return_inverse=True)[1]
-    counts = np.bincount(index, np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])).astype(np.int64)
-    ends = np.cumsum([len(k) for k in keys])
-    out, chunks = [], table.column("chunk").to_pylist()
-    for chunk, end, k, bucket, texts in zip(chunks, ends.tolist(), keys, table.column("bucket").to_pylist(), table.column("texts").to_pylist(), strict=True):
+    counts = [unpacked(x) for x in table.column("counts").to_pylist()]
+    totals, at = [], np.zeros(len(counts), np.int64)
+    for kind in ("words", "grams"):
+        keys = [unpacked_keys(x) for x in table.column(kind).to_pylist()]
+        index = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        sizes = np.array([len(k) for k in keys])
+        own = np.concatenate([c[i : i + n] for c, i, n in zip(counts, at.tolist(), sizes.tolist(), strict=True)])
+        totals.append(np.split(np.bincount(index, own).astype(np.int64)[index] if len(index) else index, np.cumsum(sizes)[:-1]))
+        at += sizes
+    out = []
+    for chunk, bucket, words, texts, known, more in zip(*(table.column(c).to_pylist() for c in ("chunk", "bucket", "words", "texts")), *totals, strict=True):
         if chunk is not None:
-            out.append((chunk, bucket, packed(counts[index[end - len(k) : end]]), texts))
+            out.append((chunk, bucket, words, packed(known), packed(more), texts))
+    release()
     return pa.Table.from_batches([batch(ANSWER, *zip(*out, strict=True))] if out else [], schema=ANSWER)
 
 
+def _total(table: pa.Table) -> pa.Table:
+    """A bucket's share of all training tokens and of the distinct ones."""
+    keys = [unpacked_keys(x) for x in table.column("words").to_pylist()]
+    counts = [unpacked(x)[: len(k)] for x, k in zip(table.column("counts").to_pylist(), keys, strict=True)]
+    words, index = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.bincount(index, np.concatenate(counts), len(words)).astype(np.int64)
+    counts[words == np.uint64(xxhash.xxh64_intdigest(START))] = 0
+    return pa.Table.from_batches([batch(TOTAL, [int(counts.sum())], [int((counts > 0).sum())])])
+
+
 def _texts(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """doc_ids, word hashes and lengths of a chunk."""
+    """doc_ids, indices of words and lengths of a chunk."""
     parts, at = [], 0
     while at < len(raw):
         size = int.from_bytes(raw[at : at + 8], "little")
         parts.append(raw[at + 8 : at + 8 + size])
         at += 8 + size
-    vocabulary, own, lengths = unpacked_keys(parts[0]), unpacked(parts[1]), unpacked(parts[2]).astype(np.int64)
-    return pa.array(np.frombuffer(parts[3], "<i8"), mask=unpacked(parts[4]) == 0), vocabulary[own.astype(np.int64)], lengths
+    by_frequency = _by_frequency(unpacked(parts[0]).astype(np.int64))
+    return pa.array(np.frombuffer(parts[3], "<i8"), mask=unpacked(parts[4]) == 0), by_frequency[unpacked(parts[1]).astype(np.int64)], unpacked(parts[2]).astype(np.int64)
 
 
 def score(docs: DataFrame, learn: Column | None = None, training: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`.
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`, by n-grams of up to `order` (2 or more) words.
 
     learn: which rows of `docs` to learn from, by default all; or training: a table of other rows to learn from instead.
     Null texts count as empty (the end token alone); without training documents all tokens are unseen and both scores
@@ -299,27 +317,26 @@ def score(docs: DataFrame, learn: Column | None = None, training: DataFrame | No
         rows = as_rows(docs, F.lit(False), True).unionAll(as_rows(training.withColumn(doc_id, F.lit(None)) if doc_id not in training.columns else training, F.lit(True), False))
     else:
         rows = as_rows(docs, F.coalesce(F.lit(True) if learn is None else learn, F.lit(False)), True)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    keys = size // 5 * order  # words have about five bytes
-    total, vocabulary = count_words(rows.where("learn").select("text"), max(8, -(-size // 5 // BUCKET_KEYS)))
-    buckets = max(16, -(-keys // BUCKET_KEYS))
+    keys = (rows.agg(F.sum(F.octet_length("text") + 5)).first()[0] or 0) // 5 * order  # a word takes five bytes or more, nearly always
+    buckets, bits = max(16, -(-keys // BUCKET_KEYS)), gram_bits(keys)
 
     def close(table: pa.Table) -> pa.Table:
         table = table.sort_by("bucket")
-        counts = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])
-        ids, words, lengths = _texts(next(x for x in table.column("texts").to_pylist() if x is not None))
-        grams = Grams(words, lengths, order)
-        if len(counts) != len(grams.keys):
+        total, vocabulary = (table.column(c)[0].as_py() for c in TOTAL.names)
+        words, known, more = (np.concatenate([f(x) for x in table.column(c).to_pylist()]) for c, f in (("words", unpacked_keys), ("known", unpacked), ("counts", unpacked)))
+        ids, index, lengths = _texts(next(x for x in table.column("texts").to_pylist() if x is not None))
+        grams, size = Grams(words, index, lengths, order, bits), len(lengths)
+        if len(more) != len(grams.keys):
             raise ValueError("a chunk's answers don't fit its question")
-        automaton, size = Automaton(grams, counts, total, vocabulary), len(lengths)
+        automaton = Automaton(grams, np.concatenate([known, more]), total, vocabulary)
         at, of = grams.own[1][grams.spoken], grams.text[grams.spoken]
         sums = lambda x: np.bincount(of, x, size)
-        return pa.Table.from_batches([batch(SCORED, ids, lengths - 1, sums(counts[at] > 0).astype(np.int64), sums(automaton.unigram[at]), np.bincount(grams.text, automaton.traverse(), size))])
+        return pa.Table.from_batches([batch(SCORED, ids, lengths - 1, sums(known[at] > 0).astype(np.int64), np.full(size, total), sums(automaton.unigram[at]), np.bincount(grams.text, automaton.traverse(), size))])
 
-    asked = arrow_map(rows, lambda batches: _ask(order, buckets, batches), PIECE_SCHEMA)
-    answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, counts binary, texts binary")
-    scored = answered.groupBy("chunk").applyInArrow(close, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    asked = arrow_map(rows, lambda batches: _ask(order, buckets, bits, batches), PIECE_SCHEMA, size=SPLIT_BYTES).groupBy("bucket")
+    totals = asked.applyInArrow(_total, "train_tokens long, vocabulary long").agg(*[F.sum(c).alias(c) for c in TOTAL.names])  # one row
+    answered = asked.applyInArrow(_answer, ANSWER_SCHEMA).join(F.broadcast(totals), F.lit(True))
+    return answered.groupBy("chunk").applyInArrow(close, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:
