@@ -35,6 +35,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table of a `materialise` that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000, keeps: str = "", size: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow where f gets batches of at most `rows` rows and about `size` bytes, since one text can hold megabytes.
 
@@ -129,10 +137,9 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
 
 
 def permutations(count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets of `count` multiply-shift hash functions."""
-    rng = np.random.RandomState(seed)
-    draw = lambda: (rng.randint(0, 1 << 32, count, np.uint64) << np.uint64(32)) | rng.randint(0, 1 << 32, count, np.uint64)
-    return draw() | np.uint64(1), draw()
+    """Odd multipliers and offsets of `count` multiply-shift hash functions; fewer are the beginning of more."""
+    draw = np.random.RandomState(seed).randint(0, 1 << 32, (count, 4), np.uint64)
+    return (draw[:, 0] << np.uint64(32)) | draw[:, 1] | np.uint64(1), (draw[:, 2] << np.uint64(32)) | draw[:, 3]
 
 
 def minhash(items: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 512) -> np.ndarray:

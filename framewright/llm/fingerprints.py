@@ -112,7 +112,11 @@ def _compared(own: Fingerprinter, this: tuple, following: tuple) -> tuple:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id, n_links: near-duplicate classes by signature bands, verified by exact Jaccard similarity."""
+    """doc_id, class_id, n_links: near-duplicate classes, verified by exact Jaccard similarity.
+
+    The signature bands joined in Spark are of the fingerprint's own permutations and some more; texts that share one are
+    compared by their fingerprints. See `near_classes` for nulls, ties, repeated rows and empty tables.
+    """
     from framewright.llm.similar import near_classes
 
-    return near_classes(df, doc_id, text, threshold, prune=None)
+    return near_classes(df, doc_id, text, threshold)

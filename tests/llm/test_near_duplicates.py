@@ -118,3 +118,34 @@ def test_bands_follow_the_threshold(spark):
     for t in (0, -1, 1.1):
         with pytest.raises(ValueError, match="threshold"):
             similar.banding_for(t)
+
+
+def test_weak_links_make_no_clusters(spark, monkeypatch):
+    # 400 texts, each alike to the next by about 0.4: many share a band, none is sent to be verified
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    parts = [[word() for _ in range(40)] for _ in range(401)]
+    docs = [(k, " ".join(parts[k] + parts[k + 1] + parts[k][:30])) for k in range(400)]
+    sent, write = [], similar.materialise
+
+    def noted(df, tag):
+        out = write(df, tag)
+        if tag in ("buckets", "members"):
+            sent.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "materialise", noted)
+    rows = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert all(r.n_links == 0 and r.class_id == r.doc_id for r in rows)
+    assert dict(sent)["buckets"] > 20
+    assert dict(sent)["members"] == 0
+
+
+def test_reached_follows_chains_and_keeps_sizes_apart():
+    signs = similar.np.zeros((6, similar.COMPARED), similar.np.uint8)
+    for k in range(6):
+        signs[k, : 20 * k] = 1  # neighbours differ in 20 of 128 places
+    size = similar.np.array([10, 10, 10, 10, 10, 5])
+    least = similar.least_matches(0.8)
+    assert similar.reached(signs, size, 0.8, least).tolist() == [0, 0, 0, 0, 0, 5]
+    assert similar.reached(signs[[0, 5]], size[[0, 0]], 0.8, least).tolist() == [0, 1]
