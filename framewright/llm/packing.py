@@ -1,13 +1,14 @@
 """Hierarchical packing of tokenised documents into context windows of several lengths.
 
 Each partition is packed on its own in one narrow pass, in buffers of bounded size:
-1. Whole windows of the longest tier are cut from long documents. What remains is routed to the smallest tier that holds it.
+1. Whole windows of the longest tier are cut from long documents; they wait in the buffer, to be dealt with the others. What
+   remains is routed to the smallest tier that holds it.
 2. Tiers are packed from longest to shortest. A window starts with the longest document of its tier; its gap is filled
    with the longest shorter documents that fit, and closed by cutting one more, so the window has no padding.
 3. What no shorter document can complete waits for the next buffer; at the end of a partition it is cut into
    power-of-two lengths, which need no padding either.
 4. Windows of one tier are dealt to step groups: sorted by attention cost (the sum of squared piece lengths) and dealt
-   back and forth, so the groups of a buffer cost nearly the same.
+   back and forth, so the groups of a buffer cost nearly the same. Windows too few for DEAL_GROUPS groups wait for the next buffer.
 No piece crosses a partition, and a repeated task gives the same pieces and ids.
 """
 
@@ -31,6 +32,8 @@ TIERS = (256, 512, 1024, 2048)
 BUFFER_TOKENS = 1 << 20
 #: Windows in a step group.
 STEP_WINDOWS = 16
+#: Step groups of a tier that are dealt at once, at least.
+DEAL_GROUPS = 8
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64()), ("ids", pa.binary()),
@@ -107,15 +110,17 @@ class Packer:
     def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS) -> None:
         self.tiers, self.base, self.windows, self.groups = tiers, partition << 33, 0, 0
         self.waiting: list[tuple] = []  # ascending by length; `order` makes entries distinct
+        self.whole: list[list[tuple]] = []  # windows of one piece
+        self.left: list[list[tuple]] = []  # windows that wait for a full step group: fewer than DEAL_GROUPS * STEP_WINDOWS of each tier
         self.tokens = self.order = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[list[tuple]]:
         """Windows that can be closed now, each a list of pieces."""
         top, at = self.tiers[-1], 0
-        whole = len(ids) // top * top
-        if whole:
-            yield from self._deal([[(top, 0, doc_id, s, ids[s : s + top], len(ids))] for s in range(0, whole, top)])
-            at = whole
+        for s in range(0, len(ids) // top * top, top):
+            self.whole.append([(top, 0, doc_id, s, ids[s : s + top], len(ids))])
+            self.tokens += top
+            at = s + top
         if at < len(ids):
             self._wait(doc_id, at, ids[at:], len(ids))
         if self.tokens >= BUFFER_TOKENS:
@@ -136,7 +141,7 @@ class Packer:
                     last.append((n - size, order, doc_id, start + size, ids[size:], total))
                 size -= min(n, size)
             windows.append(window)
-        yield from self._deal(windows)
+        yield from self._deal(windows, last=True)
 
     def _wait(self, doc_id: int | None, start: int, ids: np.ndarray, total: int) -> None:
         self.order += 1
@@ -149,7 +154,7 @@ class Packer:
         return self.waiting.pop(i - 1) if i else None
 
     def _pack(self) -> Iterator[list[tuple]]:
-        windows, kept = [], []
+        windows, kept, self.whole = self.whole, [], []
         while self.waiting:
             window = [self.waiting.pop()]
             tier = next(t for t in self.tiers if t >= window[0][0])
@@ -170,13 +175,18 @@ class Packer:
         self.tokens = sum(x[0] for x in kept)
         yield from self._deal(windows)
 
-    def _deal(self, windows: list[list[tuple]]) -> Iterator[list[tuple]]:
-        """Number the windows and deal those of each tier to step groups of nearly equal cost."""
+    def _deal(self, windows: list[list[tuple]], last: bool = False) -> Iterator[list[tuple]]:
+        """Number the windows and deal those of each tier to step groups of nearly equal cost; `last`: the unfilled ones too."""
         by_tier: dict[int, list] = {}
-        for w in windows:
+        for w in self.left + windows:
             by_tier.setdefault(sum(x[0] for x in w), []).append(w)
+        self.left = []
         for tier, own in sorted(by_tier.items()):
             own.sort(key=lambda w: -sum(x[0] ** 2 for x in w))
+            if not last:
+                full = len(own) // STEP_WINDOWS * STEP_WINDOWS if len(own) >= DEAL_GROUPS * STEP_WINDOWS else 0
+                self.left += own[full:]
+                del own[full:]
             count = -(-len(own) // STEP_WINDOWS)
             for i, w in enumerate(own):
                 turn, place = divmod(i, count)
