@@ -4,33 +4,39 @@ A word that training knows is scored by its log frequency in each language. A wo
 character 5-grams, then 4-, 3-, 2- and 1-grams: each character position is scored by the longest n-gram known there,
 averaged over the word. A document's language has the largest sum over its words.
 
-The model is fitted on about FIT_DOCS documents of each language, in one task; predictions cover every whole text. Training texts
-that are null, or whose language is null, are left out. Texts that are null or have no letter are `und`, as all texts are
-where nothing was learnt. Ties go to the language that sorts first.
+Words are runs of letters (Unicode category L) with the combining marks among them. A word counts SPELLINGS times at most
+in the n-grams, so that a few frequent words don't stand for a language's spelling.
+
+The model is fitted on about FIT_DOCS documents of each of the LANGUAGES most frequent languages, in one task; predictions
+cover every whole text. Training texts that are null, or whose language is null, are left out. Texts that are null or have
+no letter are `und`, as all texts are where nothing was learnt. Ties go to the language that sorts first. Repeated rows are
+predicted each; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import arrow_map, batch, fit_in_task, held_out
 
-#: Training documents of a language, at most, and characters of each that count at most on average.
-FIT_DOCS = 1_500
+#: Training documents of a language, about, and languages, at most.
+FIT_DOCS, LANGUAGES = 1_500, 500
+#: Occurrences of a word that count for its n-grams, at most.
+SPELLINGS = 50
 #: Occurrences from which a word or an n-gram is known.
 LEAST_WORD, LEAST_GRAM = 3, 3
 ORDER = 5
 #: Below this probability a document is not taken as written in the predicted language.
 LEAST_SCORE = 0.5
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -45,7 +51,7 @@ class Model:
         grams: dict[str, Counter] = {x: Counter() for x in self.langs}
         for x, own in words.items():
             for w, n in own.items():
-                n = min(n, 50)  # so that a few frequent words don't stand for a language's spelling
+                n = min(n, SPELLINGS)
                 padded = f" {w} "
                 for k in range(1, ORDER + 1):
                     for i in range(len(padded) - k + 1):
@@ -119,19 +125,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """A model from at most about `per_language` documents of each language outside the held-out fold (crc32 of the id modulo 4 is 2)."""
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("x")).where(~held_out("doc_id", 4, 2))
     rows = rows.where("t IS NOT NULL AND x IS NOT NULL")
-    sizes = {r[0]: r[1] for r in docs.groupBy(F.col(lang).cast("string")).count().collect() if r[0] is not None}
+    sizes = rows.groupBy("x").count().orderBy(F.desc("count"), "x").limit(LANGUAGES).collect()
     if not sizes:
         return Model([], [])
-    draw = F.xxhash64("doc_id", F.lit("language"))
-    share = F.lit(False)
-    for x, n in sizes.items():
-        part = min(1.0, per_language / (0.75 * n))  # a quarter of the documents is held out
-        share = share | ((F.col("x") == F.lit(x)) & (F.lit(True) if part >= 1 else draw < F.lit(-(1 << 63) + int((1 << 64) * part))))
+    # a row is drawn by its id's hash, in the share that its language needs; LANGUAGES rows at most are broadcast
+    shares = docs.sparkSession.createDataFrame([(r["x"], -(1 << 63) + min((1 << 64) - 1, (1 << 64) * per_language // r["count"])) for r in sizes], "x string, below long")
+    drawn = rows.join(F.broadcast(shares), "x").where(F.xxhash64("doc_id", F.lit("language")) <= F.col("below")).select("doc_id", "t", "x")
+
     def fit(table: pa.Table) -> Model:
         table = table.sort_by([("doc_id", "ascending"), ("t", "ascending")])
         return Model(table.column("t").to_pylist(), table.column("x").to_pylist())
 
-    return fit_in_task(rows.where(share).limit(2 * per_language * len(sizes)), fit)
+    return fit_in_task(drawn.limit(2 * per_language * len(sizes)), fit)
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,7 +158,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents, in all their columns, whose language is told with `least` probability or more."""
+    """The documents, in all their columns, whose language is told with `least` probability or more.
+
+    Null texts and those without a letter go; null ids and repeated rows stay as they are; long texts are read whole.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -241,7 +241,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, in all their columns, whose score is below the threshold; scored in the same pass over the rows."""
+    """The documents, in all their columns, whose score is below the threshold; scored in the same pass over the rows.
+
+    Null and empty texts are scored as texts without hits; null ids and repeated rows stay as they are; long texts are read whole.
+    """
     names = docs.columns
     where = {c: names.index(c) for c in ("text",)}
 

@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,6 +80,98 @@ def test_unseen_words_back_off_to_shorter_grams():
     assert language_id.Scorer(m)("schulen")[0] == "de"
 
 
+def test_letters_and_marks(spark):
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(["½ ² ① Ⅷ", "hello there world"] * 10)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert {found[k] for k in range(0, 20, 2)} == {"und"}
+    assert {found[k] for k in range(1, 20, 2)} == {"en"}
+    assert language_id.LETTERS.findall("हिन्दी भाषा x1y") == ["हिन्दी", "भाषा", "x", "y"]
+
+
+def plain_language(train, text):
+    """Word-first backoff in plain loops: the predicted language and its probability."""
+    langs = sorted({x for _, x in train})
+    words = {x: Counter(w for t, y in train if y == x for w in language_id.LETTERS.findall(t.lower())) for x in langs}
+    grams = {x: Counter() for x in langs}
+    for x in langs:
+        for w, n in words[x].items():
+            for k in range(1, 6):
+                for i in range(len(w) + 3 - k):
+                    grams[x][f" {w} "[i : i + k]] += min(n, 50)
+    known = lambda table, key: sum(table[x][key] for x in langs) >= 3
+
+    def log(table, x, key, size):
+        return math.log((table[x][key] + 0.3) / (sum(n for g, n in table[x].items() if size is None or len(g) == size) + 1))
+
+    total = dict.fromkeys(langs, 0.0)
+    for w in language_id.LETTERS.findall(text.lower()):
+        if known(words, w):
+            for x in langs:
+                total[x] += log(words, x, w, None)
+            continue
+        padded, picked = f" {w} ", []
+        for end in range(2, len(padded) + 1):
+            picked += [padded[end - k : end] for k in range(min(5, end), 0, -1) if known(grams, padded[end - k : end])][:1]
+        for x in langs if picked else ():
+            total[x] += sum(log(grams, x, g, len(g)) for g in picked) / len(picked)
+    best = max(langs, key=lambda x: total[x])
+    return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+
+def test_language_against_plain_loops():
+    train = [("the thing and the thinking of things", "en")] * 3 + [("der schuh und die schule des dings", "de")] * 3 + [("la chose et le soulier", "fr")] * 2
+    score = language_id.Scorer(language_id.Model(*map(list, zip(*train, strict=True))))
+    for text in ("the thing", "thinker schulen", "soulier le xyz", "une chose der Dinge", "des", "qqq"):
+        best, p = plain_language(train, text)
+        got = score(text)
+        assert got[0] == best
+        assert got[1] == pytest.approx(p, abs=1e-4)
+
+
+def plain_features(text, lexicon):
+    """FEATURES of a text in plain loops."""
+    words, rows = text.split(), []
+    weigh = lambda c: max([lexicon.get(x, 0.0) for x in ["=" + c, *(c[:n] for n in (3, 4, 5, 6, 7) if len(c) > n)]])
+    for w in words:
+        core = re.sub(r"^\W+|\W+$", "", w.lower())
+        plain = re.sub(r"(.)\1{2,}", r"\1", re.sub(r"[\W_]+", "", core.translate(str.maketrans("013457@$!|", "oieastasii")))) if core and (not core.isalpha() or re.search(r"(.)\1\1", core)) else core
+        letters = sum(c.isalpha() for c in w)
+        rows.append({
+            "insult": core in toxicity.INSULTS or (plain in toxicity.INSULTS and letters > 0), "weight": weigh(core) if core else 0.0, "hidden": weigh(plain) if plain and plain != core and letters else 0.0,
+            "second": core in toxicity.SECOND_PERSON, "letters": letters, "upper": sum(c.isupper() for c in w),
+        })
+    n = len(words)
+    hit = [k for k, r in enumerate(rows) if max(r["weight"], r["hidden"]) > 0 or r["insult"]]
+    second = [k for k, r in enumerate(rows) if r["second"]]
+    return {
+        "insult_density": sum(r["insult"] for r in rows) / n, "hit_density": len(hit) / n, "weight_density": sum(max(r["weight"], r["hidden"]) for r in rows) / n, "hits": math.log1p(len(hit)),
+        "hidden_hits": math.log1p(sum(r["hidden"] > r["weight"] for r in rows)), "near_second_person": sum(any(abs(s - h) <= 5 for s in second) for h in hit) / len(hit) if hit else 0.0,
+        "second_person_density": len(second) / n, "capitals": sum(r["upper"] for r in rows) / max(1, sum(r["letters"] for r in rows)), "punctuation": sum(not c.isalnum() for w in words for c in w) / sum(map(len, words)),
+        "exclamations": sum(c in "!?" for w in words for c in w) / n, "words": math.log1p(n), "word_length": sum(map(len, words)) / n,
+    }
+
+
+def test_toxicity_against_plain_loops():
+    docs = ["you are an idiot, really", "YOU 1d1ot!!! go away you m0r0n", "a calm text about trees", "stuuupid people, and your friends", "tu es un imbécile ?", "x"] * 8
+    toxic = np.array([1, 1, 0, 1, 1, 0] * 8, float)
+    model = toxicity.Model(docs, toxic)
+    extract = toxicity.Extractor(model.lexicon)
+    for text in docs[:6] + ["you worthless fool", "idiotic trees of yours", "ÜBER all1 you"]:
+        x = extract(text)
+        for name, value in plain_features(text, model.lexicon).items():
+            assert x[toxicity.FEATURES.index(name)] == pytest.approx(value, rel=1e-5), name
+        margin = model.trees.base  # the trees, node by node
+        for feature, threshold, value in model.trees.trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(x[feature[node]] > threshold[node])
+            margin += value[node - len(feature)]
+        at, to = model.calibrate.at, model.calibrate.to
+        k = int(np.searchsorted(at, margin))
+        wanted = to[0] if k == 0 else to[-1] if k == len(at) else to[k - 1] + (to[k] - to[k - 1]) * (margin - at[k - 1]) / (at[k] - at[k - 1])
+        assert model.score(x[None])[0] == pytest.approx(min(max(wanted, 0), 1), abs=1e-9)
+
+
 @pytest.mark.parametrize("keep", ["toxicity", "language"])
 def test_filters_keep_all_columns(spark, odd, keep):
     if keep == "toxicity":
