@@ -4,8 +4,10 @@ Writer: every partition of pages becomes one .warc.zst archive, written by Spark
 separator is an empty skippable frame, which every Zstandard reader passes over, so the files are archives as they
 stand, in any store that Spark reaches, and its commit protocol covers lost executors. An archive is no larger than an
 input split (spark.sql.files.maxPartitionBytes).
-Reader: takes the dictionary from the leading skippable frame, finds each frame's end from its block headers,
-decodes one frame per record and checks version, headers, lengths and digest; what fails raises ValueError.
+Reader: takes the dictionary from the leading skippable frame (itself compressed or not; archives without one are read
+too), finds each frame's end from its block headers, decodes one frame per record and checks version, required headers,
+lengths and digest; whatever is damaged raises ValueError. Records of other writers and other types are returned with their
+own ids; their payload is what follows the HTTP header where the content is HTTP, else the whole block.
 
 Nulls: null html is the empty payload; a null url gives no target URI; a null page_id is kept as a null id, which sorts
 after all others among equal payloads. Rows that repeat a payload's smallest id are all responses. Extra columns are not
@@ -14,6 +16,7 @@ read. Empty tables give an empty result.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -35,19 +38,25 @@ EMPTY_FRAME = struct.pack("<II", SKIPPABLE_FIRST, 0)
 LEAST_REVISIT = 100
 #: Pages that the dictionary is trained on, at most, and the bytes taken of each.
 DICTIONARY_SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 16_384, 65_536
-READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+VERSIONS = ("WARC/1.0", "WARC/1.1")
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
+#: The only header that a record may repeat.
+REPEATED = "warc-concurrent-to"
+READ = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("record_id", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary()),
+])
+READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, refers_to_id string, payload binary"
 
 
 def _urn(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
-def _page(urn: str) -> int | None:
-    m = re.fullmatch(r"<urn:page:(none|-?\d+)>", urn)
-    if not m:
-        raise ValueError(f"not a record id: {urn!r}")
-    return None if m[1] == "none" else int(m[1])
+def _page(urn: str | None) -> int | None:
+    """The page behind a record id of this module's writer; null for any other."""
+    m = re.fullmatch(r"<urn:page:(-?\d{1,19})>", urn or "")
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, is_revisit: bool) -> bytes:
@@ -67,61 +76,112 @@ def parse(data: bytes) -> tuple:
     """A record's fields in READ's order; ValueError if a header, a length or the digest is wrong."""
     head, found, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
-    if not found or version != "WARC/1.1":
-        raise ValueError("no WARC/1.1 header")
-    fields = dict(line.split(": ", 1) for line in lines if ": " in line)
-    if len(fields) != len(lines):
-        raise ValueError("malformed or repeated header")
-    size = int(fields["Content-Length"])
-    if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
+    if not found or version not in VERSIONS:
+        raise ValueError("no WARC header")
+    fields: dict[str, str] = {}
+    for line in lines:
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or (name in fields and name != REPEATED):
+            raise ValueError(f"malformed or repeated header: {line!r}")
+        fields[name] = value.strip()
+    if missing := [x for x in REQUIRED if not fields.get(x)]:
+        raise ValueError(f"headers are missing: {missing}")
+    if len(rest) != _length(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise ValueError("Content-Length does not match the record")
-    http, found, payload = rest[:size].partition(b"\r\n\r\n")
-    m = re.search(rb"\r\nContent-Length: (\d+)$", http)
-    if not found or not m:
-        raise ValueError("no HTTP header")
-    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    if kind == "response":
-        if len(payload) != int(m[1]) or hashlib.sha256(payload).hexdigest() != digest:
-            raise ValueError("the payload does not match its length or digest")
-    elif kind != "revisit" or payload:
-        raise ValueError(f"unknown or malformed record type {kind!r}")
-    uri = fields.get("WARC-Target-URI")
-    url = None if uri is None else re.sub(r"%(25|0D|0A)", lambda x: chr(int(x[1], 16)), uri)
-    return _page(fields["WARC-Record-ID"]), url, kind, _page(fields["WARC-Refers-To"]) if kind == "revisit" else None, int(m[1]), digest, None if kind == "revisit" else payload
+    block, kind, own = rest[:-4], fields["warc-type"], fields["warc-record-id"].startswith("<urn:page:")
+    payload, size = block, len(block)
+    if own or fields.get("content-type", "").startswith("application/http"):
+        http, found, payload = block.partition(b"\r\n\r\n")
+        m = re.search(rb"(?i)\r\nContent-Length:\s*(\d{1,18})\s*(?:\r\n|$)", http)
+        if own and not (found and m):
+            raise ValueError("no HTTP header")
+        size = int(m[1]) if m and (own or kind == "revisit") else len(payload)
+    if kind != "revisit":
+        if len(payload) != size:
+            raise ValueError("the payload does not match its length")
+        _verify(fields.get("warc-payload-digest"), payload)
+        _verify(fields.get("warc-block-digest"), block)
+    elif own and payload:
+        raise ValueError("a revisit with a payload")
+    if own and kind not in ("response", "revisit"):
+        raise ValueError(f"unknown record type {kind!r}")
+    if own and not fields.get("warc-payload-digest"):
+        raise ValueError("no payload digest")
+    url = fields.get("warc-target-uri")
+    if own and url is not None:
+        url = re.sub(r"%(25|0D|0A)", lambda x: chr(int(x[1], 16)), url)
+    digest, refers = fields.get("warc-payload-digest"), fields.get("warc-refers-to")
+    return _page(fields["warc-record-id"]), url, kind, _page(refers), size, digest and digest.removeprefix("sha256:"), fields["warc-record-id"], refers, None if kind == "revisit" else payload
+
+
+def _length(text: str) -> int:
+    if not re.fullmatch(r"[0-9]{1,18}", text):
+        raise ValueError(f"not a length: {text!r}")
+    return int(text)
+
+
+def _verify(digest: str | None, data: bytes) -> None:
+    """Raise where `data` has another digest; those of unknown algorithms are passed over."""
+    algorithm, _, value = (digest or "").partition(":")
+    if algorithm.lower() in ("sha1", "sha256", "md5"):
+        raw = hashlib.new(algorithm.lower(), data).digest()
+        if value.lower() != raw.hex() and value.upper().rstrip("=") != base64.b32encode(raw).decode().rstrip("="):
+            raise ValueError("the digest does not match")
 
 
 def frame_end(data: memoryview, at: int) -> int:
-    """Where the frame that starts at `at` ends, read from its headers alone."""
-    magic, size = struct.unpack_from("<II", data, at)
+    """Where the frame that starts at `at` ends, read from its headers alone; ValueError where the archive ends before."""
+    end = _frame_end(data, at)
+    if end > len(data):
+        raise ValueError("the archive is cut short")
+    return end
+
+
+def _frame_end(data: memoryview, at: int) -> int:
+    def number(start: int, size: int) -> int:
+        if start + size > len(data):
+            raise ValueError("the archive is cut short")
+        return int.from_bytes(data[start : start + size], "little")
+
+    magic = number(at, 4)
     if SKIPPABLE_FIRST <= magic <= SKIPPABLE_LAST:
-        return at + 8 + size
+        return at + 8 + number(at + 4, 4)
     if magic != FRAME_MAGIC:
         raise ValueError(f"no frame at byte {at}")
-    flags = data[at + 4]
+    flags = number(at + 4, 1)
     single, checksum = flags >> 5 & 1, flags >> 2 & 1
     at += 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + ((1 if single else 0), 2, 4, 8)[flags >> 6]
     while True:
-        block = int.from_bytes(data[at : at + 3], "little")
+        block = number(at, 3)
         at += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)  # a run-length block holds one byte
         if block & 1:
             return at + 4 * checksum
 
 
+def _decoded(frame: bytes, dictionary: zstandard.ZstdCompressionDict | None) -> bytes:
+    """A frame's content, whether or not its header tells the size."""
+    try:
+        decoder = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
+        out = decoder.decompress(frame)
+    except zstandard.ZstdError as e:
+        raise ValueError(f"a damaged frame: {e}") from e
+    if not decoder.eof or decoder.unused_data:
+        raise ValueError("a damaged frame")
+    return out
+
+
 def frames(data: bytes) -> Iterator[bytes]:
     """The decoded records of one archive."""
-    view, at, decoder = memoryview(data), 0, None
+    view, at, dictionary = memoryview(data), 0, None
     while at < len(data):
         end = frame_end(view, at)
-        if end > len(data):
-            raise ValueError("the archive is cut short")
         magic = struct.unpack_from("<I", view, at)[0]
-        if decoder is None:
-            if magic != DICTIONARY_MAGIC:
-                raise ValueError("the archive does not start with its dictionary")
-            own = bytes(view[at + 8 : end])
-            decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own) if own else None)
+        if at == 0 and magic == DICTIONARY_MAGIC and end > 8:
+            own = bytes(view[8:end])
+            dictionary = zstandard.ZstdCompressionDict(_decoded(own, None) if own[:4] == struct.pack("<I", FRAME_MAGIC) else own)
         elif magic == FRAME_MAGIC:
-            yield decoder.decompress(view[at:end])
+            yield _decoded(bytes(view[at:end]), dictionary)
         at = end
 
 

@@ -1,8 +1,9 @@
+import base64
 import hashlib
 
 import pytest
 import zstandard
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from framewright.llm import warc
@@ -53,8 +54,68 @@ def test_bad_archives_and_records():
     for bad in (good.replace(b"payload", b"paYload"), good[:-1], good.replace(b"WARC/1.1", b"WARC/0.9"), good + b"x", good.replace(b"response\r\nWARC-R", b"other\r\nWARC-R")):
         with pytest.raises(ValueError):
             warc.parse(bad)
+    for missing in (b"WARC-Type: response\r\n", b"WARC-Date: 2020-01-01T00:00:00Z\r\n", b"WARC-Record-ID: <urn:page:1>\r\n", b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"payload").hexdigest().encode() + b"\r\n"):
+        assert missing in good
+        with pytest.raises(ValueError):
+            warc.parse(good.replace(missing, b""))
     frame = zstandard.ZstdCompressor().compress(good)
-    with pytest.raises(ValueError):
-        list(warc.frames(frame))
+    assert list(warc.frames(frame)) == [good]  # an archive without a dictionary
     with pytest.raises(ValueError):
         list(warc.frames(b"\x5d\x2a\x4d\x18\0\0\0\0" + frame[:-3]))
+
+
+def archive(dictionary, compressed, level=3):
+    """Two records of another writer: frames without content size, under a dictionary."""
+    records = [foreign(b"response", b"application/http", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>body"), foreign(b"warcinfo", b"application/warc-fields", b"software: y")]
+    raw = zstandard.ZstdCompressor().compress(dictionary) if compressed else dictionary
+    out = b"\x5d\x2a\x4d\x18" + len(raw).to_bytes(4, "little") + raw
+    for r in records:
+        c = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False).compressobj()
+        out += c.compress(r) + c.flush()
+    return out, records
+
+
+def foreign(kind, content, block):
+    digest = base64.b32encode(hashlib.sha1(block).digest())
+    return b"WARC/1.0\r\nwarc-type: %s\r\nWARC-Record-ID: <urn:uuid:1-2>\r\nWARC-Date: 2021-01-01T00:00:00Z\r\nWARC-Target-URI: http://h/a%%25b\r\nWARC-Block-Digest: sha1:%s\r\nContent-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, digest, content, len(block), block)
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_archives_of_other_writers(spark, tmp_path, compressed):
+    dictionary = zstandard.train_dictionary(2000, [b"WARC/1.0 warc-type record %d " % k * 20 for k in range(200)]).as_bytes()
+    data, records = archive(dictionary, compressed)
+    assert list(warc.frames(data)) == records
+    (tmp_path / "a.warc.zst").write_bytes(data)
+    rows = sorted(warc.read(spark, str(tmp_path)).collect(), key=lambda r: r.record_type)
+    assert [(r.page_id, r.record_type, r.record_id, r.url, bytes(r.payload)) for r in rows] == [
+        (None, "response", "<urn:uuid:1-2>", "http://h/a%25b", b"<p>body"),
+        (None, "warcinfo", "<urn:uuid:1-2>", "http://h/a%25b", b"software: y"),
+    ]
+
+
+WHOLE = b"\x5d\x2a\x4d\x18\0\0\0\0" + b"".join(zstandard.ZstdCompressor(write_checksum=True).compress(warc.record(k, "http://u", b"payload %d" % k, hashlib.sha256(b"payload %d" % k).hexdigest(), None, False)) for k in range(3))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, len(WHOLE)), st.lists(st.tuples(st.integers(0, len(WHOLE) - 1), st.integers(1, 255)), max_size=3))
+def test_damage_raises_value_errors_alone(cut, flips):
+    data = bytearray(WHOLE)
+    for at, by in flips:
+        data[at] ^= by
+    try:
+        found = [warc.parse(r) for r in warc.frames(bytes(data[:cut]))]
+    except ValueError:
+        return
+    assert len(found) <= 3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 400), st.lists(st.tuples(st.integers(0, 300), st.binary(max_size=3)), min_size=1, max_size=3))
+def test_damaged_records_raise_value_errors_alone(cut, changes):
+    data = bytearray(warc.record(7, "http://u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, False))
+    for at, by in changes:
+        data[at : at + 1] = by
+    try:
+        warc.parse(bytes(data[:cut]))
+    except ValueError:
+        return
