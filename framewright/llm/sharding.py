@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.llm.common import materialise
+
 # Multiplier of the generator, published with the algorithm.
 MULTIPLIER = 2862933555777941757
 MASK16, MASK32 = (1 << 16) - 1, (1 << 32) - 1
 #: Slices of each shard whose rows are numbered independently; more slices, smaller tasks.
 SLICES = 256
+#: Copies of a row that are expanded at once.
+COPIES = 4096
 
 
 def _low_product(x: Column, factor: int) -> Column:
@@ -63,8 +67,8 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     `size` is the text's UTF-8 bytes (null: none) plus 16. `slot` numbers a shard's rows from 0 without gaps.
     Law `key`: the key and the shard count alone decide, so equal keys (and null keys) share a shard. An integer key walks
     by itself (null as 0), any other by its 64-bit hash. Slots go by slice, key, size and checksum.
-    Equal rows are counted before the shuffle and expanded after numbering, so that no repeated row makes a hot task;
-    each shard is numbered in SLICES slices whose offsets come from a count of at most shards * SLICES rows.
+    Equal rows are counted before the shuffle (the counts are written, and read for offsets and slots) and expanded after
+    numbering, those of more than COPIES copies in parts dealt to many tasks, so that no repeated row makes a hot task; each shard is numbered in SLICES slices whose offsets come from a count of at most shards * SLICES rows.
     Other columns, whatever their names, are not read; an empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -74,9 +78,12 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     stable = F.coalesce(F.col("k").cast("long"), F.lit(0).cast("long")) if whole else F.xxhash64("k")
     walk = jump_walk(stable, shards)
     groups = groups.withColumn("w", walk).select("*", F.col("w.shard").alias("shard"), F.col("w.grown").alias("grown_shard"), F.pmod(F.col("text_crc32") + F.pmod(stable, F.lit(1_000_003)), F.lit(SLICES)).cast("int").alias("slice")).drop("w")
+    groups = materialise(groups, "shards")
     per_slice = groups.groupBy("shard", "slice").agg(F.sum("n").alias("n"))
     offsets = F.broadcast(per_slice.selectExpr("shard", "slice", "sum(n) OVER (PARTITION BY shard ORDER BY slice) - n AS first"))  # at most shards * SLICES rows
     numbered = groups.join(offsets, ["shard", "slice"]).selectExpr("*", "first + sum(n) OVER (PARTITION BY shard, slice ORDER BY k, size, text_crc32 ROWS UNBOUNDED PRECEDING) - n AS start")
-    return numbered.selectExpr("k", "size", "text_crc32", "shard", "grown_shard", "explode(sequence(start, start + n - 1)) AS slot").select(
-        F.col("k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
-    )
+    columns = ["k", "size", "text_crc32", "shard", "grown_shard"]
+    few = numbered.where(F.col("n") <= COPIES).selectExpr(*columns, "explode(sequence(start, start + n - 1)) AS slot")
+    parts = numbered.where(F.col("n") > COPIES).selectExpr(*columns, "start", "n", f"explode(sequence(0, (n - 1) div {COPIES})) AS part")
+    many = parts.repartition("part").selectExpr(*columns, f"explode(sequence(start + part * {COPIES}, least(start + n, start + (part + 1) * {COPIES}) - 1)) AS slot")
+    return few.unionAll(many).select(F.col("k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

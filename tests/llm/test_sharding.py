@@ -46,3 +46,9 @@ def test_no_python_in_the_plan(odd):
     plan = sharding.assign(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
     assert "Arrow" not in plan
+
+
+def test_many_copies_of_a_row_are_expanded_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    docs = [(None, None)] * 100 + [(5, "x")] * 7 + [(5, "y")] * 8 + [(k, "z") for k in range(30)]
+    check(sharding.assign(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shards=2).collect(), docs, 2)
