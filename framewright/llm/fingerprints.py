@@ -21,6 +21,8 @@ from framewright.llm.common import WordHash, arrow_map, batch, materialise, minh
 
 PERMUTATIONS = 128
 CHANCE = 1 / 256
+#: Letters of a text by which rows of equal ids are dealt to ranges.
+BEGINNING = 32
 #: A row, or (pid not null) what a partition's ends need of each other.
 ROW = pa.schema([
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
@@ -63,8 +65,8 @@ def spliced(text: str, following: str) -> str:
 def compare_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint beside those of its spliced text and of the next document, by descending id.
 
-    Texts are dealt by ranges of the id once and compared within partitions; only the last document of a partition meets
-    the first of the next one afterwards. Equal ids are ordered by text, null ids come last; the last row's next is the
+    Texts are dealt once by ranges of the id (of equal ids, by the text's first BEGINNING letters) and compared within
+    partitions; only the last document of a partition meets the first of the next one afterwards. Equal ids are ordered by text, null ids come last; the last row's next is the
     first, and a single row's next is itself. Null texts count as empty, other columns are not read.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -84,7 +86,7 @@ def compare_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         if before:
             yield batch(ROW, [before[0]], *[[None]] * 6, [pid], [first[1]], [before[1]])
 
-    dealt = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(order[0], F.substring("text", 1, BEGINNING).asc()).sortWithinPartitions(*order)
     done = materialise(arrow_map(dealt, run, ROW_SCHEMA), "fingerprints")
     ends = done.where("pid IS NOT NULL")
     ranks = ends.selectExpr("pid", "row_number() OVER (ORDER BY pid) AS place", "count(*) OVER () AS places")  # a number for each partition
