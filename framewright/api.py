@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from framewright.plans.frame import Frame, Series, assert_frame_equal, assert_series_equal, concat, isna, isnull, merge, notna, notnull, to_numeric  # noqa: F401
+from framewright.plans.frame import PLACE, Frame, Series, assert_frame_equal, assert_series_equal, concat, isna, isnull, merge, notna, notnull, to_numeric  # noqa: F401
 from framewright.session import session
 from framewright.sources import csv, literals
 
@@ -20,8 +20,9 @@ def _spark() -> SparkSession:
 
 
 def DataFrame(data, columns: list[str] | None = None, order=None) -> Frame:  # noqa: N802
-    """A Frame of Python values; `order` names the columns that order its rows, for positional methods."""
-    return Frame(literals.frame(_spark(), data, columns), order)
+    """A Frame of Python values, in their order, or in that of the columns that `order` names."""
+    df = literals.frame(_spark(), data, columns, None if order is not None else PLACE)
+    return Frame(df, order if order is not None else PLACE)
 
 
 def from_dict(data: dict, order=None) -> Frame:
@@ -29,9 +30,9 @@ def from_dict(data: dict, order=None) -> Frame:
 
 
 def series(values, name: str = "0") -> Series:
-    """A Series of Python values, ordered by their place (column `place`)."""
+    """A Series of Python values, in their order."""
     values = list(values) if not isinstance(values, (str, int, float, bool)) else [values]
-    return DataFrame({"place": list(range(len(values))), name: values}, order="place")[name]
+    return DataFrame({name: values})[name]
 
 
 def read_csv(path: str, order=None, **options) -> Frame:

@@ -131,7 +131,8 @@ def float_text(c: Column) -> Column:
     plain = F.regexp_replace(c.cast("decimal(38,15)").cast("string"), r"\.?0+$", "")
     whole = F.when(c == 0, F.lit("0")).otherwise(c.cast("decimal(38,0)").cast("string"))
     shortest = F.when(c.cast("string").contains("E"), plain).otherwise(c.cast("string"))
-    return F.when(F.isnan(c), F.lit("NaN")).when(F.abs(c) == INF, F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf"))).when(c == F.floor(c), whole).otherwise(shortest)
+    special = F.when(F.isnan(c), F.lit("NaN")).when(F.abs(c) == INF, F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+    return special.when(F.abs(c) >= 1e18, F.format_string("%.0f", c)).when(c == F.floor(c), whole).otherwise(shortest)
 
 
 def cast(c: Column, of: str, to: str | type) -> Column:

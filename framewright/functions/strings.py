@@ -126,20 +126,20 @@ def capitalize(c: Column) -> Column:
 
 
 def isnumeric(c: Column) -> Column:
-    return _false(c.rlike("^\\p{N}+$"))
+    return _false(c.rlike("\\A\\p{N}+\\z"))
 
 
 def isalpha(c: Column) -> Column:
-    return _false(c.rlike("^\\p{L}+$"))
+    return _false(c.rlike("\\A\\p{L}+\\z"))
 
 
 def isdigit(c: Column) -> Column:
     """Decimal digits and superscripts."""
-    return _false(c.rlike("^[\\p{Nd}\\u00B2\\u00B3\\u00B9\\u2070\\u2074-\\u2079\\u2080-\\u2089]+$"))
+    return _false(c.rlike("\\A[\\p{Nd}\\u00B2\\u00B3\\u00B9\\u2070\\u2074-\\u2079\\u2080-\\u2089]+\\z"))
 
 
 def isalnum(c: Column) -> Column:
-    return _false(c.rlike("^[\\p{L}\\p{N}]+$"))
+    return _false(c.rlike("\\A[\\p{L}\\p{N}]+\\z"))
 
 
 def isupper(c: Column) -> Column:

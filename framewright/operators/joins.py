@@ -38,18 +38,20 @@ def merge(left: DataFrame, right: DataFrame, on=None, how: str = "inner", left_o
     return joined.withColumn("_merge", side).drop("\0l", "\0r")
 
 
-def side_by_side(frames: list[DataFrame], orders: list[list[str]]) -> DataFrame:
-    """Rows of equal place beside each other, each frame ordered by its own keys; names that repeat get _0, _1, ...
+def side_by_side(frames: list[DataFrame], orders: list[list[str]], hidden: str = "\0") -> DataFrame:
+    """Rows of equal place beside each other, each frame ordered by its own keys; names that repeat get _0, _1, ... Columns
+    whose names begin with `hidden` only order.
 
     Frames of unequal length raise (at run time). Places need a total order, so this is a single-partition window over
     each frame: meant for results, not for tables at scale, where a join on a key serves.
     """
-    names = [c for f in frames for c in f.columns]
+    shown = [[c for c in f.columns if not c.startswith(hidden)] for f in frames]
+    names = [c for own in shown for c in own]
     seen: dict[str, int] = {}
     placed = []
-    for f, order in zip(frames, orders, strict=True):
+    for f, order, own in zip(frames, orders, shown, strict=True):
         cols = []
-        for c in f.columns:
+        for c in own:
             k = seen[c] = seen.get(c, -1) + 1
             cols.append(column(c).alias(f"{c}_{k}" if names.count(c) > 1 else c))
         placed.append(f.select(F.row_number().over(Window.orderBy(*map(column, order))).alias("\0row"), *cols).withColumn(f"\0in{len(placed)}", F.lit(True)))

@@ -54,19 +54,19 @@ def smallest(df: DataFrame, n: int, by: str, order: list[str]) -> DataFrame:
 
 
 def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """The first n rows by `order`; a negative n leaves the last -n out."""
+    """The first n rows by `order`; a negative n leaves the last -n out, by numbering all rows in one partition."""
     if n >= 0:
         return df.orderBy(*[column(c).asc() for c in order]).limit(n)
-    last = df.orderBy(*[column(c).desc() for c in order]).limit(-n).select(*map(column, order))
-    return df.join(last, order, "left_anti")
+    place = F.row_number().over(Window.orderBy(*[column(c).desc() for c in order]))
+    return df.withColumn("\0from", place).where(F.col("`\0from`") > -n).drop("\0from")
 
 
 def tail(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """The last n rows by `order`; a negative n leaves the first -n out."""
+    """The last n rows by `order`; a negative n leaves the first -n out, by numbering all rows in one partition."""
     if n >= 0:
         return df.orderBy(*[column(c).desc() for c in order]).limit(n)
-    first = df.orderBy(*[column(c).asc() for c in order]).limit(-n).select(*map(column, order))
-    return df.join(first, order, "left_anti")
+    place = F.row_number().over(Window.orderBy(*[column(c).asc() for c in order]))
+    return df.withColumn("\0from", place).where(F.col("`\0from`") > -n).drop("\0from")
 
 
 def sample(df: DataFrame, n: int | None = None, frac: float | None = None, seed: int | None = None) -> DataFrame:
@@ -77,15 +77,19 @@ def sample(df: DataFrame, n: int | None = None, frac: float | None = None, seed:
 
 def duplicated(df: DataFrame, subset: list[str] | None = None, keep: str | bool = "first", order: list[str] | None = None, name: str = "duplicated") -> DataFrame:
     """A column that is true for rows that repeat another's subset; nulls are equal."""
+    return df.withColumn(name, repeats(df, subset, keep, order))
+
+
+def repeats(df: DataFrame, subset: list[str] | None = None, keep: str | bool = "first", order: list[str] | None = None) -> Column:
     keys = as_list(subset) or df.columns
     require(df, keys)
     w = Window.partitionBy(*map(column, keys))
     if keep is False:
-        return df.withColumn(name, F.count(F.lit(1)).over(w) > 1)
+        return F.count(F.lit(1)).over(w) > 1
     if keep not in ("first", "last"):
         raise ValueError(f"keep: {keep!r}")
     by = [column(c).asc() if keep == "first" else column(c).desc() for c in order or df.columns]
-    return df.withColumn(name, F.row_number().over(w.orderBy(*by)) > 1)
+    return F.row_number().over(w.orderBy(*by)) > 1
 
 
 def drop_duplicates(df: DataFrame, subset: list[str] | None = None, keep: str | bool = "first", order: list[str] | None = None) -> DataFrame:
@@ -128,14 +132,12 @@ def monotonic(df: DataFrame, name: str, order: list[str], increasing: bool = Tru
     return df.select(fine.alias("ok")).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("monotonic"))
 
 
-def differences(a: DataFrame, b: DataFrame, order: list[str]) -> DataFrame:
-    """The number of rows, joined on `order`, in which two frames differ; null equals null, NaN equals NaN. 0: equal."""
+def differences(a: DataFrame, b: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The number of rows that one frame has more often than the other; null equals null, NaN equals NaN. 0: equal.
+
+    Whole rows are counted, so an order that rows repeat, or that is null, does no harm; `order` is part of them.
+    """
     if a.columns != b.columns:
         return a.sparkSession.createDataFrame([(1,)], "differences long")
-    rest = [c for c in a.columns if c not in order]
-    x = a.select(*map(column, order), F.struct(*map(column, rest)).alias("\0a") if rest else F.lit(1).alias("\0a"))
-    y = b.select(*map(column, order), F.struct(*map(column, rest)).alias("\0b") if rest else F.lit(1).alias("\0b"))
-    joined = x.join(y, order, "full")
-    return joined.where(~F.col("`\0a`").eqNullSafe(F.col("`\0b`"))).agg(F.count(F.lit(1)).alias("differences"))
-
-
+    counts = a.withColumn("\0sign", F.lit(1)).unionAll(b.withColumn("\0sign", F.lit(-1))).groupBy(*map(column, a.columns)).agg(F.sum(F.col("`\0sign`")).alias("\0d"))
+    return counts.agg(F.coalesce(F.sum(F.abs(F.col("`\0d`"))), F.lit(0)).cast("long").alias("differences"))

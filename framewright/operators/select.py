@@ -101,8 +101,15 @@ def placed(df: DataFrame, order: list[str], name: str = "\0at") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*map(column, order))) - 1)
 
 
-def at_places(df: DataFrame, order: list[str], places: int | slice | list[int]) -> DataFrame:
-    """Rows by place: one, a slice (with step and negative bounds), or a list; IndexError where a single place can't be."""
+def at_places(df: DataFrame, order: list[str], places: int | slice | list[int], name: str | None = None) -> DataFrame:
+    """Rows by place: one, a slice (with step and negative bounds), or a list, in the order of the places, which `name` numbers if given."""
+    if name is not None:
+        out = _at_places(df, order, places)
+        return out.withColumn(name, F.col("`\0order`")).drop("\0order")
+    return _at_places(df, order, places).drop("\0order")
+
+
+def _at_places(df: DataFrame, order: list[str], places: int | slice | list[int]) -> DataFrame:
     if isinstance(places, slice) and places.step in (None, 1) and places.start in (None, 0) and (places.stop or 0) > 0:
         return df.orderBy(*map(column, order)).limit(places.stop)  # no numbering needed
     at = F.col("`\0at`")
@@ -118,15 +125,15 @@ def at_places(df: DataFrame, order: list[str], places: int | slice | list[int])
             start = n - 1 if places.start is None else F.least(n - 1, F.lit(places.start) if places.start >= 0 else n + places.start)
             stop = F.lit(-1) if places.stop is None else (F.lit(places.stop) if places.stop >= 0 else n + places.stop)
             hit = (at <= start) & (at > stop) & ((start - at) % -step == 0)
-        return numbered.where(hit).orderBy(at.asc() if step > 0 else at.desc()).drop("\0at", "\0n")
+        return numbered.where(hit).orderBy(at.asc() if step > 0 else at.desc()).withColumn("\0order", at if step > 0 else -at).drop("\0at", "\0n")
     wanted = F.array(*[F.lit(p) if p >= 0 else n + p for p in ([places] if isinstance(places, int) else places)]).cast("array<long>")
-    return numbered.withColumn("\0w", F.explode(F.filter(F.transform(wanted, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"] == at))).orderBy("`\0w`.i").drop("\0at", "\0n", "\0w")
+    return numbered.withColumn("\0w", F.explode(F.filter(F.transform(wanted, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"] == at))).orderBy("`\0w`.i").withColumn("\0order", F.col("`\0w`.i")).drop("\0at", "\0n", "\0w")
 
 
 def set_at(df: DataFrame, order: list[str], place: int, values: dict) -> DataFrame:
-    """Cells of one row replaced, by place."""
+    """Cells of one row replaced, by place (a negative one from the end)."""
     require(df, values)
-    out = placed(df, order)
+    out = placed(df, order) if place >= 0 else df.withColumn("\0at", -F.row_number().over(Window.orderBy(*[column(c).desc() for c in order])))
     for c, v in values.items():
         out = out.withColumn(c, F.when(F.col("`\0at`") == place, F.lit(v)).otherwise(column(c)))
     return out.drop("\0at")

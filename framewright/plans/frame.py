@@ -1,23 +1,38 @@
 """Frame and Series: chained methods over lazy Spark plans.
 
-A Frame holds a DataFrame and the keys that order its rows, which every positional method needs. A Series is a named Column
-of a Frame: arithmetic, comparisons and functions build expressions, and nothing runs until a scalar or rows are asked for.
-Frames don't change: methods that set something return a new Frame.
+A Frame holds a DataFrame and the keys that order its rows, which every positional method needs; frames of values have a
+hidden one. A Series is a named Column of a Frame as it was when the Series was taken: arithmetic, comparisons and functions
+build expressions, and nothing runs until a scalar or rows are asked for. Methods return new Frames; only `frame[...] =` and the
+setters of loc and iloc change the Frame itself.
+
+What needs a column of its own (a window's result, values of another frame) is put beside a Frame's rows in an extension: a
+Frame with a hidden column and its parent. Series of one frame and of its extensions go together without a join.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import scalar, strings
 from framewright.operators import aggregate, grouping, joins, ordering, query_expr, reshape, select, udf, windows
-from framewright.sources import csv
+from framewright.sources import csv, literals
 from framewright.types import FLOAT, INT, as_list, column, kind_of, kinds, numeric, require, require_numeric
 
 
+#: Hidden columns begin with this.
+HIDDEN = "\0"
+PLACE = "\0place"
+_numbers = itertools.count()
+
+
+def _hidden_name() -> str:
+    return f"{HIDDEN}{next(_numbers)}"
+
+
 class Series:
     def __init__(self, frame: Frame, expr: Column, name: str = "0", condition: Column | None = None) -> None:
         self.frame, self.expr, self.name, self._condition = frame, expr, name, condition
@@ -32,7 +47,7 @@ class Series:
     # -- shape and values
     @property
     def df(self) -> DataFrame:
-        return self.frame.df.select(self.expr.alias(self.name))
+        return self.frame._all.select(self.expr.alias(self.name))
 
     @property
     def kind(self) -> str:
@@ -45,19 +60,30 @@ class Series:
 
     def _frame(self) -> Frame:
         """This series beside the order keys, to hand to operators that name columns."""
-        keys = [column(k) for k in self.frame.order if k != self.name]
-        return Frame(self.frame.df.select(self.expr.alias(self.name), *keys), self.frame.order)
+        order = self.frame.order
+        at = {k: _hidden_name() if k == self.name else k for k in order}
+        return Frame(self.frame._all.select(self.expr.alias(self.name), *[column(k).alias(at[k]) for k in order]), [at[k] for k in order])
+
+    def _beside(self, x: Series, f: Callable[[Column, Column], Column]) -> Series:
+        """f of this series' and x's values, row by row; x may belong to another frame of as many rows."""
+        frame, other = self.frame._align(x)
+        return Series(frame, f(self.expr, other), self.name)
 
     def to_frame(self, name: str | None = None) -> Frame:
-        return Frame(self.frame.df.select(self.expr.alias(name or self.name)))
+        return self._frame() if name is None else self.rename(name)._frame()
+
+    def reset_index(self, drop: bool = False) -> Series | Frame:
+        """A frame with the places as column `index`, or (drop) the series as it is."""
+        if drop:
+            return self
+        f = self._frame()
+        return f._new(select.placed(f._all, f._need_order(), "index").select("index", column(self.name), *map(column, f._hidden)))
 
     def rename(self, name: str) -> Series:
         return self._with(self.expr, name)
 
     def tolist(self) -> list:
-        df = self.frame.df
-        rows = (df.orderBy(*map(column, self.frame.order)) if self.frame.order else df).select(self.expr.alias("v")).collect()
-        return [r[0] for r in rows]
+        return [r[0] for r in self.frame._in_order().select(self.expr.alias("v")).collect()]
 
     to_list = tolist
 
@@ -79,7 +105,7 @@ class Series:
         return iter(self.tolist())
 
     def __len__(self) -> int:
-        return self.frame.df.count()
+        return self.frame._all.count()
 
     def item(self):
         values = self.df.take(2)
@@ -88,18 +114,27 @@ class Series:
         return values[0][0]
 
     def __getitem__(self, i):
-        if isinstance(i, Series):
-            return Series(self.frame[i], self.expr, self.name)
-        return self.iloc(i)
+        if isinstance(i, (Series, list)) and (isinstance(i, Series) or all(isinstance(x, bool) for x in i)):
+            frame = self.frame._extend(self.expr)
+            return Series(frame[i], column(frame._step[0]), self.name)
+        return self.iloc[i]
 
-    def iloc(self, places):
+    @property
+    def iloc(self) -> Places:
+        return Places(self._at)
+
+    @property
+    def loc(self) -> Places:
+        return Places(lambda x: self[x] if isinstance(x, Series) else self._at(_inclusive(x)))
+
+    def _at(self, places):
+        f = self._frame()
         if isinstance(places, int):
-            rows = self._frame()._at(places).collect()
+            rows = f._at(places).collect()
             if not rows:
                 raise IndexError(places)
             return rows[0][self.name]
-        f = Frame(self._frame()._at(places), self.frame.order)
-        return f[self.name]
+        return f._placed_at(places)[self.name]
 
     def head(self, n: int = 5) -> Series:
         return self._frame().head(n)[self.name]
@@ -109,12 +144,10 @@ class Series:
 
     def drop(self, places: int | list[int]) -> Series:
         f = self._frame()
-        return Frame(select.drop_places(f.df, f.order, [places] if isinstance(places, int) else places), f.order)[self.name]
+        return f._new(select.drop_places(f._all, f._need_order(), [places] if isinstance(places, int) else places))[self.name]
 
     # -- arithmetic, comparison, logic
     def _other(self, x) -> tuple[Column, str, bool]:
-        if isinstance(x, Series):
-            return x.expr, x.kind, False
         of = {bool: "bool", int: INT, float: FLOAT, str: "object"}.get(type(x))
         if of is None:
             raise TypeError(f"operand {x!r}")
@@ -122,6 +155,8 @@ class Series:
         return (F.lit(int(x)), INT, True) if whole else (F.lit(x), of, True)
 
     def _arith(self, op: str, x) -> Series:
+        if isinstance(x, Series):
+            return self._beside(x, lambda a, b: scalar.arithmetic(op, a, b, self.kind, x.kind, False))
         b, k, is_scalar = self._other(x)
         return self._with(scalar.arithmetic(op, self.expr, b, self.kind, k, is_scalar))
 
@@ -149,6 +184,8 @@ class Series:
         return self._with(-self.expr)
 
     def _compare(self, op: str, x) -> Series:
+        if isinstance(x, Series):
+            return self._beside(x, lambda a, b: scalar.compare(op, a, b, self.kind, x.kind))
         b, k, _ = self._other(x)
         return self._with(scalar.compare(op, self.expr, b, self.kind, k))
 
@@ -174,10 +211,14 @@ class Series:
     eq, ne, lt, le, gt, ge = __eq__, __ne__, __lt__, __le__, __gt__, __ge__
 
     def __and__(self, x: Series) -> Series:
-        return Series(self.frame, scalar.truthy(self.expr, self.kind) & scalar.truthy(x.expr, x.kind), self.name, self.condition & x.condition)
+        frame, other = self.frame._align(x)
+        also = x.condition if other is x.expr else other if x.kind == "bool" else scalar.truthy(other, x.kind)
+        return Series(frame, scalar.truthy(self.expr, self.kind) & scalar.truthy(other, x.kind), self.name, self.condition & also)
 
     def __or__(self, x: Series) -> Series:
-        return Series(self.frame, scalar.truthy(self.expr, self.kind) | scalar.truthy(x.expr, x.kind), self.name, self.condition | x.condition)
+        frame, other = self.frame._align(x)
+        also = x.condition if other is x.expr else other if x.kind == "bool" else scalar.truthy(other, x.kind)
+        return Series(frame, scalar.truthy(self.expr, self.kind) | scalar.truthy(other, x.kind), self.name, self.condition | also)
 
     def __invert__(self) -> Series:
         return self._with(~scalar.truthy(self.expr, self.kind))
@@ -205,7 +246,7 @@ class Series:
         return self._with(scalar.fill(self.expr, self.kind, value))
 
     def dropna(self) -> Series:
-        return Series(Frame(self.frame.df.where(self.expr.isNotNull()), self.frame.order), self.expr, self.name)
+        return Series(self.frame._new(self.frame._all.where(self.expr.isNotNull())), self.expr, self.name)
 
     def astype(self, to) -> Series:
         return self._with(scalar.cast(self.expr, self.kind, to))
@@ -216,11 +257,17 @@ class Series:
     def between(self, left, right, inclusive: str = "both") -> Series:
         return self._with(scalar.between(self.expr, left, right, inclusive))
 
-    def where(self, cond: Series, other=None) -> Series:
-        return self._with(scalar.where(self.expr, cond.expr, other.expr if isinstance(other, Series) else other))
+    def where(self, cond: Series | list, other=None) -> Series:
+        frame, test = self.frame._align(self.frame._condition(cond))
+        if isinstance(other, Series):
+            frame, other = frame._align(other)
+        return Series(frame, scalar.where(self.expr, test, other), self.name)
 
-    def mask(self, cond: Series, other=None) -> Series:
-        return self._with(scalar.mask(self.expr, cond.expr, other.expr if isinstance(other, Series) else other))
+    def mask(self, cond: Series | list, other=None) -> Series:
+        frame, test = self.frame._align(self.frame._condition(cond))
+        if isinstance(other, Series):
+            frame, other = frame._align(other)
+        return Series(frame, scalar.mask(self.expr, test, other), self.name)
 
     def replace(self, old, new=None) -> Series:
         out = self.expr
@@ -240,7 +287,7 @@ class Series:
 
     # -- aggregates
     def _scalar(self, expr: Column):
-        return self.frame.df.agg(expr).first()[0]
+        return self.frame._all.agg(expr).first()[0]
 
     def _agg(self, func: str, **options):
         return self._scalar(aggregate.expression(func, self.expr, self.kind, **options))
@@ -290,12 +337,14 @@ class Series:
         return self._scalar(F.coalesce(F.bool_and(scalar.truthy(self.expr, self.kind) | self.expr.isNull()), F.lit(True)))
 
     def cov(self, other: Series):
-        return self._scalar(F.covar_samp(self.expr.cast("double"), other.expr.cast("double")))
+        frame, b = self.frame._align(other)
+        return Series(frame, self.expr)._scalar(F.covar_samp(self.expr.cast("double"), b.cast("double")))
 
     def corr(self, other: Series):
-        both = self.expr.isNotNull() & other.expr.isNotNull()
-        a, b = self.expr.cast("double"), other.expr.cast("double")
-        return self._scalar(F.try_divide(F.covar_samp(a, b), F.stddev_samp(F.when(both, a)) * F.stddev_samp(F.when(both, b))))
+        frame, b = self.frame._align(other)
+        both = self.expr.isNotNull() & b.isNotNull()
+        a, b = self.expr.cast("double"), b.cast("double")
+        return Series(frame, self.expr)._scalar(F.try_divide(F.covar_samp(a, b), F.stddev_samp(F.when(both, a)) * F.stddev_samp(F.when(both, b))))
 
     def mode(self) -> list:
         return [r[0] for r in aggregate.mode(self.df, self.name).collect()]
@@ -316,7 +365,7 @@ class Series:
 
     def _place(self, which: str) -> int:
         f = self._frame()
-        row = aggregate.extreme_place(f.df, self.name, [column(k) for k in f.order], which).first()
+        row = aggregate.extreme_place(f._all, self.name, [column(k) for k in f.order], which).first()
         if row is None:
             raise IndexError("no values")
         return row["idx"]
@@ -330,67 +379,70 @@ class Series:
 
     @property
     def is_monotonic_increasing(self) -> bool:
-        return ordering.monotonic(self._frame().df, self.name, self.frame.order).first()[0]
+        return self._monotonic(True).first()[0]
 
     @property
     def is_monotonic_decreasing(self) -> bool:
-        return ordering.monotonic(self._frame().df, self.name, self.frame.order, False).first()[0]
+        return self._monotonic(False).first()[0]
+
+    def _monotonic(self, increasing: bool) -> DataFrame:
+        f = self._frame()
+        return ordering.monotonic(f._all, self.name, f.order, increasing)
 
     def equals(self, other: Series) -> bool:
         return self._frame().equals(other.rename(self.name)._frame())
 
     # -- order and windows
     def sort_values(self, ascending: bool = True) -> Series:
-        f = self._frame()
-        return Series(Frame(ordering.sort(f.df, self.name, ascending, f.order)), column(self.name), self.name)
+        return self._frame().sort_values(self.name, ascending)[self.name]
 
     def nlargest(self, n: int = 5) -> Series:
-        return Series(self._frame().nlargest(n, self.name), column(self.name), self.name)
+        return self._frame().nlargest(n, self.name)[self.name]
 
     def nsmallest(self, n: int = 5) -> Series:
-        return Series(self._frame().nsmallest(n, self.name), column(self.name), self.name)
+        return self._frame().nsmallest(n, self.name)[self.name]
 
     def duplicated(self, keep="first") -> Series:
-        f = self._frame()
-        return Frame(ordering.duplicated(f.df, [self.name], keep, f.order), f.order)["duplicated"]
+        frame = self.frame._extend(self.expr)
+        return frame._flagged([frame._step[0]], keep).rename(self.name)
 
     def drop_duplicates(self, keep="first") -> Series:
-        f = self._frame()
-        return Frame(ordering.drop_duplicates(f.df, [self.name], keep, f.order), f.order)[self.name]
+        return self[~self.duplicated(keep)]
 
     def _window(self, make: Callable[[DataFrame, str], Column]) -> Series:
-        f = self._frame()
-        return Frame(f.df.withColumn("\0w", make(f.df, self.name)), f.order)["\0w"].rename(self.name)
+        """A window's result, in a column beside the frame's rows."""
+        frame = self.frame._extend(self.expr)
+        return frame._extend(make(frame._all, frame._step[0]))._last(self.name)
 
     def cumsum(self, partition_by=None) -> Series:
-        return self._window(lambda d, c: windows.cumulative(d, "sum", c, self.frame.order, partition_by))
+        return self._window(lambda d, c: windows.cumulative(d, "sum", c, self.frame._need_order(), partition_by))
 
     def cumprod(self, partition_by=None) -> Series:
-        return self._window(lambda d, c: windows.cumulative(d, "prod", c, self.frame.order, partition_by))
+        return self._window(lambda d, c: windows.cumulative(d, "prod", c, self.frame._need_order(), partition_by))
 
     def cummax(self, partition_by=None) -> Series:
-        return self._window(lambda d, c: windows.cumulative(d, "max", c, self.frame.order, partition_by))
+        return self._window(lambda d, c: windows.cumulative(d, "max", c, self.frame._need_order(), partition_by))
 
     def cummin(self, partition_by=None) -> Series:
-        return self._window(lambda d, c: windows.cumulative(d, "min", c, self.frame.order, partition_by))
+        return self._window(lambda d, c: windows.cumulative(d, "min", c, self.frame._need_order(), partition_by))
 
     def shift(self, periods: int = 1, fill_value=None) -> Series:
-        return self._window(lambda d, c: windows.shift(c, self.frame.order, periods, fill_value))
+        return self._window(lambda d, c: windows.shift(c, self.frame._need_order(), periods, fill_value))
 
     def diff(self, periods: int = 1) -> Series:
-        return self._window(lambda d, c: windows.diff(d, c, self.frame.order, periods))
+        return self._window(lambda d, c: windows.diff(d, c, self.frame._need_order(), periods))
 
     def pct_change(self, periods: int = 1) -> Series:
-        return self._window(lambda d, c: windows.pct_change(c, self.frame.order, periods))
+        return self._window(lambda d, c: windows.pct_change(c, self.frame._need_order(), periods))
 
     def rank(self, method: str = "average", ascending: bool = True) -> Series:
-        return self._window(lambda d, c: windows.rank(d, c, method, ascending, self.frame.order))
+        return self._window(lambda d, c: windows.rank(d, c, method, ascending, self.frame._need_order()))
 
     def rolling(self, window: int) -> Rolling:
-        return Rolling(self._frame(), window, self.name)
+        return Rolling(self.frame, window, self)
 
     def expanding(self) -> Rolling:
-        return Rolling(self._frame(), None, self.name)
+        return Rolling(self.frame, None, self)
 
     def explode(self) -> Series:
         return Frame(reshape.explode(self.df, self.name))[self.name]
@@ -409,20 +461,43 @@ class Texts:
 
     def cat(self, sep: str = "") -> str:
         s = self.series
-        return s.frame.df.agg(strings.cat(s.expr, sep, [column(k) for k in s.frame.order])).first()[0]
+        return s.frame._all.agg(strings.cat(s.expr, sep, [column(k) for k in s.frame.order])).first()[0]
+
+
+class Places:
+    """`loc` and `iloc`: rows by [], or by a call; `put` sets cells."""
+
+    def __init__(self, get: Callable, put: Callable | None = None) -> None:
+        self._get, self._put = get, put
+
+    def __getitem__(self, key):
+        return self._get(key)
+
+    def __call__(self, rows, columns=None):
+        return self._get(rows if columns is None else (rows, columns))
+
+    def __setitem__(self, key, value) -> None:
+        if self._put is None:
+            raise TypeError("cells of a Series can't be set")
+        self._put(key, value)
+
+
+def _inclusive(rows):
+    """loc's slices include their end."""
+    return slice(rows.start, None if rows.stop is None else rows.stop + 1, rows.step) if isinstance(rows, slice) else rows
 
 
 class Rolling:
-    """Statistics over the last rows, or (window None) over all rows so far."""
+    """Statistics over the last rows, or (window None) over all rows so far, of a Series or of all numeric columns."""
 
-    def __init__(self, frame: Frame, window: int | None, name: str | None = None) -> None:
-        self.frame, self.window, self.name = frame, window, name
+    def __init__(self, frame: Frame, window: int | None, series: Series | None = None) -> None:
+        self.frame, self.window, self.series = frame, window, series
 
     def _stat(self, func: str):
-        f, used = self.frame, [self.name] if self.name else [c for c in numeric(self.frame.df) if c not in self.frame.order]
-        one = lambda c: windows.rolling(f.df, func, c, self.window, f.order) if self.window else windows.expanding(f.df, func, c, f.order)
-        out = Frame(f.df.select(*[column(k) for k in f.order if k not in used], *[one(c).alias(c) for c in used]) if not set(used) & set(f.order) else f.df.select(*[column(k).alias(f"\0{k}") for k in f.order], *[one(c).alias(c) for c in used]), [k if k not in used else f"\0{k}" for k in f.order] if not set(used) & set(f.order) else [f"\0{k}" for k in f.order])
-        return out[self.name] if self.name else out
+        make = lambda order: lambda d, c: windows.rolling(d, func, c, self.window, order) if self.window else windows.expanding(d, func, c, order)
+        if self.series is not None:
+            return self.series._window(make(self.frame._need_order()))
+        return self.frame._windows(make(self.frame._need_order()))
 
     def mean(self):
         return self._stat("mean")
@@ -455,10 +530,13 @@ class Grouped:
     def __len__(self) -> int:
         return grouping.count_groups(self.frame.df, self.by).first()[0]
 
+    def _order(self, *funcs: str) -> list[Column]:
+        """The order's keys, where a function depends on them."""
+        return [column(k) for k in self.frame.order] if {"first", "last"} & set(funcs) else []
+
     def _agg(self, func: str) -> Frame:
-        order = [column(k) for k in self.frame.order]
-        options = {"order": order} if func in ("first", "last") else {}
-        return Frame(grouping.aggregate(self.frame.df, self.by, func, self.picked, **options), self.by)
+        options = {"order": self._order(func)} if func in ("first", "last") else {}
+        return Frame(grouping.aggregate(self.frame._all, self.by, func, self.picked, **options).drop(*self.frame._hidden), self.by)
 
     def __getattr__(self, func: str):
         if func not in ("sum", "mean", "std", "var", "median", "min", "max", "count", "first", "last", "prod", "nunique"):
@@ -471,63 +549,170 @@ class Grouped:
     def agg(self, spec: str | dict) -> Frame:
         if isinstance(spec, str):
             return self._agg(spec)
-        return Frame(grouping.several(self.frame.df, self.by, spec, [column(k) for k in self.frame.order]), self.by)
+        return Frame(grouping.several(self.frame._all, self.by, spec, self._order(*[f for x in spec.values() for f in as_list(x)])), self.by)
 
     aggregate = agg
 
     def transform(self, func: str) -> Frame:
-        return Frame(grouping.transform(self.frame.df, self.by, func, self.picked, [column(k) for k in self.frame.order]), self.frame.order)
+        return Frame(grouping.transform(self.frame._all, self.by, func, self.picked or [c for c in self.frame.columns if c not in self.by], self._order(func)), self.frame.order)
 
     def filter(self, test: Column | Callable) -> Frame:
         f = grouping.keep_groups if isinstance(test, Column) else grouping.filter_python
-        return Frame(f(self.frame.df, self.by, test), self.frame.order)
+        return Frame(f(self.frame._all, self.by, test), self.frame.order)
 
     def apply(self, func: Callable, schema: str) -> Frame:
         return Frame(grouping.apply_python(self.frame.df, self.by, func, schema))
 
 
 class Frame:
-    def __init__(self, df: DataFrame, order: str | list[str] | None = None) -> None:
-        self.df, self.order = df, as_list(order)
-        require(df, self.order)
+    def __init__(self, df: DataFrame, order: str | list[str] | None = None, parent: Frame | None = None, step: tuple[str, Column] | None = None, sort: tuple[list[str], list[Column]] | None = None) -> None:
+        """parent, step: of an extension, the frame beside whose rows it has one more hidden column, and that column. sort: see `_sorted`."""
+        self._rows, self._order, self._parent, self._step, self._sort = df, as_list(order), parent, step, sort
+        require(df, self._order)
+
+    @property
+    def df(self) -> DataFrame:
+        """The rows, without hidden columns; sorted if that was the last thing done to them."""
+        out = self._in_order() if self._sort else self._rows
+        return out.select(*map(column, self.columns)) if len(self.columns) < len(out.columns) else out
+
+    @property
+    def _all(self) -> DataFrame:
+        """The rows with all columns, after a sort with one that numbers them."""
+        self.order  # noqa: B018
+        return self._rows
+
+    @property
+    def order(self) -> list[str]:
+        """The columns that order the rows. After a sort, the first use of it numbers them in one partition."""
+        if self._sort:
+            name = _hidden_name()
+            self._rows = self._rows.withColumn(name, F.row_number().over(Window.orderBy(*self._sort[1])))
+            self._order, self._sort = [name], None
+        return self._order
+
+    @property
+    def _hidden(self) -> list[str]:
+        """Hidden columns of the order."""
+        return [k for k in self._order if k.startswith(HIDDEN)]
 
     def _new(self, df: DataFrame) -> Frame:
-        return Frame(df, [k for k in self.order if k in df.columns])
+        if self._sort:
+            return Frame(df, [k for k in self._order if k in df.columns], sort=self._sort if set(self._sort[0]) <= set(df.columns) else None)
+        return Frame(df, [k for k in self._order if k in df.columns])
+
+    def _sorted(self, by: list[str], ascending) -> Frame:
+        """Sorted rows; they are numbered only when something needs their places."""
+        down = len(by) == 1 and (ascending is False or ascending == [False])
+        ties = self.order
+        keys = ordering.sort_keys(self._all, by, ascending) + [column(c).desc() if down else column(c).asc() for c in ties]
+        return Frame(self._rows, self._order, sort=([*by, *ties], keys))
 
     def _need_order(self) -> list[str]:
         if not self.order:
             raise ValueError("this needs an order: Frame(df, order=[...])")
         return self.order
 
+    def _in_order(self) -> DataFrame:
+        keys = self._sort[1] if self._sort else [*map(column, self._order)]
+        return self._rows.orderBy(*keys) if keys else self._rows
+
+    # -- rows of several frames
+    def _extend(self, expr: Column) -> Frame:
+        name = _hidden_name()
+        return Frame(self._all.withColumn(name, expr), self._order, self, (name, expr))
+
+    def _last(self, name: str) -> Series:
+        """An extension's own column."""
+        return Series(self, column(self._step[0]), name)
+
+    def _chain(self) -> list[Frame]:
+        out, f = [], self
+        while f is not None:
+            out.append(f)
+            f = f._parent
+        return out
+
+    def _align(self, x: Series | Column) -> tuple[Frame, Column]:
+        """This frame, or an extension of it, in which the column holds x's values.
+
+        Frames that are no extensions of each other are joined: by their order where it has the same names (of rows with equal
+        keys the n-th with the n-th), else by place. Rows without a partner raise.
+        """
+        if isinstance(x, Column):
+            return self, x
+        mine, theirs = self._chain(), x.frame._chain()
+        same = lambda f, fs: next((g for g in fs if g._all is f._all), None)
+        if same(x.frame, mine):
+            return self, x.expr
+        if same(self, theirs):
+            return x.frame, x.expr
+        at = next((i for i, f in enumerate(theirs) if same(f, mine)), None)
+        if at is not None and all(f._step for f in theirs[:at]):
+            frame = self
+            for f in theirs[:at][::-1]:
+                name, expr = f._step
+                if name not in frame._all.columns:
+                    frame = Frame(frame._all.withColumn(name, expr), frame._order, frame, f._step)
+            return frame, x.expr
+        name = _hidden_name()
+        return Frame(self._joined(x.frame._all.select(*map(column, x.frame._need_order()), x.expr.alias(name)), x.frame.order), self.order, self), column(name)
+
+    def _joined(self, other: DataFrame, order: list[str]) -> DataFrame:
+        """All columns of both, less the other's order."""
+        own = self._need_order()
+        if own == order:
+            numbered = lambda df, ks: df.withColumn("\0n", F.row_number().over(Window.partitionBy(*map(column, ks)).orderBy(*map(column, ks))))
+        else:
+            numbered = lambda df, ks: df.withColumn("\0n", F.row_number().over(Window.orderBy(*map(column, ks))))
+        keys = {k: _hidden_name() for k in ["\0n", *(own if own == order else [])]}
+        left = numbered(self._all, own).withColumn("\0l", F.lit(True))
+        right = numbered(other, order).withColumn("\0r", F.lit(True))
+        right = right.select(*[column(k).alias(v) for k, v in keys.items()], *[column(c) for c in right.columns if c not in keys and c not in order])
+        test = F.lit(True)
+        for k, v in keys.items():
+            test = test & column(k).eqNullSafe(column(v))
+        both = left.join(right, test, "full")
+        ok = column("\0l").isNotNull() & column("\0r").isNotNull()
+        return both.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("rows without a partner: the lengths or the orders differ")).cast("boolean"))).drop("\0n", "\0l", "\0r", *keys.values())
+
+    def _values(self, values: list) -> Series:
+        """A list's values, beside rows by place."""
+        data = literals.frame(self._all.sparkSession, {PLACE: list(range(len(values))), "v": list(values)})
+        return Frame(data, PLACE)["v"]
+
+    def _condition(self, cond: Series | list | Column) -> Series | Column:
+        return self._values(cond) if isinstance(cond, list) else cond
+
     # -- metadata
     @property
     def columns(self) -> list[str]:
-        return self.df.columns
+        return [c for c in self._rows.columns if not c.startswith(HIDDEN)]
 
     @property
     def dtypes(self) -> dict[str, str]:
-        return kinds(self.df)
+        return {c: k for c, k in kinds(self._rows).items() if not c.startswith(HIDDEN)}
 
     @property
     def shape(self) -> tuple[int, int]:
-        return self.df.count(), len(self.columns)
+        return self._rows.count(), len(self.columns)
 
     @property
     def size(self) -> int:
-        return self.df.count() * len(self.columns)
+        return self._all.count() * len(self.columns)
 
     ndim = 2
 
     @property
     def empty(self) -> bool:
-        return not self.columns or self.df.isEmpty()
+        return not self.columns or self._all.isEmpty()
 
     @property
     def axes(self) -> list:
-        return [range(self.df.count()), self.columns]
+        return [range(self._all.count()), self.columns]
 
     def __len__(self) -> int:
-        return self.df.count()
+        return self._all.count()
 
     def __contains__(self, name: str) -> bool:
         return name in self.columns
@@ -539,8 +724,8 @@ class Frame:
         return self.to_string(10)
 
     def to_string(self, n: int = 10) -> str:
-        rows = self.df.orderBy(*map(column, self.order)).limit(n).collect() if self.order else self.df.take(n)
-        return "\n".join(["  ".join(self.columns), *["  ".join("NaN" if v is None else str(v) for v in r) for r in rows], f"[{self.df.count()} rows x {len(self.columns)} columns]"])
+        rows = self._in_order().select(*map(column, self.columns)).limit(n).collect()
+        return "\n".join(["  ".join(self.columns), *["  ".join("NaN" if v is None else str(v) for v in r) for r in rows], f"[{self._all.count()} rows x {len(self.columns)} columns]"])
 
     def info(self) -> str:
         counts = self.df.agg(*[F.count(column(c)).alias(c) for c in self.columns]).first()
@@ -549,16 +734,27 @@ class Frame:
     # -- selection
     def __getitem__(self, x):
         if isinstance(x, str):
-            require(self.df, [x])
-            return Series(self, column(x), x)
+            require(self._all, [x])
+            return Series(self.copy(), column(x), x)
+        if isinstance(x, list) and x and all(isinstance(v, bool) for v in x):
+            x = self._values(x)
         if isinstance(x, Series):
-            return self._new(self.df.where(x.condition))
+            frame, test = self._align(x)
+            kept = frame._all.where(x.condition if test is x.expr else test)
+            return self._new(kept.select(*map(column, self._all.columns)) if frame is not self else kept)
         if isinstance(x, slice):
-            return self.iloc(x)
-        return self._new(select.columns(self.df, list(x)))
+            return self.iloc[x]
+        return self._new(select.columns(self._all, [*x, *self._hidden]))
+
+    def __setitem__(self, name: str, value) -> None:
+        """Adds or replaces a column of this Frame: a Series or list of as many rows, a Column, or one value for all."""
+        self._become(self.assign(**{name: value}))
+
+    def _become(self, other: Frame) -> None:
+        self._rows, self._order, self._parent, self._step, self._sort = other._rows, other._order, other._parent, other._step, other._sort
 
     def __getattr__(self, name: str):
-        if name.startswith("__") or name not in self.__dict__.get("df").columns:
+        if name.startswith("_") or name not in self.columns:
             raise AttributeError(name)
         return self[name]
 
@@ -566,21 +762,29 @@ class Frame:
         out = self
         for k, v in new.items():
             v = v(out) if callable(v) and not isinstance(v, (Series, Column)) else v
-            out = out._new(select.assign(out.df, **{k: v.expr if isinstance(v, Series) else v}))
+            frame, v = out._align(out._values(v) if isinstance(v, list) else v) if isinstance(v, (Series, list)) else (out, v)
+            kept = list(dict.fromkeys([*out._all.columns, k]))
+            out = out._new(select.assign(frame._all, **{k: v}).select(*map(column, kept)))
         return out
 
     def drop(self, columns=None, labels=None) -> Frame:
-        return self._new(select.drop(self.df, columns if columns is not None else labels))
+        return self._new(select.drop(self._all, columns if columns is not None else labels))
 
     def pop(self, name: str) -> tuple[Series, Frame]:
         return self[name], self.drop(name)
 
     def rename(self, columns) -> Frame:
-        order = [columns(k) if callable(columns) else columns.get(k, k) for k in self.order]
-        return Frame(select.rename(self.df, columns), order)
+        new = lambda c: c if c.startswith(HIDDEN) else columns(c) if callable(columns) else columns.get(c, c)
+        return Frame(select.rename(self._all, new), [new(k) for k in self.order])
 
     def set_axis(self, names: list[str]) -> Frame:
-        return Frame(select.set_names(self.df, names), [names[self.columns.index(k)] for k in self.order])
+        if len(names) != len(self.columns):
+            raise ValueError(f"{len(names)} names for {len(self.columns)} columns")
+        return self.rename(dict(zip(self.columns, names, strict=True)))
+
+    def _picked(self, visible: DataFrame) -> Frame:
+        """The columns that an operator left of the visible ones."""
+        return self._new(self._all.select(*map(column, [*visible.columns, *self._hidden])))
 
     def add_prefix(self, prefix: str) -> Frame:
         return self.rename(lambda c: prefix + c)
@@ -589,61 +793,94 @@ class Frame:
         return self.rename(lambda c: c + suffix)
 
     def filter(self, items=None, like=None, regex=None) -> Frame:
-        return self._new(select.filter_names(self.df, items, like, regex))
+        return self._picked(select.filter_names(self.df, items, like, regex))
 
     def select_dtypes(self, include=None, exclude=None) -> Frame:
-        return self._new(select.select_dtypes(self.df, include, exclude))
+        out = select.select_dtypes(self.df, include, exclude)
+        return self._picked(out) if out.columns != self.columns else self._new(select.select_dtypes(self._all, include, exclude)) if not self._hidden else Frame(out)
 
     def reindex(self, columns: list[str]) -> Frame:
-        return self._new(select.reindex(self.df, columns))
+        return self._new(select.reindex(self._all, [*columns, *self._hidden]))
 
     def query(self, text: str) -> Frame:
-        return self._new(query_expr.query(self.df, text))
+        return self._new(query_expr.query(self._all, text))
 
     def _at(self, places) -> DataFrame:
-        return select.at_places(self.df, self._need_order(), places)
+        return select.at_places(self._all, self._need_order(), places)
 
-    def iloc(self, places, name: str | None = None):
-        """A place gives a row as dict (or one cell), a slice or list a Frame."""
-        if isinstance(places, int):
-            rows = self._at(places).collect()
-            if not rows:
-                raise IndexError(places)
-            return rows[0][name] if name else rows[0].asDict()
-        return self._new(self._at(places))
+    def _placed_at(self, places) -> Frame:
+        """Rows by place, in the order of the places."""
+        if isinstance(places, slice) and (places.step or 1) > 0:
+            return self._new(self._at(places))
+        name = _hidden_name()  # a list, or a slice that goes back, has an order of its own
+        return Frame(select.at_places(self._all, self._need_order(), places, name), name)
+
+    @property
+    def iloc(self) -> Places:
+        """Rows by place: an int gives a dict (with a column, one cell), a slice or list a Frame."""
+        return Places(lambda key: self._located(key, lambda rows: rows), self._put)
 
-    def loc(self, rows, columns=None):
+    @property
+    def loc(self) -> Places:
         """Rows by place (the end of a slice included) or by condition, and columns by name."""
-        if isinstance(rows, Series):
+        return Places(lambda key: self._located(key, _inclusive), self._put)
+
+    def _located(self, key, of: Callable):
+        rows, columns = key if isinstance(key, tuple) else (key, None)
+        if isinstance(columns, int):
+            columns = self.columns[columns]
+        elif isinstance(columns, slice):
+            columns = self.columns[columns]
+        elif isinstance(columns, list):
+            columns = [self.columns[c] if isinstance(c, int) else c for c in columns]
+        if isinstance(rows, int) and not isinstance(rows, bool):
+            found = self._at(rows).collect()
+            if not found:
+                raise IndexError(rows)
+            row = {c: found[0][c] for c in self.columns}
+            return row if columns is None else row[columns] if isinstance(columns, str) else {c: row[c] for c in columns}
+        if isinstance(rows, (Series, list)) and (isinstance(rows, Series) or (rows and all(isinstance(x, bool) for x in rows))):
             out = self[rows]
-        elif isinstance(rows, slice):
-            out = self.iloc(slice(rows.start, None if rows.stop is None else rows.stop + 1, rows.step))
-        elif isinstance(rows, int):
-            return self.iloc(rows, columns)
+        elif isinstance(rows, (slice, list)):
+            whole = isinstance(rows, slice) and rows == slice(None)
+            out = self if whole else self._placed_at(of(rows))
         else:
-            out = self.iloc(list(rows))
+            raise TypeError(f"rows: {rows!r}")
         return out if columns is None else out[columns]
 
+    def _put(self, key, value) -> None:
+        """Sets cells: [place, column], [condition, column], [place] with a dict."""
+        rows, columns = key if isinstance(key, tuple) else (key, None)
+        values = value if columns is None else {self.columns[columns] if isinstance(columns, int) else columns: value}
+        if not isinstance(values, dict):
+            raise TypeError("a row is set by a dict")
+        if isinstance(rows, (Series, list)):
+            self._become(self.assign(**{c: self[c].mask(rows, v) for c, v in values.items()}))
+        else:
+            self._become(self.set_at(rows, values))
+
     def set_at(self, place: int, values: dict) -> Frame:
-        return self._new(select.set_at(self.df, self._need_order(), place, values))
+        return self._new(select.set_at(self._all, self._need_order(), place, values))
 
     def head(self, n: int = 5) -> Frame:
-        return self._new(ordering.head(self.df, n, self._need_order()))
+        if self._sort and n >= 0:
+            return self._new(self._in_order().limit(n))
+        return self._new(ordering.head(self._all, n, self._need_order()))
 
     def tail(self, n: int = 5) -> Frame:
-        return self._new(ordering.tail(self.df, n, self._need_order()))
+        return self._new(ordering.tail(self._all, n, self._need_order()))
 
     def sample(self, n=None, frac=None, random_state=None) -> Frame:
-        return self._new(ordering.sample(self.df, n, frac, random_state))
+        return self._new(ordering.sample(self._all, n, frac, random_state))
 
     def isin(self, values) -> Frame:
         return Frame(select.isin(self.df, values))
 
     def update(self, other: Frame) -> Frame:
-        return self._new(select.update(self.df, other.df, self._need_order()))
+        return self._new(select.update(self._all, other._all, self._need_order()))
 
     def copy(self) -> Frame:
-        return Frame(self.df, self.order)
+        return Frame(self._rows, self._order, self._parent, self._step, self._sort)
 
     reset_index = sort_index = rename_axis = copy
 
@@ -658,17 +895,26 @@ class Frame:
 
     # -- cells
     def _each(self, f: Callable[[Column, str], Column]) -> Frame:
-        return self._new(self.df.select(*[(column(c) if c in self.order else f(column(c), k)).alias(c) for c, k in self.dtypes.items()]))
+        return self._cells(lambda c, k: column(c) if c in self.order else f(column(c), k))
+
+    def _cells(self, f: Callable[[str, str], Column]) -> Frame:
+        """f(name, kind) for every column; hidden ones stay."""
+        own = self.dtypes
+        order = self.order
+        return self._new(self._all.select(*[f(c, own[c]).alias(c) if c in own else column(c) for c in self._all.columns if c in own or c in order]))
+
+    def _with_cells(self, x: Frame, f: Callable[[Column, Column, str, str], Column]) -> Frame:
+        """f of the cells of this frame's columns, but for its order, and of x's of the same names; the rows must be as many."""
+        own, theirs = self.dtypes, x.dtypes
+        rest = [c for c in self.columns if c not in self._need_order()]
+        require(x._all, rest)
+        hidden = {c: _hidden_name() for c in rest}
+        joined = self._joined(x._all.select(*map(column, x._need_order()), *[column(c).alias(h) for c, h in hidden.items()]), x.order)
+        return self._new(joined.select(*[f(column(c), column(hidden[c]), own[c], theirs[c]).alias(c) if c in hidden else column(c) for c in self._all.columns]))
 
     def _arith(self, op: str, x) -> Frame:
-        rest = [c for c in self.columns if c not in self.order]
         if isinstance(x, Frame):
-            require(x.df, rest)
-            keys = self._need_order()
-            other = x.df.select(*map(column, keys), *[column(c).alias(f"\0{c}") for c in rest])
-            own, theirs = self.dtypes, x.dtypes
-            joined = self.df.join(other, keys)
-            return self._new(joined.select(*map(column, keys), *[scalar.arithmetic(op, column(c), column(f"\0{c}"), own[c], theirs[c]).alias(c) for c in rest]))
+            return self._with_cells(x, lambda a, b, of, k: scalar.arithmetic(op, a, b, of, k))
         k = {int: INT, float: FLOAT}.get(type(x))
         if k is None:
             raise TypeError(f"operand {x!r}")
@@ -691,7 +937,11 @@ class Frame:
         return self._arith("/", x)
 
     def _compare(self, op: str, x) -> Frame:
-        k = {bool: "bool", int: INT, float: FLOAT, str: "object"}[type(x)]
+        if isinstance(x, Frame):
+            return self._with_cells(x, lambda a, b, of, k: scalar.compare(op, a, b, of, k))
+        k = {bool: "bool", int: INT, float: FLOAT, str: "object"}.get(type(x))
+        if k is None:
+            raise TypeError(f"operand {x!r}")
         return self._each(lambda c, of: scalar.compare(op, c, F.lit(x), of, k))
 
     def eq(self, x):
@@ -724,30 +974,44 @@ class Frame:
         return self._each(lambda c, k: scalar.round_half_away(c, k, decimals))
 
     def isna(self) -> Frame:
-        return Frame(self.df.select(*[column(c).isNull().alias(c) for c in self.columns]))
+        return self._cells(lambda c, k: column(c).isNull())._placeless(self)
 
     def notna(self) -> Frame:
-        return Frame(self.df.select(*[column(c).isNotNull().alias(c) for c in self.columns]))
+        return self._cells(lambda c, k: column(c).isNotNull())._placeless(self)
+
+    def _placeless(self, before: Frame) -> Frame:
+        """Without the order keys that are visible, whose values are other ones now."""
+        return Frame(self._all, before._hidden)
 
     isnull, notnull = isna, notna
 
     def fillna(self, value) -> Frame:
         own = self.dtypes
         by = value if isinstance(value, dict) else dict.fromkeys(self.columns, value)
-        return self._new(self.df.select(*[(scalar.fill(column(c), k, by[c]) if c in by else column(c)).alias(c) for c, k in own.items()]))
+        return self._cells(lambda c, k: scalar.fill(column(c), own[c], by[c]) if c in by else column(c))
 
     def dropna(self, how: str = "any", subset=None) -> Frame:
-        return self._new(select.dropna(self.df, how, subset))
+        return self._new(select.dropna(self._all, how, as_list(subset) or self.columns))
 
     def astype(self, to) -> Frame:
         by = to if isinstance(to, dict) else dict.fromkeys(self.columns, to)
-        return self._new(self.df.select(*[(scalar.cast(column(c), k, by[c]) if c in by else column(c)).alias(c) for c, k in self.dtypes.items()]))
-
-    def where(self, cond: Series, other=None) -> Frame:
-        return self._each(lambda c, k: scalar.where(c, cond.expr, other))
-
-    def mask(self, cond: Series, other=None) -> Frame:
-        return self._each(lambda c, k: scalar.mask(c, cond.expr, other))
+        return self._cells(lambda c, k: scalar.cast(column(c), k, by[c]) if c in by else column(c))
+
+    def where(self, cond: Series | Frame | list, other=None) -> Frame:
+        """cond: a Series or list, for the rows, or a Frame of truth values with the same names, for the cells."""
+        if isinstance(cond, Frame):
+            return self._with_cells(cond, lambda a, b, of, k: scalar.where(a, b if k == "bool" else scalar.truthy(b, k), other))
+        frame, test = self._align(self._condition(cond))
+        beside = Frame(frame._all, self.order)._cells(lambda c, k: column(c) if c in self.order else scalar.where(column(c), test, other))
+        return self._new(beside._all.select(*map(column, self._all.columns)))
+
+    def mask(self, cond: Series | Frame | list, other=None) -> Frame:
+        """cond: a Series or list, for the rows, or a Frame of truth values with the same names, for the cells."""
+        if isinstance(cond, Frame):
+            return self._with_cells(cond, lambda a, b, of, k: scalar.mask(a, b if k == "bool" else scalar.truthy(b, k), other))
+        frame, test = self._align(self._condition(cond))
+        beside = Frame(frame._all, self.order)._cells(lambda c, k: column(c) if c in self.order else scalar.mask(column(c), test, other))
+        return self._new(beside._all.select(*map(column, self._all.columns)))
 
     def replace(self, old, new=None) -> Frame:
         if isinstance(old, dict) and all(isinstance(v, dict) for v in old.values()):
@@ -836,16 +1100,16 @@ class Frame:
 
     def corrwith(self, other: Frame) -> dict:
         names = [c for c in numeric(self.df) if c in other.columns and c not in self._need_order()]
-        o = other.df.select(*map(column, self.order), *[column(c).alias(f"\0{c}") for c in names])
-        joined = self.df.join(o, self.order)
-        return joined.agg(*[aggregate._pair(column(c).cast("double"), column(f"\0{c}").cast("double"), "corr").alias(c) for c in names]).first().asDict()
+        hidden = {c: _hidden_name() for c in names}
+        joined = self._joined(other._all.select(*map(column, other._need_order()), *[column(c).alias(h) for c, h in hidden.items()]), other.order)
+        return joined.agg(*[aggregate._pair(column(c).cast("double"), column(h).cast("double"), "corr").alias(c) for c, h in hidden.items()]).first().asDict()
 
     def agg(self, spec):
         """A name: a dict; names: a Frame with a row for each; a dict of names: one row of column_function."""
         if isinstance(spec, str):
             return self._agg(spec)
         if isinstance(spec, dict):
-            return Frame(aggregate.several(self.df, spec, [column(k) for k in self.order]))
+            return Frame(aggregate.several(self._all, spec, [column(k) for k in self.order]))
         used = numeric(self.df)
         one = aggregate.several(self.df, {c: list(spec) for c in used})
         rows = F.array(*[F.struct(F.lit(f).alias("stat"), *[column(f"{c}_{f}").cast("double").alias(c) for c in used]) for f in spec])
@@ -859,31 +1123,45 @@ class Frame:
         return {(r[0] if len(keys) == 1 else tuple(r[: len(keys)])): r["count"] for r in rows}
 
     def equals(self, other: Frame) -> bool:
-        return ordering.differences(self.df, other.df, self._need_order()).first()[0] == 0
+        if self.columns != other.columns:
+            return False
+        mine, theirs = (f._all.select(*map(column, f.columns), *[column(k).alias(f"k{i}") for i, k in enumerate(f._need_order())]) for f in (self, other))
+        if any(k.startswith(HIDDEN) for k in [*self.order, *other.order]):  # frames by place
+            numbered = lambda d, f: d.withColumn(PLACE, F.row_number().over(Window.orderBy(*[column(f"k{i}") for i in range(len(f.order))]))).drop(*[f"k{i}" for i in range(len(f.order))])
+            mine, theirs = numbered(mine, self), numbered(theirs, other)
+        return mine.columns == theirs.columns and ordering.differences(mine, theirs).first()[0] == 0
 
     # -- rows in order
     def sort_values(self, by, ascending=True) -> Frame:
-        return self._new(ordering.sort(self.df, by, ascending, self.order))
+        by = as_list(by)
+        require(self._all, by)
+        return self._sorted(by, ascending) if by else self
 
     def nlargest(self, n: int, columns: str) -> Frame:
-        return self._new(ordering.largest(self.df, n, columns, self._need_order()))
+        self._need_order()
+        return self._sorted([columns], False).head(n)
 
     def nsmallest(self, n: int, columns: str) -> Frame:
-        return self._new(ordering.smallest(self.df, n, columns, self._need_order()))
+        self._need_order()
+        return self._sorted([columns], True).head(n)
 
     def duplicated(self, subset=None, keep="first") -> Series:
-        return self._new(ordering.duplicated(self.df, subset, keep, self.order))["duplicated"]
+        return self._flagged(as_list(subset) or self.columns, keep)
+
+    def _flagged(self, keys: list[str], keep) -> Series:
+        name = _hidden_name()
+        return Series(Frame(ordering.duplicated(self._all, keys, keep, self.order, name), self.order, self, (name, ordering.repeats(self._all, keys, keep, self.order))), column(name), "duplicated")
 
     def drop_duplicates(self, subset=None, keep="first") -> Frame:
-        return self._new(ordering.drop_duplicates(self.df, subset, keep, self.order))
+        return self._new(ordering.drop_duplicates(self._all, as_list(subset) or self.columns, keep, self.order))
 
     def _windows(self, make: Callable[[DataFrame, str], Column], only_numeric: bool = True) -> Frame:
         order = self._need_order()
         used = [c for c in (numeric(self.df) if only_numeric else self.columns) if c not in order]
-        return self._new(self.df.select(*map(column, order), *[make(self.df, c).alias(c) for c in used]))
+        return self._new(self._all.select(*map(column, order), *[make(self._all, c).alias(c) for c in used]))
 
     def cumsum(self) -> Frame:
-        return self._windows(lambda d, c: windows.cumulative(d, "sum", c, self.order))
+        return self._windows(lambda d, c: windows.cumulative(d, "sum", c, self._need_order()))
 
     def cumprod(self) -> Frame:
         return self._windows(lambda d, c: windows.cumulative(d, "prod", c, self.order))
@@ -920,31 +1198,31 @@ class Frame:
         return self._new(joins.merge(self.df, right.df, on, how, left_on, right_on, suffixes, indicator))
 
     def join(self, other: Frame) -> Frame:
-        return Frame(joins.side_by_side([self.df, other.df], [self._need_order(), other._need_order()]))
+        return Frame(joins.side_by_side([self._all, other._all], [self._need_order(), other._need_order()], HIDDEN))
 
     def melt(self, id_vars=None, value_vars=None, var_name: str = "variable", value_name: str = "value") -> Frame:
         return Frame(reshape.melt(self.df, id_vars, value_vars, var_name, value_name))
 
     def stack(self) -> Frame:
-        return Frame(reshape.stack(self.df, self._need_order()), [*self.order, "place"])
+        return Frame(reshape.stack(self._all, self._need_order()), [*self.order, "place"])
 
     def pivot_table(self, values=None, index=None, columns=None, aggfunc: str = "mean") -> Frame:
         return Frame(reshape.pivot_table(self.df, values, index, columns, aggfunc))
 
     def transpose(self) -> Frame:
-        return Frame(reshape.transpose(self.df, self._need_order()))
+        return Frame(reshape.transpose(self._all, self._need_order()))
 
     T = property(transpose)
 
     def explode(self, name: str) -> Frame:
-        return self._new(reshape.explode(self.df, name))
+        return self._new(reshape.explode(self._all, name))
 
     # -- out
-    def _rows(self) -> DataFrame:
-        return self.df.orderBy(*map(column, self.order)) if self.order else self.df
+    def _shown(self) -> DataFrame:
+        return self._in_order().select(*map(column, self.columns))
 
     def to_dict(self, orient: str = "dict"):
-        rows = self._rows().collect()
+        rows = self._shown().collect()
         return [r.asDict() for r in rows] if orient == "records" else {c: [r[c] for r in rows] for c in self.columns}
 
     def to_numpy(self):
@@ -952,26 +1230,26 @@ class Frame:
 
         if any(k == "object" for k in self.dtypes.values()):
             raise TypeError("text columns have no numeric values")
-        return np.array([[float("nan") if v is None else float(v) for v in r] for r in self._rows().collect()])
+        return np.array([[float("nan") if v is None else float(v) for v in r] for r in self._shown().collect()])
 
     values = property(to_numpy)
 
     def iterrows(self) -> Iterator[tuple[int, dict]]:
-        return ((i, r.asDict()) for i, r in enumerate(self._rows().toLocalIterator()))
+        return ((i, r.asDict()) for i, r in enumerate(self._shown().toLocalIterator()))
 
     def itertuples(self, index: bool = True) -> Iterator[tuple]:
-        return ((i, *r) if index else tuple(r) for i, r in enumerate(self._rows().toLocalIterator()))
+        return ((i, *r) if index else tuple(r) for i, r in enumerate(self._shown().toLocalIterator()))
 
     def items(self) -> Iterator[tuple[str, Series]]:
         return ((c, self[c]) for c in self.columns)
 
     def to_csv(self, path: str | None = None, index: bool = True, **options) -> str | None:
-        return csv.to_csv_string(self._rows(), **options) if path is None else csv.write_csv(self.df, path, **options)
+        return csv.to_csv_string(self._shown(), **options) if path is None else csv.write_csv(self.df, path, **options)
 
 
 def concat(frames: list[Frame], axis: int = 0) -> Frame:
     if axis == 1:
-        return Frame(joins.side_by_side([f.df for f in frames], [f._need_order() for f in frames]))
+        return Frame(joins.side_by_side([f._all for f in frames], [f._need_order() for f in frames], HIDDEN))
     return Frame(reshape.concat([f.df for f in frames]))
 
 
@@ -990,8 +1268,18 @@ def notna(x):
 isnull, notnull = isna, notna
 
 
-def to_numeric(x):
-    return x.astype("float64") if isinstance(x, Series) else float(x)
+def to_numeric(x, errors: str = "raise"):
+    """Fractions of a Series, a list or one value; errors "coerce": null for what is no number, in place of ValueError."""
+    if isinstance(x, Series):
+        return x._with(x.expr.try_cast("double")) if errors == "coerce" and x.kind == "object" else x.astype("float64")
+    if isinstance(x, (list, tuple)):
+        return [to_numeric(v, errors) for v in x]
+    try:
+        return None if x is None else float(x)
+    except (TypeError, ValueError):
+        if errors == "coerce":
+            return None
+        raise
 
 
 def assert_frame_equal(left: Frame, right: Frame, tolerance: float = 1e-10) -> None:

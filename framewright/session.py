@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,9 +23,29 @@ def session(master: str | None = None, partitions: int | None = None) -> SparkSe
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); what is written there goes when Python ends.
+
+    Where that is unset, a temporary folder serves a local master; any other raises, as its machines share no such folder.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="framewright-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="framewright-"))
+        base = context.getCheckpointDir()
+    root = f"{base.rstrip('/')}/framewright-{context.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
+
+
+_roots: set[str] = set()
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    """Delete an application's tables, unless it was stopped before."""
+    if spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

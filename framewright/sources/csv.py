@@ -41,15 +41,17 @@ def _parsed(c: Column, kind: str) -> Column:
 
 def read_csv(
     spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, columns: list[str] | None = None, dtypes: dict[str, str] | None = None,
-    na_values: tuple[str, ...] | list[str] = MISSING, max_rows: int | None = None, multiline: bool = False,
+    na_values: tuple[str, ...] | list[str] = MISSING, max_rows: int | None = None, multiline: bool | None = None,
 ) -> DataFrame:
     """A typed frame. Without a header columns are "0", "1", ...; short rows end in nulls; an unknown column raises KeyError.
 
     max_rows keeps that many rows (of a single file: the first). multiline reads quoted line ends, at the price of
-    unsplit files.
+    unsplit files; by default it is on where a line has an odd number of quotes, which a scan of the text tells.
     """
     if len(delimiter) != 1:
         raise ValueError("the delimiter must be one character")
+    if multiline is None:
+        multiline = not spark.read.text(path).where((F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
     raw = spark.read.csv(path, header=header, sep=delimiter, quote='"', escape='"', multiLine=multiline, inferSchema=False, mode="PERMISSIVE", emptyValue="")
     if not header:
         raw = raw.toDF(*[str(i) for i in range(len(raw.columns))])

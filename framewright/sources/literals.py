@@ -24,10 +24,10 @@ def _fit(v, t: T.DataType):
     return float(v) if t == SPARK[FLOAT] else int(v) if t == SPARK[INT] and not isinstance(v, str) else v
 
 
-def frame(spark: SparkSession, data, columns: list[str] | None = None) -> DataFrame:
+def frame(spark: SparkSession, data, columns: list[str] | None = None, place: str | None = None) -> DataFrame:
     """From a dict of lists (scalars are repeated), a list of dicts (missing keys null), a list of rows, or a numpy array.
 
-    A column's kind is that of its first value. Lists of unequal length raise ValueError.
+    place: the name of a column with the rows' places, if wanted. A column's kind is that of its first value. Lists of unequal length raise ValueError.
     """
     if hasattr(data, "tolist") and not isinstance(data, dict):
         data = data.tolist()
@@ -45,5 +45,7 @@ def frame(spark: SparkSession, data, columns: list[str] | None = None) -> DataFr
         own, n = {k: [r[i] if i < len(r) else None for r in rows] for i, k in enumerate(names)}, len(rows)
     if any(len(v) != n for v in own.values()):
         raise ValueError("columns of unequal length")
+    if place is not None:
+        own[place] = list(range(n))
     schema = T.StructType([_field(k, v) for k, v in own.items()])
     return spark.createDataFrame([tuple(_fit(v[i], f.dataType) for v, f in zip(own.values(), schema.fields, strict=True)) for i in range(n)], schema)

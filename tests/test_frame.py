@@ -282,4 +282,4 @@ def test_front_door(spark):
     with pytest.raises(AssertionError):
         api.assert_frame_equal(f, f.assign(v=F.lit(5).cast("long")))
     with pytest.raises(ValueError, match="order"):
-        api.DataFrame({"a": [1]}).head()
+        Frame(spark.range(3)).head()
