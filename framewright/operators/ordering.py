@@ -133,11 +133,12 @@ def monotonic(df: DataFrame, name: str, order: list[str], increasing: bool = Tru
 
 
 def differences(a: DataFrame, b: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The number of rows that one frame has more often than the other; null equals null, NaN equals NaN. 0: equal.
+    """The number of rows that one frame has more often than the other (the larger of the two); null equals null, NaN equals NaN. 0: equal.
 
     Whole rows are counted, so an order that rows repeat, or that is null, does no harm; `order` is part of them.
     """
     if a.columns != b.columns:
         return a.sparkSession.createDataFrame([(1,)], "differences long")
     counts = a.withColumn("\0sign", F.lit(1)).unionAll(b.withColumn("\0sign", F.lit(-1))).groupBy(*map(column, a.columns)).agg(F.sum(F.col("`\0sign`")).alias("\0d"))
-    return counts.agg(F.coalesce(F.sum(F.abs(F.col("`\0d`"))), F.lit(0)).cast("long").alias("differences"))
+    more = [F.coalesce(F.sum(F.greatest(F.lit(sign) * F.col("`\0d`"), F.lit(0))), F.lit(0)) for sign in (1, -1)]
+    return counts.agg(F.greatest(*more).cast("long").alias("differences"))

@@ -414,13 +414,14 @@ def groupby_agg_dict(spark, sf_dir):
 
 # -- joins ----------------------------------------------------------------------------------------------------------------
 
-_L = "(SELECT o_custkey AS k, o_orderkey, o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0)"
-_R = "(SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0)"
+#: Orders and customers; every tenth key of each side is moved away, so that both have unmatched rows.
+_L = "(SELECT CASE WHEN o_orderkey % 10 = 0 THEN -o_custkey ELSE o_custkey END AS k, o_orderkey, o_totalprice AS v FROM orders)"
+_R = "(SELECT CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1000000000000 ELSE c_custkey END AS k, c_acctbal AS v FROM customer)"
 
 
 def _sides(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(C("o_custkey").alias("k"), "o_orderkey", C("o_totalprice").alias("v"))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(C("c_custkey").alias("k"), C("c_acctbal").alias("v"))
+    o = table(spark, sf_dir, "orders").select(F.when(C("o_orderkey") % 10 == 0, -C("o_custkey")).otherwise(C("o_custkey")).alias("k"), "o_orderkey", C("o_totalprice").alias("v"))
+    c = table(spark, sf_dir, "customer").select(F.when(C("c_custkey") % 10 == 0, C("c_custkey") + 10**12).otherwise(C("c_custkey")).alias("k"), C("c_acctbal").alias("v"))
     return o, c
 
 
@@ -438,31 +439,6 @@ def merge_indicator(spark, sf_dir):
     return joins.merge(*_sides(spark, sf_dir), on="k", how="outer", suffixes=("_l", "_r"), indicator=True)
 
 
-#: Whole orders and customers; every tenth key of each side is moved away, so that both have unmatched rows.
-_ALL_L = "(SELECT CASE WHEN o_orderkey % 10 = 0 THEN -o_custkey ELSE o_custkey END AS k, o_orderkey, o_totalprice AS v FROM orders)"
-_ALL_R = "(SELECT CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1000000000000 ELSE c_custkey END AS k, c_acctbal AS v FROM customer)"
-
-
-def _whole_sides(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.when(C("o_orderkey") % 10 == 0, -C("o_custkey")).otherwise(C("o_custkey")).alias("k"), "o_orderkey", C("o_totalprice").alias("v"))
-    c = table(spark, sf_dir, "customer").select(F.when(C("c_custkey") % 10 == 0, C("c_custkey") + 10**12).otherwise(C("c_custkey")).alias("k"), C("c_acctbal").alias("v"))
-    return o, c
-
-
-for _how, _sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}.items():
-
-    def _merged_whole(spark, sf_dir, how=_how):
-        return joins.merge(*_whole_sides(spark, sf_dir), on="k", how=how)
-
-    QUERIES[f"merge_{_how}_whole"] = _merged_whole
-    ORACLES[f"merge_{_how}_whole"] = f"SELECT k, o_orderkey, l.v AS v_x, r.v AS v_y FROM {_ALL_L} l {_sql} {_ALL_R} r USING (k)"
-
-
-@query(f"SELECT k, o_orderkey, l.v AS v_l, r.v AS v_r, CASE WHEN l.o_orderkey IS NULL THEN 'right_only' WHEN r.v IS NULL THEN 'left_only' ELSE 'both' END AS _merge FROM {_ALL_L} l FULL JOIN {_ALL_R} r USING (k)")
-def merge_indicator_whole(spark, sf_dir):
-    return joins.merge(*_whole_sides(spark, sf_dir), on="k", how="outer", suffixes=("_l", "_r"), indicator=True)
-
-
 @query("SELECT c_custkey, c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def merge_left_on_right_on(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -477,15 +453,9 @@ def merge_multi_key(spark, sf_dir):
     return joins.merge(li, counts, on=["l_orderkey", "l_linenumber"])
 
 
-@query(f"SELECT l.n, l.event_id AS event_id_x, r.event_id AS event_id_y FROM (SELECT * FROM {EVENTS} WHERE event_id < 200) l FULL JOIN (SELECT * FROM {EVENTS} WHERE event_id < 20) r ON l.n = r.n WHERE l.n IS NOT NULL OR r.n IS NOT NULL OR l.event_id IS NOT NULL OR r.event_id IS NOT NULL".replace("SELECT l.n,", "SELECT coalesce(l.n, r.n) AS n,"))
-def merge_null_keys(spark, sf_dir):
-    e = events(spark, sf_dir).select("n", "event_id")
-    return joins.merge(e.where("event_id < 200"), e.where("event_id < 20"), on="n", how="outer")
-
-
 @query("""SELECT coalesce(l.k, r.k) AS k, o_orderkey, c_custkey FROM (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS k, o_orderkey FROM orders) l
 FULL JOIN (SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS k, c_custkey FROM customer) r ON l.k = r.k""")
-def merge_null_keys_whole(spark, sf_dir):
+def merge_null_keys(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.when(C("o_orderkey") % 7 != 0, C("o_custkey")).alias("k"), "o_orderkey")
     c = table(spark, sf_dir, "customer").select(F.when(C("c_custkey") % 5 != 0, C("c_custkey")).alias("k"), "c_custkey")
     return joins.merge(o, c, on="k", how="outer")
@@ -505,13 +475,8 @@ def sort_multi_limit(spark, sf_dir):
     return ordering.sort(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_totalprice"], [True, False], ["o_orderkey"]).limit(50).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query(f"SELECT event_id, n FROM {EVENTS} ORDER BY n DESC NULLS LAST, event_id DESC LIMIT 40")
-def sort_nulls_last(spark, sf_dir):
-    return ordering.sort(events(spark, sf_dir), "n", False, ["event_id"]).limit(40).select("event_id", "n")
-
-
 @query(f"SELECT event_id, n, row_number() OVER (ORDER BY n DESC NULLS LAST, event_id DESC) AS position FROM {EVENTS}")
-def sort_nulls_last_whole(spark, sf_dir):
+def sort_nulls_last(spark, sf_dir):
     return ordering.positions(events(spark, sf_dir).select("event_id", "n"), "n", False, ["event_id"])
 
 
@@ -636,14 +601,8 @@ for _name, (_make, _sql) in {
     ORACLES[_name] = f"SELECT event_id, {_sql} AS x FROM {EVENTS}"
 
 
-@query("SELECT event_id, CAST(product(CASE WHEN event_id % 9 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS x FROM events WHERE user_id < 40")
-def cumprod(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 40").withColumn("two", F.when(C("event_id") % 9 == 0, F.lit(2)).otherwise(F.lit(1)).cast("long"))
-    return e.select("event_id", windows.cumulative(e, "prod", "two", "event_id", ["user_id", "event_type"]).alias("x"))
-
-
 @query("SELECT event_id, CAST(product(CASE WHEN event_id % 9 = 0 THEN -1 ELSE 1 END) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS x FROM events")
-def cumprod_whole(spark, sf_dir):
+def cumprod(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("sign", F.when(C("event_id") % 9 == 0, F.lit(-1)).otherwise(F.lit(1)).cast("long"))
     return e.select("event_id", windows.cumulative(e, "prod", "sign", "event_id", ["user_id", "event_type"]).alias("x"))
 
@@ -707,17 +666,17 @@ def str_cat(spark, sf_dir):
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(X.cat(C("n_name"), "|", [C("n_nationkey")]).alias("x"))
 
 
-@query()
+@query(f"SELECT p_partkey, array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS x FROM {_T}")
 def str_title(spark, sf_dir):
     return parts(spark, sf_dir).select("p_partkey", X.title(C("t")).alias("x"))
 
 
-@query()
+@query(f"SELECT p_partkey, lower(substring(t, 1, 1)) || upper(substring(t, 2)) AS x FROM {_T}")
 def str_swapcase(spark, sf_dir):
     return parts(spark, sf_dir).select("p_partkey", X.swapcase(X.capitalize(C("t"))).alias("x"))
 
 
-@query()
+@query(f"""SELECT p_partkey, list_reduce(string_split(t, ' '), lambda a, w: a || CASE WHEN length(regexp_extract(a, '[^\n]*$')) + 1 + length(w) <= 8 THEN ' ' ELSE chr(10) END || w) AS x FROM {_T}""")
 def str_wrap(spark, sf_dir):
     return parts(spark, sf_dir).select("p_partkey", X.wrap(C("t"), 8).alias("x"))
 
@@ -727,6 +686,11 @@ def str_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalize(C("text"), "NFKD").alias("x"))
 
 
+@query("SELECT doc_id, nfc_normalize(text) AS x FROM documents")
+def str_normalize_nfc(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.normalize(C("text"), "NFC").alias("x"))
+
+
 # -- user functions -------------------------------------------------------------------------------------------------------
 
 
@@ -840,16 +804,8 @@ def csv_round_trip(spark, sf_dir):
     return select.assign(csv.read_csv(spark, path), c_nationkey=C("c_nationkey").cast("int"))
 
 
-@query("SELECT p_partkey, NULL::DOUBLE AS a, CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_size > 25")
-def csv_missing_values(spark, sf_dir):
-    path = scratch(spark, "part-csv")
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lit(None).cast("double").alias("a"), "p_size")
-    csv.write_csv(p, path, delimiter=";", na_rep="NA")
-    return select.keep_rows(csv.read_csv(spark, path, delimiter=";", dtypes={"a": "float64"}), C("p_size") > 25)
-
-
 @query("SELECT p_partkey, NULL::DOUBLE AS a, CAST(p_size AS BIGINT) AS p_size FROM part")
-def csv_missing_values_whole(spark, sf_dir):
+def csv_missing_values(spark, sf_dir):
     path = scratch(spark, "part-csv")
     csv.write_csv(table(spark, sf_dir, "part").select("p_partkey", F.lit(None).cast("double").alias("a"), "p_size"), path, delimiter=";", na_rep="NA")
     return csv.read_csv(spark, path, delimiter=";", dtypes={"a": "float64"})

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from framewright.plans import catalog
+from framewright.plans import catalog, frame_catalog  # noqa: F401  registers its queries
 
 DATA = "/root/testdata/sf0.001"
 
