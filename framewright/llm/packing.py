@@ -58,7 +58,7 @@ class Encoder:
     """
 
     #: Words kept, at most; then the cache starts anew.
-    ENTRIES = 1_000_000
+    ENTRIES = 700_000
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str) -> None:

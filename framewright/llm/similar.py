@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import WordHash, arrow_map, batch, discard, materialise, minhash, permutations, shingles
@@ -262,20 +262,31 @@ def _in_block_pairs(rows: DataFrame, key: str, bins: int, diagonal: bool) -> Dat
     return rows.select("*", low.alias("low"), high.alias("high"), task.alias("task")).drop("other", "blocks")
 
 
+def _bitmap(df: DataFrame, digest: str) -> DataFrame:
+    """word, bits: a map of MAP_WORDS * 32 bits with one for each digest. Bounded at any size: it may be broadcast."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{digest}`), 32) as int))")
+    return F.broadcast(df.select(_word(digest), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")))
+
+
+def _word(digest: str) -> Column:
+    return F.shiftright(F.pmod(F.xxhash64(digest), F.lit(MAP_WORDS * 32)), 5).alias("word")
+
+
+def _hit(digest: str) -> Column:
+    """Whether the bit of a digest is set in the bits of its word; null where the word has none."""
+    return F.expr(f"(shiftrightunsigned(bits, cast(pmod(xxhash64(`{digest}`), 32) as int)) & 1) = 1")
+
+
 def _passed(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows whose digest may be one of the members', by a map of MAP_WORDS * 32 bits: most other texts are not shuffled."""
-    place = F.pmod(F.xxhash64("digest"), F.lit(MAP_WORDS * 32))
-    word, bit = F.shiftright(place, 5).alias("word"), place.bitwiseAND(F.lit(31)).cast("int")
-    marks = members.select(word, F.expr("shiftleft(1L, cast(pmod(xxhash64(digest), 32) as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
-    marked = rows.select("*", word, bit.alias("bit")).join(F.broadcast(marks), "word")  # at most MAP_WORDS rows
-    return marked.where(F.expr("(shiftrightunsigned(bits, bit) & 1) = 1")).drop("word", "bit", "bits")
+    """Rows whose digest may be one of the members': most other texts are not shuffled."""
+    return rows.select("*", _word("digest")).join(_bitmap(members, "digest"), "word").where(_hit("digest")).drop("word", "bits")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents, in all their columns, less those of each class that aren't its smallest id; rows with null ids stay.
 
-    Where rows repeat the kept id and text, one of them stays. Null texts count as empty; an empty table stays empty. What
-    is to be left out is joined to the documents, so that they are not shuffled where that is small.
+    Where rows repeat the kept id and text, one of them stays. Null texts count as empty; an empty table stays empty. Only
+    documents whose text may be among those left out, by a bitmap, are joined to these; all others pass where they are.
     """
     names = docs.columns
     classes = _classes(docs, "doc_id", "text", threshold, TOLERANCE).where("doc_id IS NOT NULL")
@@ -285,6 +296,10 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     marks = materialise(marks, "left-out")
     discard(per_key)
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("key"), digest.alias("own")).join(marks, ["key", "own"], "left")
-    once = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("key"), digest.alias("own")).join(marks.where("kept"), ["key", "own"]).dropDuplicates(["key", "own"])
-    return marked.where("kept IS NULL").select("row.*").unionByName(once.select("row.*"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("key"), digest.alias("own"))
+    hit = F.coalesce(F.col("key").isNotNull() & _hit("own"), F.lit(False))
+    told = rows.select("*", _word("own")).join(_bitmap(marks, "own"), "word", "left").withColumn("hit", hit).drop("word", "bits")
+    out = told.where(~F.col("hit")).select("row.*").unionByName(told.where("hit").join(marks, ["key", "own"], "left_anti").select("row.*"))
+    if marks.where("kept").isEmpty():
+        return out
+    return out.unionByName(told.where("hit").join(marks.where("kept"), ["key", "own"], "left_semi").dropDuplicates(["key", "own"]).select("row.*"))
