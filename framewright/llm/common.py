@@ -26,6 +26,8 @@ SHINGLE_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CACHE_ENTRIES = 400_000
 #: Bytes that a function of arrow_map gets at once, on average.
 BATCH_BYTES = 16 << 20
+#: Rows of a batch between the JVM and Python, at most: ten times as many cost it some 500 MB more where texts are long.
+BATCH_ROWS = 1000
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -46,8 +48,12 @@ def discard(df: DataFrame) -> None:
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000, keeps: str = "", size: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow where f gets batches of at most `rows` rows and about `size` bytes, since one text can hold megabytes.
 
-    Spark's batches are sliced here, so that no session setting matters. keeps: the worker state that f uses; other states are dropped first.
+    Spark's batches are sliced here, so that no result or bound of f depends on a session setting; but the JVM holds whole
+    batches, so the session's limit of their rows is lowered to BATCH_ROWS where it is larger, alike by all operators. keeps: the worker state that f uses; other states are dropped first.
     """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _states()
