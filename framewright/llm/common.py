@@ -26,7 +26,7 @@ SHINGLE_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CACHE_ENTRIES = 400_000
 #: Bytes that a function of arrow_map gets at once, on average.
 BATCH_BYTES = 16 << 20
-#: Rows of a batch between the JVM and Python, at most: ten times as many cost it some 500 MB more where texts are long.
+#: Rows of a batch between the JVM and Python, at most, as one text can hold megabytes.
 BATCH_ROWS = 1000
 
 
