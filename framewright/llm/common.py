@@ -13,6 +13,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 import framewright
 from framewright.session import scratch as shared_dir
@@ -56,15 +57,25 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _states()
-        for key in [k for k in held if k != keeps]:
-            del held[key]
+        _drop_states(keeps)
         yield from f(sliced(batches, rows, size))
         release()
 
     return df.mapInArrow(run, schema)
 
 
+def arrow_groups(groups: GroupedData, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """applyInArrow that drops the worker's states first and gives its freed memory back after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _drop_states()
+        out = f(table)
+        release()
+        return out
+
+    return groups.applyInArrow(run, schema)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
@@ -84,6 +95,12 @@ def _states() -> dict[str, object]:
     return sys.modules.setdefault("framewright_worker_state", types.ModuleType("framewright_worker_state")).__dict__.setdefault("held", {})
 
 
+def _drop_states(keeps: str = "") -> None:
+    held = _states()
+    for key in [k for k in held if k != keeps]:
+        del held[key]
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import WordHash, arrow_map, batch, discard, materialise, minhash, permutations, shingles
+from framewright.llm.common import WordHash, arrow_groups, arrow_map, batch, discard, materialise, minhash, permutations, shingles
 from framewright.llm.graph import components
 
 WIDTH, BANDS, ROWS = 5, 36, 5
@@ -203,7 +203,7 @@ def _classes(df: DataFrame, doc_id: str, text: str, threshold: float, prune: flo
         columns = list(zip(*out, strict=True)) or [[], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    clusters = materialise(components(dealt.groupBy("task").applyInArrow(meet, "a long, b long")), "clusters")
+    clusters = materialise(components(arrow_groups(dealt.groupBy("task"), meet, "a long, b long")), "clusters")
     discard(shared)
 
     members = clusters.join(texts.drop("bands"), "node")
@@ -236,7 +236,7 @@ def _classes(df: DataFrame, doc_id: str, text: str, threshold: float, prune: flo
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["node", "lead", "links"])
 
-    found = materialise(dealt.groupBy("task").applyInArrow(compare, "node long, lead long, links long"), "links")
+    found = materialise(arrow_groups(dealt.groupBy("task"), compare, "node long, lead long, links long"), "links")
     classes = components(found.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = texts.drop("bands").join(counts, "node", "left").join(classes, "node", "left").select("digest", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
