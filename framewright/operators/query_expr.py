@@ -12,8 +12,26 @@ from framewright.types import column
 COMPARE = {ast.Eq: "__eq__", ast.NotEq: "__ne__", ast.Lt: "__lt__", ast.LtE: "__le__", ast.Gt: "__gt__", ast.GtE: "__ge__"}
 
 
+def modulo(a: Column, b: Column) -> Column:
+    """Remainder with the sign of the divisor; null by zero."""
+    rest = F.try_mod(a, b)
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+
+
+def floor_divide(a: Column, b: Column) -> Column:
+    """The quotient that goes with `modulo`, as a double (exact up to 2^53); null by zero."""
+    return F.rint(F.try_divide((a - modulo(a, b)).cast("double"), b.cast("double")))
+
+
+def power(a: Column, b: Column) -> Column:
+    """a to the b, as a double (exact up to 2^53); null where the result is no real number, or is beyond a double."""
+    a, b = a.cast("double"), b.cast("double")
+    out, finite = F.pow(a, b), ~F.isnan(a) & ~F.isnan(b) & (F.abs(a) != float("inf")) & (F.abs(b) != float("inf"))
+    return F.when(finite & (F.isnan(out) | (F.abs(out) == float("inf"))), F.lit(None)).otherwise(out)
+
+
 def translate(df: DataFrame, text: str) -> Column:
-    """and, or, not, & | ~, chained comparisons, + - * / %, in and not in of literals, names of columns, literals."""
+    """and, or, not, & | ~, chained comparisons, + - * / // % **, in and not in of literals, names of columns, literals."""
 
     def visit(x: ast.AST) -> Column:
         if isinstance(x, ast.Expression):
@@ -39,7 +57,7 @@ def translate(df: DataFrame, text: str) -> Column:
             a, b = visit(x.left), visit(x.right)
             if isinstance(x.op, ast.Div):
                 return F.try_divide(a.cast("double"), b.cast("double"))
-            ops = {ast.Add: lambda: a + b, ast.Sub: lambda: a - b, ast.Mult: lambda: a * b, ast.Mod: lambda: F.try_mod(a, b), ast.BitAnd: lambda: a & b, ast.BitOr: lambda: a | b}
+            ops = {ast.Add: lambda: a + b, ast.Sub: lambda: a - b, ast.Mult: lambda: a * b, ast.FloorDiv: lambda: floor_divide(a, b), ast.Mod: lambda: modulo(a, b), ast.Pow: lambda: power(a, b), ast.BitAnd: lambda: a & b, ast.BitOr: lambda: a | b}
             if type(x.op) not in ops:
                 raise ValueError(f"operator {type(x.op).__name__} in {text!r}")
             return ops[type(x.op)]()

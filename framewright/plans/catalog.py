@@ -91,6 +91,13 @@ def query_in_mod(spark, sf_dir):
     return query_expr.query(table(spark, sf_dir, "orders"), "o_orderpriority not in ['1-URGENT', '5-LOW'] and o_custkey % 3 == 1").select("o_orderkey", "o_orderpriority")
 
 
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE floor((l_linenumber - 5) / 2) = -1 AND ((l_partkey - 500) % 7 + 7) % 7 = 3 AND l_linenumber * l_linenumber < 16 OR l_quantity = 2 * 2 * 2 AND l_linenumber = 1""")
+def query_floor_power(spark, sf_dir):
+    text = "(l_linenumber - 5) // 2 == -1 and (l_partkey - 500) % 7 == 3 and l_linenumber ** 2 < 16 or l_quantity == 2 ** 3 and l_linenumber == 1"
+    return query_expr.query(table(spark, sf_dir, "lineitem"), text).select("l_orderkey", "l_linenumber")
+
+
 @query("""SELECT event_id, coalesce(n BETWEEN 3 AND 7, false) AS b_both, coalesce(n >= 3 AND n < 7, false) AS b_left, coalesce(n > 3 AND n <= 7, false) AS b_right,
 coalesce(n > 3 AND n < 7, false) AS b_neither FROM """ + EVENTS)
 def between_modes(spark, sf_dir):

@@ -184,6 +184,22 @@ def test_positions(make):
         f.iloc(9)
 
 
+@pytest.mark.parametrize("op", ["//", "%", "**", "/"])
+def test_query_operators_equal_pythons(make, op):
+    values = [(a, b) for a in (-7, -3, 0, 2, 7) for b in (-3, -2, 0, 1, 3)] + [(1.0, 0.1), (-2.5, 2.0), (1e200, 2.0), (None, 2.0), (2.0, None)]
+    for kind in (int, float):
+        rows = [(a, b) for a, b in values if {type(a), type(b)} <= {kind, type(None)}]
+        f = make({"i": list(range(len(rows))), "a": [x for x, _ in rows], "b": [y for _, y in rows]}, order="i")
+        for bound in (-2, 0, 1, 5):
+            wanted = []
+            for i, (a, b) in enumerate(rows):
+                try:
+                    wanted += [i] if eval(f"a {op} b >= {bound}") else []
+                except Exception:
+                    pass
+            assert f.query(f"a {op} b >= {bound}").to_dict()["i"] == wanted, (kind, bound)
+
+
 def test_query_rejects_code(make):
     f = make({"a": [1, 2, 3]})
     assert f.query("a > 1 and not a == 3").to_dict()["a"] == [2]
