@@ -74,11 +74,14 @@ def clip(c: Column, of: str, lower=None, upper=None) -> Column:
 
 
 def round_half_away(c: Column, of: str, decimals: int = 0) -> Column:
-    """Binary rounding, halves away from zero; integers stay."""
+    """Binary rounding, halves away from zero, as C's round of c * 10^decimals; integers stay."""
     if of != FLOAT:
         return c
     scale = float(10**decimals)
-    return F.when(F.isnan(c) | (F.abs(c) == INF), c).otherwise(F.signum(c) * F.floor(F.abs(c * scale) + 0.5).cast("double") / scale)
+    size = F.abs(c * scale)
+    rest = size % 1.0  # exact, unlike size + 0.5
+    whole = size - rest + F.when(rest >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(F.isnan(c) | (size == INF), c).otherwise(F.signum(c) * whole / scale)
 
 
 def is_in(c: Column, of: str, values: list) -> Column:
