@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.scalar import is_in
+from framewright.operators import windows
 from framewright.types import BOOL, FLOAT, INT, TEXT, as_list, column, kinds, require
 
 # Names of categories that select_dtypes accepts.
@@ -97,8 +98,8 @@ def isin(df: DataFrame, values: list | dict[str, list]) -> DataFrame:
 
 
 def placed(df: DataFrame, order: list[str], name: str = "\0at") -> DataFrame:
-    """With the 0-based place of each row. A total order is a single partition's window: for results, not for tables at scale."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*map(column, order))) - 1)
+    """With the 0-based place of each row."""
+    return windows.placed(df, [column(k) for k in order], name)[0]
 
 
 def at_places(df: DataFrame, order: list[str], places: int | slice | list[int], name: str | None = None) -> DataFrame:
@@ -113,8 +114,8 @@ def _at_places(df: DataFrame, order: list[str], places: int | slice | list[int])
     if isinstance(places, slice) and places.step in (None, 1) and places.start in (None, 0) and (places.stop or 0) > 0:
         return df.orderBy(*map(column, order)).limit(places.stop)  # no numbering needed
     at = F.col("`\0at`")
-    numbered = placed(df, order).withColumn("\0n", F.count(F.lit(1)).over(Window.partitionBy()))
-    n = F.col("`\0n`")
+    numbered, many = windows.placed(df, [column(k) for k in order], "\0at")
+    n = F.lit(many)
     if isinstance(places, slice):
         step = places.step or 1
         bound = lambda x, d: d if x is None else F.greatest(F.lit(0), F.least(n, F.lit(x) if x >= 0 else n + x))
@@ -125,15 +126,16 @@ def _at_places(df: DataFrame, order: list[str], places: int | slice | list[int])
             start = n - 1 if places.start is None else F.least(n - 1, F.lit(places.start) if places.start >= 0 else n + places.start)
             stop = F.lit(-1) if places.stop is None else (F.lit(places.stop) if places.stop >= 0 else n + places.stop)
             hit = (at <= start) & (at > stop) & ((start - at) % -step == 0)
-        return numbered.where(hit).orderBy(at.asc() if step > 0 else at.desc()).withColumn("\0order", at if step > 0 else -at).drop("\0at", "\0n")
+        return numbered.where(hit).orderBy(at.asc() if step > 0 else at.desc()).withColumn("\0order", at if step > 0 else -at).drop("\0at")
     wanted = F.array(*[F.lit(p) if p >= 0 else n + p for p in ([places] if isinstance(places, int) else places)]).cast("array<long>")
-    return numbered.withColumn("\0w", F.explode(F.filter(F.transform(wanted, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"] == at))).orderBy("`\0w`.i").withColumn("\0order", F.col("`\0w`.i")).drop("\0at", "\0n", "\0w")
+    return numbered.withColumn("\0w", F.explode(F.filter(F.transform(wanted, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"] == at))).orderBy("`\0w`.i").withColumn("\0order", F.col("`\0w`.i")).drop("\0at", "\0w")
 
 
 def set_at(df: DataFrame, order: list[str], place: int, values: dict) -> DataFrame:
     """Cells of one row replaced, by place (a negative one from the end)."""
     require(df, values)
-    out = placed(df, order) if place >= 0 else df.withColumn("\0at", -F.row_number().over(Window.orderBy(*[column(c).desc() for c in order])))
+    out, n = windows.placed(df, [column(k) for k in order], "\0at")
+    place = place if place >= 0 else n + place
     for c, v in values.items():
         out = out.withColumn(c, F.when(F.col("`\0at`") == place, F.lit(v)).otherwise(column(c)))
     return out.drop("\0at")

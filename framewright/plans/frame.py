@@ -12,6 +12,7 @@ Frame with a hidden column and its parent. Series of one frame and of its extens
 from __future__ import annotations
 
 import itertools
+import weakref
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,10 @@ from framewright.types import FLOAT, INT, as_list, column, kind_of, kinds, numer
 HIDDEN = "\0"
 PLACE = "\0place"
 _numbers = itertools.count()
+#: Of tables whose rows were counted: by their order, the numbered rows (of great ones), the places' column and the number of rows.
+_placed: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: Of numbered rows: by their order, the places' column and the number of rows.
+_places: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def _hidden_name() -> str:
@@ -409,31 +414,44 @@ class Series:
     def drop_duplicates(self, keep="first") -> Series:
         return self[~self.duplicated(keep)]
 
-    def _window(self, make: Callable[[DataFrame, str], Column]) -> Series:
-        """A window's result, in a column beside the frame's rows."""
-        frame = self.frame._extend(self.expr)
-        return frame._extend(make(frame._all, frame._step[0]))._last(self.name)
+    def _window(self, make: Callable[[DataFrame, str], Column], whole: Callable | None = None) -> Series:
+        """A window's result, in a column beside the frame's rows. whole: see `Frame._whole`; without it they are one partition."""
+        placed, *at = self.frame._placed() if whole else (self.frame, None, 0)
+        frame = placed._extend(self.expr)
+        name = frame._step[0]
+        if at[1] > windows.ROWS:
+            out = _hidden_name()
+            step = lambda d: whole(d, name, out, *at)
+            return Frame(step(frame._all), frame._order, frame, (out, step))._last(self.name)
+        return frame._extend(make(frame._all, name))._last(self.name)
+
+    def _cumulative(self, func: str, partition_by) -> Series:
+        make = lambda d, c: windows.cumulative(d, func, c, self.frame._need_order(), partition_by)
+        return self._window(make, None if partition_by else lambda d, c, *to: windows.cumulative_whole(d, func, c, *to))
 
     def cumsum(self, partition_by=None) -> Series:
-        return self._window(lambda d, c: windows.cumulative(d, "sum", c, self.frame._need_order(), partition_by))
+        return self._cumulative("sum", partition_by)
 
     def cumprod(self, partition_by=None) -> Series:
-        return self._window(lambda d, c: windows.cumulative(d, "prod", c, self.frame._need_order(), partition_by))
+        return self._cumulative("prod", partition_by)
 
     def cummax(self, partition_by=None) -> Series:
-        return self._window(lambda d, c: windows.cumulative(d, "max", c, self.frame._need_order(), partition_by))
+        return self._cumulative("max", partition_by)
 
     def cummin(self, partition_by=None) -> Series:
-        return self._window(lambda d, c: windows.cumulative(d, "min", c, self.frame._need_order(), partition_by))
+        return self._cumulative("min", partition_by)
 
     def shift(self, periods: int = 1, fill_value=None) -> Series:
-        return self._window(lambda d, c: windows.shift(c, self.frame._need_order(), periods, fill_value))
+        make = lambda d, c, order, by=None: windows.shift(c, order, periods, fill_value, by)
+        return self._window(lambda d, c: make(d, c, self.frame._need_order()), _near(make, periods, -periods))
 
     def diff(self, periods: int = 1) -> Series:
-        return self._window(lambda d, c: windows.diff(d, c, self.frame._need_order(), periods))
+        make = lambda d, c, order, by=None: windows.diff(d, c, order, periods, by)
+        return self._window(lambda d, c: make(d, c, self.frame._need_order()), _near(make, periods, -periods))
 
     def pct_change(self, periods: int = 1) -> Series:
-        return self._window(lambda d, c: windows.pct_change(c, self.frame._need_order(), periods))
+        make = lambda d, c, order, by=None: windows.pct_change(c, order, periods, by)
+        return self._window(lambda d, c: make(d, c, self.frame._need_order()), _near(make, periods, -periods))
 
     def rank(self, method: str = "average", ascending: bool = True) -> Series:
         return self._window(lambda d, c: windows.rank(d, c, method, ascending, self.frame._need_order()))
@@ -487,6 +505,11 @@ def _inclusive(rows):
     return slice(rows.start, None if rows.stop is None else rows.stop + 1, rows.step) if isinstance(rows, slice) else rows
 
 
+def _near(make: Callable, before: int, after: int = 0) -> Callable:
+    """make(frame, name, order, partition_by) for whole tables; it depends on rows so far before and after."""
+    return lambda d, c, out, place, n: windows.near(d, lambda order, by: make(d, c, order, by), out, place, n, max(before, 0), max(after, 0))
+
+
 class Rolling:
     """Statistics over the last rows, or (window None) over all rows so far, of a Series or of all numeric columns."""
 
@@ -494,10 +517,15 @@ class Rolling:
         self.frame, self.window, self.series = frame, window, series
 
     def _stat(self, func: str):
-        make = lambda order: lambda d, c: windows.rolling(d, func, c, self.window, order) if self.window else windows.expanding(d, func, c, order)
-        if self.series is not None:
-            return self.series._window(make(self.frame._need_order()))
-        return self.frame._windows(make(self.frame._need_order()))
+        order = self.frame._need_order()
+        if self.window:
+            make = lambda d, c, order, by=None: windows.rolling(d, func, c, self.window, order, by)
+            whole = _near(make, self.window - 1)
+        else:
+            make = lambda d, c, order, by=None: windows.expanding(d, func, c, order, by)
+            whole = lambda d, c, *to: windows.expanding_whole(d, func, c, *to)
+        plain = lambda d, c: make(d, c, order)
+        return self.series._window(plain, whole) if self.series is not None else self.frame._windows(plain, True, whole)
 
     def mean(self):
         return self._stat("mean")
@@ -565,8 +593,8 @@ class Grouped:
 
 
 class Frame:
-    def __init__(self, df: DataFrame, order: str | list[str] | None = None, parent: Frame | None = None, step: tuple[str, Column] | None = None, sort: tuple[list[str], list[Column]] | None = None) -> None:
-        """parent, step: of an extension, the frame beside whose rows it has one more hidden column, and that column. sort: see `_sorted`."""
+    def __init__(self, df: DataFrame, order: str | list[str] | None = None, parent: Frame | None = None, step: tuple[str, Column | Callable] | None = None, sort: tuple[list[str], list[Column]] | None = None) -> None:
+        """parent, step: of an extension, the frame beside whose rows it has one more hidden column, and that column, or what adds it to rows. sort: see `_sorted`."""
         self._rows, self._order, self._parent, self._step, self._sort = df, as_list(order), parent, step, sort
         require(df, self._order)
 
@@ -622,6 +650,26 @@ class Frame:
         name = _hidden_name()
         return Frame(self._all.withColumn(name, expr), self._order, self, (name, expr))
 
+    def _placed(self) -> tuple[Frame, str | None, int]:
+        """This frame (a great one: extended by its rows' places, once for all that share its rows), the places' column, and the number of rows."""
+        order = tuple(self._need_order())
+        for f in self._chain():
+            for name, n in _places.get(f._all, {}).values():
+                if name in self._all.columns and f._order == self._order:
+                    return self, name, n
+        if order not in _placed.setdefault(self._all, {}):
+            name = _hidden_name()
+            table, n = windows.placed(self._all, [column(k) for k in order], name)
+            _placed[self._all][order] = (table, name, n) if n > windows.ROWS else (None, None, n)
+            if n > windows.ROWS:
+                _places[table] = {order: (name, n)}
+        table, name, n = _placed[self._all][order]
+        return (self if table is None else Frame(table, self._order, self, (name, self._placing(name)))), name, n
+
+    def _placing(self, name: str) -> Callable:
+        keys = [column(k) for k in self._order]
+        return lambda d: windows.placed(d, keys, name)[0]
+
     def _last(self, name: str) -> Series:
         """An extension's own column."""
         return Series(self, column(self._step[0]), name)
@@ -653,7 +701,7 @@ class Frame:
             for f in theirs[:at][::-1]:
                 name, expr = f._step
                 if name not in frame._all.columns:
-                    frame = Frame(frame._all.withColumn(name, expr), frame._order, frame, f._step)
+                    frame = Frame(frame._all.withColumn(name, expr) if isinstance(expr, Column) else expr(frame._all), frame._order, frame, f._step)
             return frame, x.expr
         name = _hidden_name()
         return Frame(self._joined(x.frame._all.select(*map(column, x.frame._need_order()), x.expr.alias(name)), x.frame.order), self.order, self), column(name)
@@ -759,13 +807,27 @@ class Frame:
         return self[name]
 
     def assign(self, **new) -> Frame:
-        out = self
+        """Columns added or replaced in turn. Series and lists that follow each other are put beside the rows first, then all picked at once."""
+        out, frame, beside = self, self, {}
+
+        def picked() -> Frame:
+            rows = frame._all.select(*[beside[c].alias(c) if c in beside else column(c) for c in out._all.columns], *[v.alias(k) for k, v in beside.items() if k not in out._all.columns])
+            return out._new(rows) if beside else out
+
         for k, v in new.items():
-            v = v(out) if callable(v) and not isinstance(v, (Series, Column)) else v
-            frame, v = out._align(out._values(v) if isinstance(v, list) else v) if isinstance(v, (Series, list)) else (out, v)
-            kept = list(dict.fromkeys([*out._all.columns, k]))
-            out = out._new(select.assign(frame._all, **{k: v}).select(*map(column, kept)))
-        return out
+            if isinstance(v, (Series, list)):
+                frame, beside[k] = frame._align(out._values(v) if isinstance(v, list) else v)
+                continue
+            out = picked()
+            v = v(out) if callable(v) and not isinstance(v, Column) else v
+            if isinstance(v, (Series, list)):
+                frame, v = out._align(out._values(v) if isinstance(v, list) else v)
+                beside = {k: v}
+                out = picked()
+            else:
+                out = out._new(select.assign(out._all, **{k: v}))
+            frame, beside = out, {}
+        return picked()
 
     def drop(self, columns=None, labels=None) -> Frame:
         return self._new(select.drop(self._all, columns if columns is not None else labels))
@@ -1155,31 +1217,46 @@ class Frame:
     def drop_duplicates(self, subset=None, keep="first") -> Frame:
         return self._new(ordering.drop_duplicates(self._all, as_list(subset) or self.columns, keep, self.order))
 
-    def _windows(self, make: Callable[[DataFrame, str], Column], only_numeric: bool = True) -> Frame:
+    def _windows(self, make: Callable[[DataFrame, str], Column], only_numeric: bool = True, whole: Callable | None = None) -> Frame:
+        """whole: adds the same as a column to the numbered rows of a great table; without it they are one partition."""
         order = self._need_order()
         used = [c for c in (numeric(self.df) if only_numeric else self.columns) if c not in order]
-        return self._new(self._all.select(*map(column, order), *[make(self._all, c).alias(c) for c in used]))
+        placed, *at = self._placed() if whole else (self, None, 0)
+        if at[1] <= windows.ROWS:
+            return self._new(self._all.select(*map(column, order), *[make(self._all, c).alias(c) for c in used]))
+        names = {c: _hidden_name() for c in used}
+        out = placed._all.select(*map(column, dict.fromkeys([*order, *used, at[0]])))
+        for c, name in names.items():
+            out = whole(out, c, name, *at)
+        return self._new(out.select(*map(column, order), *[column(name).alias(c) for c, name in names.items()]))
+
+    def _cumulative(self, func: str, only_numeric: bool = True) -> Frame:
+        make = lambda d, c: windows.cumulative(d, func, c, self._need_order())
+        return self._windows(make, only_numeric, lambda d, c, *to: windows.cumulative_whole(d, func, c, *to))
 
     def cumsum(self) -> Frame:
-        return self._windows(lambda d, c: windows.cumulative(d, "sum", c, self._need_order()))
+        return self._cumulative("sum")
 
     def cumprod(self) -> Frame:
-        return self._windows(lambda d, c: windows.cumulative(d, "prod", c, self.order))
+        return self._cumulative("prod")
 
     def cummax(self) -> Frame:
-        return self._windows(lambda d, c: windows.cumulative(d, "max", c, self.order), False)
+        return self._cumulative("max", False)
 
     def cummin(self) -> Frame:
-        return self._windows(lambda d, c: windows.cumulative(d, "min", c, self.order), False)
+        return self._cumulative("min", False)
 
     def shift(self, periods: int = 1, fill_value=None) -> Frame:
-        return self._windows(lambda d, c: windows.shift(c, self.order, periods, fill_value), False)
+        make = lambda d, c, order, by=None: windows.shift(c, order, periods, fill_value, by)
+        return self._windows(lambda d, c: make(d, c, self.order), False, _near(make, periods, -periods))
 
     def diff(self, periods: int = 1) -> Frame:
-        return self._windows(lambda d, c: windows.diff(d, c, self.order, periods), False)
+        make = lambda d, c, order, by=None: windows.diff(d, c, order, periods, by)
+        return self._windows(lambda d, c: make(d, c, self.order), False, _near(make, periods, -periods))
 
     def pct_change(self, periods: int = 1) -> Frame:
-        return self._windows(lambda d, c: windows.pct_change(c, self.order, periods))
+        make = lambda d, c, order, by=None: windows.pct_change(c, order, periods, by)
+        return self._windows(lambda d, c: make(d, c, self.order), True, _near(make, periods, -periods))
 
     def rank(self, method: str = "average", ascending: bool = True) -> Frame:
         return self._windows(lambda d, c: windows.rank(d, c, method, ascending, self.order))

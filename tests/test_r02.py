@@ -31,3 +31,40 @@ def test_rounding_of_great_and_nearly_half_fractions(spark):
     values = [0.49999999999999994, 0.5, -0.5, 2.5, 4503599627370497.0, 1e300, float("inf")]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(S.round_half_away(catalog.C("v"), FLOAT).alias("x")).collect()
     assert [x.x for x in got] == [0.0, 1.0, -1.0, 3.0, 4503599627370497.0, 1e300, float("inf")]
+
+
+WHOLE = {
+    "lead": lambda s: s.shift(-20, 0), "pct": lambda s: s.pct_change(2), "rolling": lambda s: s.rolling(18).std(), "cumsum": lambda s: s.cumsum(), "cummin": lambda s: s.cummin(),
+    "expanding": lambda s: s.expanding().std(), "mean": lambda s: s.expanding().mean(), "count": lambda s: s.expanding().count(),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_windows_over_whole_tables_in_blocks_are_those_of_one_partition(spark, monkeypatch, name):
+    from framewright.operators import windows
+    from framewright.plans.frame import Frame
+
+    def values() -> list:
+        f = Frame(catalog.events(spark, "/root/testdata/sf0.001").select("event_id", "value", catalog.F.lit(None).alias("gone")), "event_id")
+        return [(r.event_id, r.gone, r.x is None, pytest.approx(r.x or 0, 1e-9, 1e-9)) for r in f.assign(x=WHOLE[name](f["value"])).df.orderBy("event_id").collect()]
+
+    want = values()
+    monkeypatch.setattr(windows, "ROWS", 300)
+    assert [(*r[:3], r[3].expected) for r in values()] == want
+
+
+@pytest.mark.parametrize("name", ["mask_by_window", "reset_index_series", "head_negative", "head_negative_ties", "equals_repeated_keys"])
+def test_no_step_gathers_a_great_table_in_one_partition(spark, monkeypatch, name):
+    from framewright.operators import windows
+
+    monkeypatch.setattr(windows, "ROWS", 100, raising=False)
+    assert "SinglePartition" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_head_and_tail_of_negative_n_among_equal_rows(spark, monkeypatch):
+    from framewright.operators import ordering, windows
+
+    monkeypatch.setattr(windows, "ROWS", 100, raising=False)
+    rows = spark.range(200).selectExpr("1 AS k", "IF(id % 2 = 0, 0D, -0D) AS v", "null AS gone")
+    assert [f(rows, -7, ["k"]).count() for f in (ordering.head, ordering.tail)] == [193, 193]
+    assert [f(rows, -300, ["k"]).count() for f in (ordering.head, ordering.tail)] == [0, 0]
