@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.operators import windows
 from framewright.session import scratch
 from framewright.types import FLOAT, as_list, column, kind, require
 
@@ -54,19 +55,19 @@ def smallest(df: DataFrame, n: int, by: str, order: list[str]) -> DataFrame:
 
 
 def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """The first n rows by `order`; a negative n leaves the last -n out, by numbering all rows in one partition."""
+    """The first n rows by `order`; a negative n leaves the last -n out, by the rows' places."""
     if n >= 0:
         return df.orderBy(*[column(c).asc() for c in order]).limit(n)
-    place = F.row_number().over(Window.orderBy(*[column(c).desc() for c in order]))
-    return df.withColumn("\0from", place).where(F.col("`\0from`") > -n).drop("\0from")
+    rows, many = windows.placed(df, [column(c).asc() for c in order], "\0from")
+    return rows.where(F.col("`\0from`") < many + n).drop("\0from")
 
 
 def tail(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """The last n rows by `order`; a negative n leaves the first -n out, by numbering all rows in one partition."""
+    """The last n rows by `order`; a negative n leaves the first -n out, by the rows' places."""
     if n >= 0:
         return df.orderBy(*[column(c).desc() for c in order]).limit(n)
-    place = F.row_number().over(Window.orderBy(*[column(c).asc() for c in order]))
-    return df.withColumn("\0from", place).where(F.col("`\0from`") > -n).drop("\0from")
+    rows, _ = windows.placed(df, [column(c).asc() for c in order], "\0from")
+    return rows.where(F.col("`\0from`") >= -n).drop("\0from")
 
 
 def sample(df: DataFrame, n: int | None = None, frac: float | None = None, seed: int | None = None) -> DataFrame:
