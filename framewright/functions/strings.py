@@ -1,6 +1,7 @@
 """Text functions. Patterns of contains, replace, split and count are literal; null gives null unless said otherwise.
 
-Python runs only where Catalyst has no exact equivalent: title, swapcase, wrap and normalize are Arrow-batched pandas UDFs.
+Python runs only where Catalyst has no exact equivalent: title, swapcase, wrap and normalize. Their rows travel in the small batches
+of plain functions (100 rows), since texts may be long: Arrow's hold 10,000 rows of any length.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ import re
 import textwrap
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,11 +195,7 @@ def pad(c: Column, width: int, side: str = "left", fillchar: str = " ") -> Colum
 
 
 def _python(f):
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(x))
-
-    return run
+    return F.udf(lambda x: None if x is None else f(x), T.StringType(), useArrow=False)
 
 
 def title(c: Column) -> Column:

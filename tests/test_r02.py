@@ -68,3 +68,9 @@ def test_head_and_tail_of_negative_n_among_equal_rows(spark, monkeypatch):
     rows = spark.range(200).selectExpr("1 AS k", "IF(id % 2 = 0, 0D, -0D) AS v", "null AS gone")
     assert [f(rows, -7, ["k"]).count() for f in (ordering.head, ordering.tail)] == [193, 193]
     assert [f(rows, -300, ["k"]).count() for f in (ordering.head, ordering.tail)] == [0, 0]
+
+
+@pytest.mark.parametrize("name", ["str_normalize_nfc", "str_normalize", "str_title", "str_swapcase", "str_wrap"])
+def test_texts_travel_to_python_in_small_batches(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
