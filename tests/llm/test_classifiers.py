@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -128,6 +129,54 @@ def test_language_against_plain_loops():
         assert got[1] == pytest.approx(p, abs=1e-4)
 
 
+def backed_off(grams, rows, langs, word):
+    """The mean of the rows of the longest known n-grams, word by word."""
+    padded, found = f" {word} ", []
+    for end in range(2, len(padded) + 1):
+        found += [grams[padded[end - k : end]] for k in range(min(5, end), 0, -1) if padded[end - k : end] in grams][:1]
+    return rows[found].mean(0) if found else np.zeros(langs, np.float32)
+
+
+def some_language_model(rng):
+    words = ["".join(rng.choice(list(letters), rng.randint(1, 9))) for letters in ("etaoinshr", "etaoünßch", "привет") for _ in range(1500)]
+    counted = Counter()
+    for x in range(3):
+        for w, n in Counter(words[1500 * x : 1500 * x + 1500]).items():
+            for k in range(1, 6):
+                for i in range(len(w) + 3 - k):
+                    counted[f" {w} "[i : i + k]] += min(n, 50)
+    grams = {g: i for i, g in enumerate(sorted(g for g, n in counted.items() if n >= 3))}
+    return language_id.Model([" ".join(words[1500 * x : 1500 * x + 1500]) for x in range(3)], ["en", "de", "ru"]), grams
+
+
+def test_languages_in_batches_are_those_of_word_by_word(monkeypatch):
+    monkeypatch.setattr(language_id.Scorer, "TOKENS", 40)
+    monkeypatch.setattr(language_id, "CELLS", 60)
+    rng = np.random.RandomState(3)
+    model, grams = some_language_model(rng)
+    texts = ["\n".join("".join(rng.choice(list("etaoüßhпривет漢-'. \u2028\u0085\x1c\u3000\t"), 40)) for _ in range(rng.randint(0, 9))) for _ in range(120)] + ["", None, "\n\n", "12 .", "漢漢", "İ ΟΔΟΣ", "e" * 300]
+    score = language_id.Scorer(model)
+    found = [x for i in range(0, len(texts), 30) for x in zip(*score.batch(language_id.pa.array(texts[i : i + 30])), strict=True)]
+    for text, (lang, p) in zip(texts, found, strict=True):
+        words = language_id.LETTERS.findall((text or "").lower())
+        total = sum((model.word_rows[model.words[w]] if w in model.words else backed_off(grams, model.gram_rows, 3, w)).astype(float) for w in words)
+        assert (lang, p) == (("und", 0.0) if not words else (model.langs[int(total.argmax())], pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-5)))
+
+
+def test_unseen_words_take_far_less_time_than_one_by_one():
+    rng = np.random.RandomState(4)
+    model, grams = some_language_model(rng)
+    words = list({"".join(w) for w in rng.choice(list("etaoinshrü"), (30_000, 10))})
+
+    def seconds(f) -> float:
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    score = language_id.Scorer(model)
+    assert seconds(lambda: score(" ".join(words))) < 0.5 * seconds(lambda: [backed_off(grams, model.gram_rows, 3, w) for w in words])
+
+
 def plain_features(text, lexicon):
     """FEATURES of a text in plain loops."""
     words, rows = text.split(), []
