@@ -133,13 +133,31 @@ def monotonic(df: DataFrame, name: str, order: list[str], increasing: bool = Tru
     return df.select(fine.alias("ok")).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("monotonic"))
 
 
-def differences(a: DataFrame, b: DataFrame, order: list[str] | None = None) -> DataFrame:
+def differences(a: DataFrame, b: DataFrame, order: list[str] | None = None, of: tuple[list[Column], list[Column]] | None = None) -> DataFrame:
     """The number of rows that one frame has more often than the other (the larger of the two); null equals null, NaN equals NaN. 0: equal.
 
-    Whole rows are counted, so an order that rows repeat, or that is null, does no harm; `order` is part of them.
+    Whole rows are counted, so an order that rows repeat, or that is null, does no harm; `order` is part of them. of: what makes the
+    rows of each frame, in place of all columns.
+
+    The rows of both are dealt by their hashes into parts of about ROWS of each before they are counted, so that no task counts more
+    of them as the frames grow. They are dealt as they come: what a frame's rows were dealt by before is left out by Spark. Copies of
+    a row meet in one part, as one number.
     """
-    if a.columns != b.columns:
+    if of is None and a.columns != b.columns:
         return a.sparkSession.createDataFrame([(1,)], "differences long")
-    counts = a.withColumn("\0sign", F.lit(1)).unionAll(b.withColumn("\0sign", F.lit(-1))).groupBy(*map(column, a.columns)).agg(F.sum(F.col("`\0sign`")).alias("\0d"))
-    more = [F.coalesce(F.sum(F.greatest(F.lit(sign) * F.col("`\0d`"), F.lit(0))), F.lit(0)) for sign in (1, -1)]
+    of = of or ([column(c) for c in a.columns], [column(c) for c in b.columns])
+    types = [f.dataType for f in a.select(*of[0]).unionAll(b.select(*of[1])).schema.fields]
+    parts = (a.count() + b.count()) // (2 * windows.ROWS) + 1
+
+    def dealt(df: DataFrame, cells: list[Column], sign: int) -> DataFrame:
+        own = [f.dataType for f in df.select(*cells).schema.fields]
+        cells = [c if t == to else c.cast(to) for c, t, to in zip(cells, own, types, strict=True)]
+        # types without hashes, or whose equal values have different ones, take no part in the dealing
+        hashed = [c for c, t in zip(cells, types, strict=True) if not any(x in t.simpleString() for x in ("map<", "variant", " collate "))]
+        part = F.xxhash64(*hashed) if hashed else F.lit(0).cast("long")
+        # rows as structs: only by the hash can Spark tell that both are dealt alike, and it deals the union no more
+        return df.repartition(parts, part).select(part.alias("part"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).alias("row"), F.lit(sign).alias("sign"))
+
+    counts = dealt(a, of[0], 1).unionAll(dealt(b, of[1], -1)).groupBy("part", "row").agg(F.sum("sign").alias("d"))
+    more = [F.coalesce(F.sum(F.greatest(F.lit(sign) * F.col("d"), F.lit(0))), F.lit(0)) for sign in (1, -1)]
     return counts.agg(F.greatest(*more).cast("long").alias("differences"))

@@ -1187,11 +1187,11 @@ class Frame:
     def equals(self, other: Frame) -> bool:
         if self.columns != other.columns:
             return False
-        mine, theirs = (f._all.select(*map(column, f.columns), *[column(k).alias(f"k{i}") for i, k in enumerate(f._need_order())]) for f in (self, other))
+        rows = tuple([*map(column, f.columns), *map(column, f._need_order())] for f in (self, other))
         if any(k.startswith(HIDDEN) for k in [*self.order, *other.order]):  # frames by place
-            numbered = lambda d, f: d.withColumn(PLACE, F.row_number().over(Window.orderBy(*[column(f"k{i}") for i in range(len(f.order))]))).drop(*[f"k{i}" for i in range(len(f.order))])
-            mine, theirs = numbered(mine, self), numbered(theirs, other)
-        return mine.columns == theirs.columns and ordering.differences(mine, theirs).first()[0] == 0
+            numbered = lambda f: f._all.select(*map(column, f.columns), F.row_number().over(Window.orderBy(*map(column, f.order))).alias(PLACE))
+            return ordering.differences(numbered(self), numbered(other)).first()[0] == 0
+        return len(rows[0]) == len(rows[1]) and ordering.differences(self._all, other._all, of=rows).first()[0] == 0
 
     # -- rows in order
     def sort_values(self, by, ascending=True) -> Frame:

@@ -74,3 +74,37 @@ def test_head_and_tail_of_negative_n_among_equal_rows(spark, monkeypatch):
 def test_texts_travel_to_python_in_small_batches(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_rows_of_compared_frames_are_dealt_by_their_number(spark, monkeypatch):
+    from framewright.operators import ordering, windows
+
+    monkeypatch.setattr(windows, "ROWS", 100)
+    rows = spark.range(1000).selectExpr("id % 300 AS k", "IF(id % 2 = 0, cast('0' AS double), cast('-0' AS double)) AS v", "IF(id % 3 = 0, double('NaN'), null) AS w", "map('m', id % 5) AS m", "null AS gone")
+    other = rows.selectExpr("cast(k AS int) AS k", "-v AS v", "w", "m", "gone").repartition(2)
+    found = ordering.differences(rows, other)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 11)" in plan and "RoundRobin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2  # no further one for the counts
+    assert found.first()[0] == 0
+    assert ordering.differences(rows, other.where("k > 0")).first()[0] == 4
+    assert ordering.differences(rows.unionAll(rows.limit(7)), other).first()[0] == 7
+
+
+def test_no_task_counts_more_rows_of_compared_frames_as_they_grow(spark, monkeypatch):
+    from framewright.operators import ordering, windows
+
+    seen, plain = [], ordering.differences
+
+    def differences(*args, **named):
+        found = plain(*args, **named)
+        seen.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(windows, "ROWS", 100)
+    monkeypatch.setattr(ordering, "differences", differences)
+    assert [tuple(r) for r in catalog.QUERIES["equals_repeated_keys"](spark, "/root/testdata/sf0.001").collect()] == [(True, False)]
+    assert len(seen) == 2
+    for plan in seen:
+        assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
+        assert "RoundRobin" not in plan
